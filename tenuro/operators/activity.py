@@ -29,19 +29,17 @@ def paid_activity(activity: DataFrame, licenses: DataFrame) -> DataFrame:
 
 
 def filled_activity(activity: DataFrame, lenient: bool = False) -> DataFrame:
-    """Team usage with year and month, and 0 for every missing number.
+    """Usage that names a team, with year and month, and 0 for missing numbers.
 
     A missing user becomes user 0, and a missing date becomes month 0 of year
     0, which counts as one more month of activity.
     """
     date = date_column(activity, "event_date", lenient)
-    return (
-        activity.where(F.col(TEAM).isNotNull())
-        .withColumns(
-            {"event_date": date, "year": F.year(date), "month": F.month(date)}
-        )
-        .fillna(0)
+    rows = activity.where(F.col(TEAM).isNotNull()).withColumns(
+        {"event_date": date, "year": F.year(date), "month": F.month(date)}
     )
+    # The team is never missing here, and a bare column lets filters pass.
+    return rows.fillna(0, [c for c in rows.columns if c != TEAM])
 
 
 def team_month_usage(

@@ -252,7 +252,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "grid_search": _search(),
         "grid_search_target2": _search(label_col="Target2"),
         "grid_search_logistic": _search(
-            t.logistic, {"regParam": (0.01, 0.1), "elasticNetParam": (0.0,)}
+            t.logistic, {"regParam": (0.01, 0.1), "maxIter": (20,)}
         ),
         "grid_search_boosted": _search(
             t.boosted_trees, {"maxDepth": (2, 3), "maxIter": (5,)}

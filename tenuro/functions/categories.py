@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from tenuro.functions.columns import columns
 from tenuro.schema import PLAN_FAMILIES
 
 
@@ -20,7 +21,7 @@ def one_hot(df: DataFrame, column: str, categories: Sequence[str]) -> DataFrame:
     A category that does not occur gives a column of zeros, and so does a null.
     """
     return df.select(
-        *(c for c in df.columns if c != column),
+        *columns(df, without=(column,)),
         *(
             F.when(F.col(column) == c, 1).otherwise(0).alias(f"{column}_{c}")
             for c in categories

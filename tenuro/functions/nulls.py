@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tenuro.functions.columns import column
 from tenuro.schema import NULL_TOKENS
 
 
@@ -12,9 +13,9 @@ def null_tokens_to_null(df: DataFrame) -> DataFrame:
     text = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
     return df.select(
         *(
-            F.when(~F.col(f"`{c}`").isin(*NULL_TOKENS), F.col(f"`{c}`")).alias(c)
+            F.when(~column(c).isin(*NULL_TOKENS), column(c)).alias(c)
             if c in text
-            else F.col(f"`{c}`")
+            else column(c)
             for c in df.columns
         )
     )
@@ -27,14 +28,13 @@ def whole_number(df: DataFrame, name: str) -> Column:
     columns arrive as NaN: the first reads as 12, the second as null. Text that
     is not a whole number raises.
     """
-    column, kind = F.col(name), df.schema[name].dataType
+    value, kind = column(name), df.schema[name].dataType
     if isinstance(kind, T.StringType):
-        column = F.regexp_replace(column, r"\.0*\s*$", "")
+        value = F.regexp_replace(value, r"\.0*\s*$", "")
     elif isinstance(kind, (T.FloatType, T.DoubleType)):
-        column = F.when(~F.isnan(column), column)
-    return column.cast("bigint")
+        value = F.when(~F.isnan(value), value)
+    return value.cast("bigint")
 
 
-def zero_if_null(column: str | Column) -> Column:
-    column = F.col(column) if isinstance(column, str) else column
-    return F.coalesce(column, F.lit(0))
+def zero_if_null(value: Column) -> Column:
+    return F.coalesce(value, F.lit(0))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tenuro.functions.columns import quoted
 from tenuro.functions.dates import date_column
 from tenuro.operators.licenses import license_teams
 from tenuro.schema import MEASURES, MONTHLY, TEAM, TOTALS, USER
@@ -39,7 +40,7 @@ def filled_activity(activity: DataFrame, lenient: bool = False) -> DataFrame:
         {"event_date": date, "year": F.year(date), "month": F.month(date)}
     )
     # The team is never missing here, and a bare column lets filters pass.
-    return rows.fillna(0, [c for c in rows.columns if c != TEAM])
+    return rows.fillna(0, [quoted(c) for c in rows.columns if c != TEAM])
 
 
 def team_month_usage(

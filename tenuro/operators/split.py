@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from tenuro.functions.columns import columns
 from tenuro.functions.hashing import HASH_RANGE, key_hash
 from tenuro.schema import TEAM
 
@@ -53,7 +54,7 @@ def exact_split(
     """Add ``is_train``: false for exactly ``ceil(test_size * n)`` of n rows."""
     ranked = _hash_ranked(df, key, f"split:{seed}", by=[])
     in_test = F.col("_rank") <= F.ceil(F.lit(float(test_size)) * F.col("_total"))
-    return ranked.withColumn("is_train", ~in_test).select(*df.columns, "is_train")
+    return ranked.select(*columns(df), (~in_test).alias("is_train"))
 
 
 def stratified_folds(
@@ -66,7 +67,7 @@ def stratified_folds(
     """Add ``fold``; each label is spread over the folds to within one row."""
     ranked = _hash_ranked(df, key, f"fold:{seed}", by=[label_col])
     fold = ((F.col("_rank") - 1) % folds).cast("int")
-    return ranked.withColumn("fold", fold).select(*df.columns, "fold")
+    return ranked.select(*columns(df), fold.alias("fold"))
 
 
 def _hash_ranked(df: DataFrame, key: str, salt: str, by: list[str]) -> DataFrame:

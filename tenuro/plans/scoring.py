@@ -8,6 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
+from tenuro.functions.columns import columns
 from tenuro.schema import FEATURES, TEAM
 
 
@@ -26,7 +27,7 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     """``df`` with the probability that the team leaves, ``churn_probability``."""
     probability = vector_to_array("probability")[1]
     return model.transform(df).select(
-        *df.columns, probability.alias("churn_probability")
+        *columns(df), probability.alias("churn_probability")
     )
 
 

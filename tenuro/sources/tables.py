@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 
+from tenuro.functions.columns import column
 from tenuro.functions.nulls import null_tokens_to_null, whole_number
 from tenuro.schema import ACTIVITY, LICENSES
 
@@ -49,7 +50,7 @@ def _conform(df: DataFrame, schema: T.StructType) -> DataFrame:
         *(
             whole_number(df, c).alias(c)
             if c in schema.names and isinstance(schema[c].dataType, T.LongType)
-            else F.col(f"`{c}`")
+            else column(c)
             for c in df.columns
         )
     )

@@ -13,20 +13,32 @@ from pyspark.sql import DataFrame, functions as F
 
 from tenuro.functions.columns import quoted
 from tenuro.functions.dates import date_column
-from tenuro.operators.licenses import license_teams
+from tenuro.operators.licenses import license_teams, team_licenses
 from tenuro.schema import MEASURES, MONTHLY, TEAM, TOTALS, USER
 
 MONTH_KEYS = (TEAM, "year", "month")
 
 
 def paid_only(rows: DataFrame, licenses: DataFrame) -> DataFrame:
-    """The rows whose team has bought a license."""
+    """The aggregated rows whose team has bought a license."""
     return rows.join(license_teams(licenses), TEAM, "left_semi")
 
 
 def paid_activity(activity: DataFrame, licenses: DataFrame) -> DataFrame:
-    """Usage records of paying teams."""
-    return paid_only(activity, licenses)
+    """Usage records of paying teams.
+
+    These are raw rows, so a busy team can make a shuffled join uneven. Spark
+    splits such a team over many tasks, but only where both sides are shuffled
+    for the join itself. The team list is therefore made distinct under one
+    more key, which leaves it in a distribution the join cannot take over.
+    """
+    teams = (
+        team_licenses(licenses)
+        .select(TEAM, F.hash(TEAM).alias("_spread"))
+        .distinct()
+        .select(TEAM)
+    )
+    return activity.join(teams, TEAM, "left_semi")
 
 
 def filled_activity(activity: DataFrame, lenient: bool = False) -> DataFrame:

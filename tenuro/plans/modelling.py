@@ -18,7 +18,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
 
 from tenuro.functions.lineage import materialise
-from tenuro.operators.split import with_folds
+from tenuro.operators.split import stratified_folds, with_folds
 from tenuro.schema import FEATURES, TEAM
 
 LABEL = "label"
@@ -49,8 +49,14 @@ class GridSearch(NamedTuple):
 
 
 def forest(seed: int = 0, **params) -> RandomForestClassifier:
-    """A random forest with Gini splits and bootstrap samples."""
-    return RandomForestClassifier(labelCol=LABEL, seed=seed, **_checked(params))
+    """A random forest with Gini splits and bootstrap samples.
+
+    The node each row has reached is cached, so that deep forests are not sent
+    to the executors again for every level. ``maxMemoryInMB`` bounds the split
+    statistics of a task: more of it means fewer passes over the rows.
+    """
+    options = {"cacheNodeIds": True, **_checked(params)}
+    return RandomForestClassifier(labelCol=LABEL, seed=seed, **options)
 
 
 def boosted_trees(seed: int = 0, **params) -> GBTClassifier:
@@ -74,25 +80,33 @@ def build_pipeline(
 def training_frame(
     train: DataFrame,
     label_col: str = "Target1",
-    folds: int = 3,
     seed: int = 0,
+    folds: int | None = None,
+    stratified: bool = True,
     features: Sequence[str] = FEATURES,
 ) -> DataFrame:
-    """Features, label and fold of the training rows, computed once.
+    """Features and label of the training rows, computed once.
 
     Training reads its input many times, so the result is checkpointed rather
     than derived again from the source tables. Bootstrap samples are drawn by
     position, so rows are put in a fixed order first: the same rows and seed
-    give the same model. A ``fold`` column that is there already is kept.
+    give the same model. With ``folds`` there is a ``fold`` column too: the one
+    of ``train``, or else one that spreads each label evenly (``stratified``)
+    or by the hash of the team alone.
     """
-    if "fold" not in train.columns:
-        train = with_folds(train, folds, seed)
-    parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    frame = materialise(
-        train.select(TEAM, *features, F.col(label_col).alias(LABEL), "fold")
-        .repartition(parts, TEAM)
-        .sortWithinPartitions(TEAM)
+    rows = train.select(
+        TEAM,
+        *features,
+        F.col(label_col).alias(LABEL),
+        *(["fold"] if folds and "fold" in train.columns else []),
     )
+    if folds and "fold" not in rows.columns:
+        if stratified:
+            rows = stratified_folds(materialise(rows), LABEL, folds, seed)
+        else:
+            rows = with_folds(rows, folds, seed)
+    parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    frame = materialise(rows.repartition(parts, TEAM).sortWithinPartitions(TEAM))
     labels = frame.agg(F.min(LABEL).alias("low"), F.max(LABEL).alias("high")).first()
     if labels.low is None or labels.low == labels.high:
         raise ValueError(f"{label_col} needs both classes among the training rows")
@@ -115,14 +129,15 @@ def grid_search(
     folds: int = 3,
     parallelism: int = 4,
     seed: int = 0,
+    stratified: bool = True,
 ) -> GridSearch:
     """Cross-validated search for the parameters with the best mean accuracy.
 
-    ``train`` is split by its ``fold`` column, or by a hash of the team where
-    it has none.
+    :func:`training_frame` tells how the folds come about. ``parallelism``
+    models are trained at a time.
     """
     classifier = forest(seed) if classifier is None else classifier
-    frame = training_frame(train, label_col, folds, seed)
+    frame = training_frame(train, label_col, seed, folds, stratified)
     combinations = param_grid(classifier, grid)
     search = CrossValidator(
         estimator=build_pipeline(classifier),
@@ -153,9 +168,7 @@ def train_model(
     seed: int = 0,
 ) -> PipelineModel:
     """Fit one classifier on all training rows."""
-    return build_pipeline(classifier).fit(
-        training_frame(train, label_col, seed=seed)
-    )
+    return build_pipeline(classifier).fit(training_frame(train, label_col, seed))
 
 
 def train_forest(

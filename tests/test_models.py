@@ -95,15 +95,29 @@ def test_grid_search_picks_the_first_best(dataset):
     assert len(rows) == 4 and all(0 <= r.mean_accuracy <= 1 for r in rows)
 
 
-def test_grid_search_with_stratified_folds_and_second_label(dataset):
-    train = materialise(t.training_rows(dataset))
-    folded = t.stratified_folds(train, "Target2", folds=2)
+@pytest.mark.parametrize("stratified", [True, False])
+def test_grid_search_on_second_label(dataset, stratified):
     found = t.grid_search(
-        folded, {"numTrees": (2,)}, label_col="Target2", folds=2
+        t.training_rows(dataset),
+        {"numTrees": (2,)},
+        label_col="Target2",
+        folds=2,
+        stratified=stratified,
     )
     assert found.best_params == {"numTrees": 2}
 
 
+def test_folds_of_the_training_frame(dataset):
+    train = t.training_rows(dataset)
+    sizes = t.training_frame(train, folds=3).groupBy("label").pivot("fold").count()
+    for row in sizes.collect():
+        assert max(row[1:]) - min(row[1:]) <= 1
+    assert "fold" not in t.training_frame(train).columns
+    given = train.withColumn("fold", F.lit(1))
+    frame = t.training_frame(given, folds=3)
+    assert [tuple(r) for r in frame.select("fold").distinct().collect()] == [(1,)]
+
+
 @pytest.mark.parametrize(
     "classifier, params",
     [(t.logistic, {"maxIter": 5}), (t.boosted_trees, {"maxIter": 2, "maxDepth": 2})],

@@ -129,6 +129,18 @@ def test_busy_team_gets_the_same_answer(spark, conf, stored, threshold):
     assert t.paid_activity(used, bought).count() == used.where("team_id < 500").count()
 
 
+def test_busy_team_is_split_where_raw_rows_are_joined(spark, conf, stored):
+    bought, used = stored
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    conf("spark.sql.adaptive.advisoryPartitionSizeInBytes", "20KB")
+    conf("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "20KB")
+    conf("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "1.2")
+    conf("spark.sql.files.maxPartitionBytes", "10KB")
+    paid = t.paid_activity(used, bought)
+    assert len(paid.collect()) == used.where("team_id < 500").count()
+    assert "SortMergeJoin(skew=true)" in plan_of(paid)
+
+
 def test_only_global_aggregates_meet_in_one_partition(spark, conf, stored):
     bought, used = stored
     conf("spark.sql.adaptive.enabled", "false")

@@ -182,12 +182,12 @@ def _search(classifier=None, grid=SMALL_GRID, label_col="Target1"):
 
 def feature_importance_ranked(spark, sf_dir):
     _, model = _model(spark, sf_dir)
-    return t.rank_features(t.feature_importance(model, spark))
+    return t.rank_features(t.feature_importance(model))
 
 
 def feature_importance_top8(spark, sf_dir):
     _, model = _model(spark, sf_dir)
-    return t.rank_features(t.feature_importance(model, spark), top=8)
+    return t.rank_features(t.feature_importance(model), top=8)
 
 
 def test_predictions(spark, sf_dir):

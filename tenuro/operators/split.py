@@ -86,8 +86,9 @@ def _hash_ranked(df: DataFrame, key: str, salt: str, by: list[str]) -> DataFrame
         F.sum("_n").over(group).alias("_total"),
     )
     in_range = W.partitionBy(*by, "_range").orderBy("_hash", key)
+    # The window has distributed the rows the way the join wants them.
     return (
         hashed.withColumn("_place", F.row_number().over(in_range))
-        .join(F.broadcast(offsets), [*by, "_range"])
+        .join(offsets, [*by, "_range"])
         .withColumn("_rank", F.col("_before") + F.col("_place"))
     )

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tenuro.functions.columns import columns
 from tenuro.schema import FEATURES, TEAM
@@ -32,13 +32,11 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 def feature_importance(
-    model: PipelineModel,
-    spark,
-    features: Sequence[str] = FEATURES,
+    model: PipelineModel, features: Sequence[str] = FEATURES
 ) -> DataFrame:
     """Share of each feature in the impurity decrease of the trees; sums to 1."""
     importances = model.stages[-1].featureImportances.toArray()
-    return spark.createDataFrame(
+    return SparkSession.active().createDataFrame(
         [(f, float(i)) for f, i in zip(features, importances)],
         "feature string, importance double",
     )

@@ -66,8 +66,8 @@ def test_predictions_and_report(dataset, model):
     assert sum(r.predicted_0 + r.predicted_1 for r in cells) == held_out.count()
 
 
-def test_importance(spark, model):
-    importance = t.feature_importance(model, spark)
+def test_importance(model):
+    importance = t.feature_importance(model)
     rows = {r.feature: r.importance for r in importance.collect()}
     assert list(rows) == list(FEATURES)
     assert sum(rows.values()) == pytest.approx(1)

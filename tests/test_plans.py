@@ -155,3 +155,18 @@ def test_repeat_buyers_shuffle_once_per_level(spark, conf):
     rows = licenses(spark, [(1, 1, "2020-01-01", "2020-07-01", "pro1", 2)])
     plan = plan_of(t.repurchase_gaps(rows, AS_OF))
     assert plan.count("Exchange hashpartitioning") == 2
+
+
+@pytest.mark.parametrize(
+    "operator, keys", [(t.exact_split, "_range"), (t.stratified_folds, "Target1, _range")]
+)
+def test_exact_shares_move_the_rows_once(spark, conf, operator, keys):
+    conf("spark.sql.adaptive.enabled", "false")
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    teams = spark.range(100).select(
+        F.col("id").alias("team_id"), (F.col("id") % 2).alias("Target1")
+    )
+    plan = re.sub(r"#\d+L?", "", plan_of(operator(teams)))
+    # The rows once, the counts of their ranges once, and the offsets once.
+    assert plan.count(f"Exchange hashpartitioning({keys}, 4)") == 3
+    assert "Sort [team_id" not in plan and "rangepartitioning" not in plan

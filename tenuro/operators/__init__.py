@@ -11,6 +11,7 @@ from tenuro.operators.activity import (
 )
 from tenuro.operators.evaluation import classification_report, confusion_matrix
 from tenuro.operators.licenses import (
+    license_dates,
     license_features,
     license_recency,
     license_teams,
@@ -45,6 +46,7 @@ __all__ = [
     "exact_split",
     "filled_activity",
     "holdout_rows",
+    "license_dates",
     "license_features",
     "license_recency",
     "license_teams",

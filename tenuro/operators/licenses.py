@@ -22,10 +22,8 @@ def license_teams(licenses: DataFrame) -> DataFrame:
     return team_licenses(licenses).select(TEAM).distinct()
 
 
-def license_recency(
-    licenses: DataFrame, as_of=None, lenient: bool = False
-) -> DataFrame:
-    """Team purchases with dates, days since each date, and plan families."""
+def license_dates(licenses: DataFrame, as_of=None, lenient: bool = False) -> DataFrame:
+    """Team purchases with their dates, and the days since each date."""
     today = as_of_date(as_of)
     dated = team_licenses(licenses).withColumns(
         {
@@ -33,16 +31,21 @@ def license_recency(
             "license_start": date_column(licenses, "license_start", lenient),
         }
     )
-    return plan_family(
-        dated.withColumns(
-            {
-                "license_end_recency": recency_days(F.col("license_end"), today),
-                "license_start_recency": recency_days(F.col("license_start"), today),
-            }
-        )
+    return dated.withColumns(
+        {
+            "license_end_recency": recency_days(F.col("license_end"), today),
+            "license_start_recency": recency_days(F.col("license_start"), today),
+        }
     )
 
 
+def license_recency(
+    licenses: DataFrame, as_of=None, lenient: bool = False
+) -> DataFrame:
+    """Team purchases with dates, days since each date, and plan families."""
+    return plan_family(license_dates(licenses, as_of, lenient))
+
+
 def prepare_licenses(
     licenses: DataFrame,
     as_of=None,

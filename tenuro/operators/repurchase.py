@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tenuro.functions.nulls import zero_if_null
-from tenuro.operators.licenses import license_recency
+from tenuro.operators.licenses import license_dates
 from tenuro.schema import TEAM
 
 RECENCY = "license_start_recency"
@@ -22,7 +22,7 @@ def purchase_days(
     """One row per team and purchase day, with the licenses bought that day."""
     # Asked of the text rather than of the date, the filter reaches the scan
     # and no date is parsed twice.
-    rows = license_recency(
+    rows = license_dates(
         licenses.where(F.col("license_start").isNotNull()), as_of, lenient
     )
     if lenient:

@@ -42,10 +42,12 @@ def test_only_local_sessions_may_go_without():
     assert shared_folder(local) == shared_folder(local)
 
 
-def test_materialised_rows_no_longer_depend_on_their_source(spark, tmp_path):
+def test_materialised_rows_no_longer_depend_on_their_source(spark, tmp_path, capsys):
     path = str(tmp_path / "t")
     spark.range(5).write.parquet(path)
     kept = materialise(spark.read.parquet(path))
     spark.range(3).write.mode("overwrite").parquet(path)
     assert kept.count() == 5
-    assert "parquet" not in kept._jdf.queryExecution().toString()
+    kept.explain()
+    plan = capsys.readouterr().out
+    assert "parquet" not in plan and "Scan ExistingRDD" in plan

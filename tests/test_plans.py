@@ -1,6 +1,8 @@
 """The shape of the physical plans, and data with one very busy team."""
 
+import io
 import re
+from contextlib import redirect_stdout
 
 import pytest
 from pyspark.sql import functions as F
@@ -19,7 +21,9 @@ MODELS = {
 
 
 def plan_of(df):
-    return df._jdf.queryExecution().executedPlan().toString()
+    with redirect_stdout(io.StringIO()) as out:
+        df.explain()
+    return out.getvalue()
 
 
 @pytest.fixture(scope="module")

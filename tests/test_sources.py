@@ -84,6 +84,15 @@ def test_nan_is_null(spark):
     assert rows_of(activity, "team_id", "user_id") == [(1, None), (None, 2)]
 
 
+@pytest.mark.parametrize("kind", ["double", "float", "decimal(6,2)"])
+def test_fractions_raise_instead_of_being_cut_off(spark, golden_licenses, kind):
+    whole = golden_licenses.withColumn("quantity", F.col("quantity").cast(kind))
+    assert rows_of(t.conform_licenses(whole)) == rows_of(golden_licenses)
+    halves = whole.withColumn("quantity", (F.col("quantity") / 2).cast(kind))
+    with pytest.raises(PySparkException, match="quantity is not a whole number"):
+        t.conform_licenses(halves).collect()
+
+
 def test_bad_numbers_and_missing_columns_raise(spark, tmp_path):
     path = write(
         tmp_path / "l.csv",

@@ -15,7 +15,7 @@ from tenuro.functions import (
 )
 from tenuro.functions.lineage import scratch_path
 from tenuro.schema import FEATURES, MEASURES, MONTHLY, PLAN_CATEGORIES, TOTALS
-from tenuro.sources.orders import AS_OF
+from tenuro.sources.orders import AS_OF, PLANS
 
 SMALL_GRID = {
     "maxDepth": (3, 5),
@@ -268,7 +268,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # ---------------------------------------------------------------------------
 # The same queries in SQL.
 
-_LICENSES = """
+_LICENSES = f"""
 licenses AS (
   SELECT o_orderkey AS license_id,
          CASE WHEN o_orderkey % 101 = 0 THEN NULL
@@ -280,7 +280,7 @@ licenses AS (
                         + CAST(30 * (1 + o_orderkey % 12) AS INT) AS VARCHAR)
          END AS license_end,
          CASE WHEN o_orderkey % 89 = 0 THEN NULL
-              ELSE split_part('pro1,business12,pro12,business1,business6,edu12,business36,business24,pro6,edu6,business18,academic1,enterprise12,pro36,edu36,academic12,pro18,business3,pro24,edu24,enterprise36,pro3,edu3,edu60,basic1,edu1',
+              ELSE split_part('{",".join(PLANS)}',
                               ',', CAST(o_orderkey % 26 + 1 AS INT)) END AS plan,
          CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE o_orderkey % 5 + 1 END AS quantity
   FROM orders)"""
@@ -466,7 +466,9 @@ def oracle_sql() -> dict[str, str]:
         for c in ("basic1", "edu1")
     )
     usage_zero = ", ".join(f"coalesce({c}, 0) AS {c}" for c in (*MONTHLY, *TOTALS))
-    bad = "CAST(count(*) FILTER (WHERE {0} IS NOT NULL AND TRY_CAST({0} AS DATE) IS NULL) AS BIGINT) AS {0}"
+    bad = (
+        "count(*) FILTER (WHERE {0} IS NOT NULL AND TRY_CAST({0} AS DATE) IS NULL) AS {0}"
+    )
     return {
         "licenses_from_csv": sql([_LICENSES], "SELECT * FROM licenses"),
         "activity_from_csv": sql([_ACTIVITY], "SELECT * FROM activity"),

@@ -128,6 +128,30 @@ def test_other_models(dataset, classifier, params):
     assert scored.where(~F.col("churn_probability").between(0, 1)).count() == 0
 
 
+def test_from_files_to_probabilities(spark, tmp_path):
+    folder = "/root/testdata/sf0.001"
+    for name, make in (("l", entry._licenses), ("a", entry._activity)):
+        make(spark, folder).write.csv(f"{tmp_path}/{name}", header=True, nullValue="NA")
+    licenses = t.read_licenses(spark, f"{tmp_path}/l")
+    activity = t.read_activity(spark, f"{tmp_path}/a")
+    dataset = materialise(
+        t.with_split(t.prediction_dataset(licenses, activity, "2002-01-01"))
+    )
+    search = t.grid_search(
+        t.training_rows(dataset), {"maxDepth": (2,), "numTrees": (3, 4)}
+    )
+    model = t.train_forest(t.training_rows(dataset), search.best_params)
+    report = t.classification_report(
+        t.predict_classes(model, t.holdout_rows(dataset))
+    )
+    assert [r["class"] for r in report.collect()] == [
+        "0", "1", "accuracy", "macro avg", "weighted avg"
+    ]
+    scored = t.score(model, dataset)
+    assert scored.count() == 135
+    assert scored.where("churn_probability is null").count() == 0
+
+
 @pytest.mark.parametrize("label", [0, 1])
 def test_one_class_is_an_error(dataset, label):
     with pytest.raises(ValueError, match="both classes"):

@@ -23,8 +23,16 @@ def predict_classes(
     )
 
 
-def score(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """``df`` with the probability that the team leaves, ``churn_probability``."""
+def score(
+    model: PipelineModel, df: DataFrame, partitions: int | None = None
+) -> DataFrame:
+    """``df`` with the probability that the team leaves, ``churn_probability``.
+
+    A large forest costs far more per row than the size of the row suggests, by
+    which Spark sizes its tasks. ``partitions`` spreads the rows over more.
+    """
+    if partitions:
+        df = df.repartition(partitions, TEAM)
     probability = vector_to_array("probability")[1]
     return model.transform(df).select(
         *columns(df), probability.alias("churn_probability")

@@ -54,6 +54,9 @@ def test_scores(dataset, model):
     assert scored.columns == [*DATASET, "is_train", "churn_probability"]
     assert scored.count() == dataset.count()
     assert scored.where(~F.col("churn_probability").between(0, 1)).count() == 0
+    spread = t.score(model, dataset, partitions=5)
+    assert rows_of(spread) == rows_of(scored)
+    assert spread.rdd.getNumPartitions() == 5
 
 
 def test_predictions_and_report(dataset, model):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -210,8 +211,29 @@ def entry(spark: SparkSession) -> DataFrame:
     return _dataset(spark, "/root/testdata/sf0.001")
 
 
+def _llm(part: str) -> dict:
+    """What the subpackage ``llm`` registers; nothing where it has been taken out."""
+    try:
+        registry = importlib.import_module("tenuro.llm.registry")
+    except ModuleNotFoundError as missing:
+        if not (missing.name or "").startswith(("tenuro.llm", "corpus_pipeline")):
+            raise
+        return {}
+    return getattr(registry, part)()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One entry per operator; each takes (spark, sf_dir)."""
+    return core_queries() | _llm("queries")
+
+
+def oracle_sql() -> dict[str, str]:
+    """SQL for the same rows, where SQL can express them."""
+    return core_oracle_sql() | _llm("oracle_sql")
+
+
+def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The queries that need no optional subpackage."""
     return {
         "licenses_from_csv": licenses_from_csv,
         "activity_from_csv": activity_from_csv,
@@ -447,8 +469,8 @@ def _report_sql(truth: str, guess: str) -> str:
       FROM report"""
 
 
-def oracle_sql() -> dict[str, str]:
-    """The queries above in SQL; models have no SQL form."""
+def core_oracle_sql() -> dict[str, str]:
+    """The core queries in SQL; models have no SQL form."""
     prepared = [_LICENSES, _PREPARED]
     purchases = [*prepared, _PURCHASES]
     targets = [*purchases, _LICENSE_FEATURES, _TARGETS]

@@ -9,12 +9,19 @@ from tenuro.functions.dates import (
     recency_days,
 )
 from tenuro.functions.hashing import HASH_RANGE, key_hash
-from tenuro.functions.lineage import materialise, shared_folder
+from tenuro.functions.lineage import (
+    clear_scratch,
+    materialise,
+    scratch_path,
+    shared_folder,
+    written,
+)
 from tenuro.functions.nulls import null_tokens_to_null, whole_number, zero_if_null
 
 __all__ = [
     "HASH_RANGE",
     "as_of_date",
+    "clear_scratch",
     "count_bad_dates",
     "date_column",
     "discover_categories",
@@ -25,7 +32,9 @@ __all__ = [
     "one_hot",
     "plan_family",
     "recency_days",
+    "scratch_path",
     "shared_folder",
     "whole_number",
+    "written",
     "zero_if_null",
 ]

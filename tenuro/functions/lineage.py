@@ -2,36 +2,66 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``.
+    """The folder named in ``spark.checkpoint.dir``, else one in the warehouse.
 
-    Only a session in local mode may go without; it gets a temporary folder.
+    Both are places that the driver and all executors share. The rule is the same
+    for every kind of session.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return context.getCheckpointDir()
+    if not folder:
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tenuro"
+    return folder.rstrip("/")
+
+
+def _session_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/scratch-{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nobody else writes to."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_session_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of any file system that Spark reaches."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(
+        target, True
+    )
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that this session wrote to the shared folder.
+
+    Frames that still read from it fail afterwards, so call it at the end of a job.
+    """
+    remove(spark, _session_folder(spark))
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage with a reliable checkpoint."""
-    folder, context = shared_folder(df.sparkSession), df.sparkSession.sparkContext
+    """Compute ``df`` once and cut its lineage with a reliable checkpoint.
+
+    Rows keep their partitions and their order, which training relies on.
+    """
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(_session_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """Compute ``df`` once, as a table in the shared folder, and read it from there.
+
+    Unlike :func:`materialise` it reads back only the columns that are used, and
+    promises nothing about the order of rows.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

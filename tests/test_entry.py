@@ -11,7 +11,7 @@ TYPES = {
     "BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string",
     "DATE": "date", "BOOLEAN": "boolean",
 }
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = entry.core_queries(), entry.core_oracle_sql()
 
 
 @pytest.fixture(scope="module")

@@ -1,45 +1,41 @@
-"""Checkpoints go to the folder the session names."""
+"""Kept results go to the folder the session names."""
 
-import pytest
+from pathlib import Path
 
-from tenuro.functions.lineage import materialise, scratch_path, shared_folder
+from pyspark.sql import functions as F
+
+from tenuro.functions.lineage import (
+    clear_scratch,
+    materialise,
+    scratch_path,
+    shared_folder,
+    written,
+)
 
 
 class Session:
     """A session of which only the folder settings matter."""
 
-    def __init__(self, folder=None, master="yarn"):
-        self.folder, self.master, self.context_folder = folder, master, None
-        self.conf = self.sparkContext = self
-
-    def get(self, key, default):
-        return self.folder or default
+    applicationId = "app-1"
 
-    def getCheckpointDir(self):
-        return self.context_folder
+    def __init__(self, folder=None):
+        self.settings = {"spark.sql.warehouse.dir": "/shared/warehouse/"}
+        self.settings |= {"spark.checkpoint.dir": folder} if folder else {}
+        self.conf = self.sparkContext = self
 
-    def setCheckpointDir(self, folder):
-        self.context_folder = folder
+    def get(self, key, *default):
+        return self.settings.get(key, *default)
 
 
 def test_the_session_names_the_folder():
     session = Session("/some/shared/folder/")
     assert shared_folder(session) == "/some/shared/folder"
     first, second = scratch_path(session, "x"), scratch_path(session, "x")
-    assert first.startswith("/some/shared/folder/x-") and first != second
-
-
-def test_a_folder_set_on_the_context_is_used():
-    session = Session()
-    session.setCheckpointDir("/shared/elsewhere")
-    assert shared_folder(session) == "/shared/elsewhere"
+    assert first.startswith("/some/shared/folder/scratch-app-1/x-") and first != second
 
 
-def test_only_local_sessions_may_go_without():
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        shared_folder(Session())
-    local = Session(master="local[4]")
-    assert shared_folder(local) == shared_folder(local)
+def test_without_a_folder_the_warehouse_is_used():
+    assert shared_folder(Session()) == "/shared/warehouse/tenuro"
 
 
 def test_materialised_rows_no_longer_depend_on_their_source(spark, tmp_path, capsys):
@@ -51,3 +47,19 @@ def test_materialised_rows_no_longer_depend_on_their_source(spark, tmp_path, cap
     kept.explain()
     plan = capsys.readouterr().out
     assert "parquet" not in plan and "Scan ExistingRDD" in plan
+
+
+def test_written_rows_are_pruned_and_can_be_cleared(spark, capsys):
+    kept = written(spark.range(5).select("id", F.lit("x").alias("other")))
+    kept.select("id").explain()
+    assert "ReadSchema: struct<id:bigint>" in capsys.readouterr().out
+    assert kept.count() == 5
+    folder = Path(kept.inputFiles()[0].removeprefix("file:")).parents[1]
+    assert folder.exists()
+    clear_scratch(spark)
+    assert not folder.exists()
+
+
+def test_an_empty_table_can_be_written(spark):
+    kept = written(spark.createDataFrame([], "a int"))
+    assert kept.count() == 0 and kept.columns == ["a"]

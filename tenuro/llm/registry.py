@@ -1,12 +1,14 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from tenuro.llm import quality_rules, url_filters
+from tenuro.llm import bpe, quality_rules, token_files, url_filters
 
 
 def queries() -> dict:
     return {
+        "op3_token_files": token_files.op3_token_files,
         "op5_rule_ledger": quality_rules.op5_rule_ledger,
         "op6_url_rules": url_filters.op6_url_rules,
+        "op9_bpe_transducer": bpe.op9_bpe_transducer,
     }
 
 

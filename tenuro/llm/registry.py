@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from tenuro.llm import bpe, quality_rules, token_files, url_filters
+from tenuro.llm import bpe, pii, quality_rules, secrets, token_files, url_filters
 
 
 def queries() -> dict:
@@ -8,7 +8,9 @@ def queries() -> dict:
         "op3_token_files": token_files.op3_token_files,
         "op5_rule_ledger": quality_rules.op5_rule_ledger,
         "op6_url_rules": url_filters.op6_url_rules,
+        "op8_novel_secrets": secrets.op8_novel_secrets,
         "op9_bpe_transducer": bpe.op9_bpe_transducer,
+        "op10_deobfuscated_pii": pii.op10_deobfuscated_pii,
     }
 
 

@@ -289,6 +289,10 @@ def mask_pii(df: DataFrame, text: str = "text", length: str | None = None) -> Da
     return done.select(*(columns[c].alias(c) for c in df.columns))
 
 
+def _count(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s.kind == kind)).cast("long")
+
+
 def _joined(spans: Column) -> Column:
     return F.array_join(
         F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.stop)), ","
@@ -300,7 +304,7 @@ def op10_deobfuscated_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents", "doc_id", "text"))
     plain = F.filter("spans", lambda s: ~s.disguised)
     counts = {
-        f"n_{kind}": F.size(F.filter(plain, lambda s, k=kind: s.kind == k)).cast("long")
+        f"n_{kind}": _count(plain, kind)
         for kind in KINDS
     }
     return found.select(

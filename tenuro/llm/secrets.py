@@ -147,6 +147,10 @@ def find_secrets(
     return map_texts(df, text, keep, f"spans {SPANS}", prepare)
 
 
+def _count(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s.kind == kind)).cast("long")
+
+
 def _joined(spans: Column) -> Column:
     return F.array_join(
         F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.stop)), ","
@@ -159,7 +163,7 @@ def op8_novel_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(documents, identifier_dictionary(documents))
     plain = F.filter("spans", lambda s: s.kind != "novel")
     counts = {
-        f"n_{kind}": F.size(F.filter("spans", lambda s, k=kind: s.kind == k)).cast("long")
+        f"n_{kind}": _count(F.col("spans"), kind)
         for kind in KINDS
     }
     return found.select(

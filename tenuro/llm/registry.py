@@ -1,11 +1,22 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from tenuro.llm import bpe, pii, quality_rules, secrets, token_files, url_filters
+from tenuro.llm import (
+    bpe,
+    decontamination,
+    language_id,
+    pii,
+    quality_rules,
+    secrets,
+    token_files,
+    url_filters,
+)
 
 
 def queries() -> dict:
     return {
+        "op2_language_filters": language_id.op2_language_filters,
         "op3_token_files": token_files.op3_token_files,
+        "op4_prefix_join": decontamination.op4_prefix_join,
         "op5_rule_ledger": quality_rules.op5_rule_ledger,
         "op6_url_rules": url_filters.op6_url_rules,
         "op8_novel_secrets": secrets.op8_novel_secrets,
@@ -16,6 +27,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_prefix_join": decontamination.OP4_SQL,
         "op5_rule_ledger": quality_rules.OP5_SQL,
         "op6_url_rules": url_filters.OP6_SQL,
     }

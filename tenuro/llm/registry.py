@@ -3,6 +3,7 @@
 from tenuro.llm import (
     bpe,
     decontamination,
+    jaccard_join,
     language_id,
     pii,
     quality_rules,
@@ -19,6 +20,7 @@ def queries() -> dict:
         "op4_prefix_join": decontamination.op4_prefix_join,
         "op5_rule_ledger": quality_rules.op5_rule_ledger,
         "op6_url_rules": url_filters.op6_url_rules,
+        "op7_shingle_product": jaccard_join.op7_shingle_product,
         "op8_novel_secrets": secrets.op8_novel_secrets,
         "op9_bpe_transducer": bpe.op9_bpe_transducer,
         "op10_deobfuscated_pii": pii.op10_deobfuscated_pii,

@@ -216,6 +216,41 @@ def find_benchmark_passages(
     )
 
 
+def without_benchmark_passages(
+    documents: DataFrame,
+    benchmark: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    item: str = "item_id",
+    item_text: str = "text",
+    size: int = 10,
+) -> DataFrame:
+    """The rows of ``documents`` that hold no window of the benchmark, unchanged.
+
+    Windows are those of :func:`find_benchmark_passages`.
+    """
+    rows = documents.select(
+        F.col(key).alias("doc"), F.col(text).alias("text"), F.xxhash64(text).alias("k")
+    )
+    windows = written(windows_of(benchmark, item, item_text, size), "windows")
+    short = F.least(F.lit(SHINGLE), F.col("len")).alias("size")
+    sizes = sorted(r["size"] for r in windows.select(short).distinct().collect())
+    if not sizes:
+        return documents
+    found = occurrences(rows, windows, size, sizes).select("doc", "k").distinct()
+    hit = written(found, "contaminated")
+    columns = documents.columns
+    named = {c: f"c{i}" for i, c in enumerate(columns)}  # names of the caller may clash
+    return (
+        documents.select(
+            *(F.col(c).alias(n) for c, n in named.items()), F.xxhash64(text).alias("k")
+        )
+        .alias("d")
+        .join(hit.alias("h"), F.expr(f"d.{named[key]} <=> h.doc AND d.k = h.k"), "left_anti")
+        .select(*(F.col(n).alias(c) for c, n in named.items()))
+    )
+
+
 def op4_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in every document."""
     return find_benchmark_passages(

@@ -260,6 +260,24 @@ def predict_language(
     return map_texts(df, text, keep, fields, lambda: shared.value.predict, _SEGMENT)
 
 
+def with_known_language(
+    df: DataFrame, filters: LanguageFilters, text: str = "text"
+) -> DataFrame:
+    """The rows of ``df`` whose text has a language.
+
+    Those that are predicted ``und``, or have no 3-gram of any language beyond chance
+    (score 0), go. Columns and texts are as they were.
+    """
+    name = "language"
+    while f"{name}_score" in df.columns or name in df.columns:
+        name += "_"
+    shared = df.sparkSession.sparkContext.broadcast(filters)
+    fields = f"{name} string, {name}_score double"
+    found = map_texts(df, text, df.columns, fields, lambda: shared.value.predict, _SEGMENT)
+    kept = found.where((F.col(name) != UNKNOWN) & (F.col(f"{name}_score") > 0))
+    return kept.select(*df.columns)
+
+
 def op2_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learnt from those that aren't held out."""
     documents = table(spark, sf_dir, "documents", "doc_id", "text", "lang")

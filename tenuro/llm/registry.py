@@ -1,11 +1,13 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
+import corpus_pipeline
 from tenuro.llm import (
     bpe,
     decontamination,
     jaccard_join,
     language_id,
     pii,
+    quality_classifier,
     quality_rules,
     secrets,
     token_files,
@@ -15,6 +17,7 @@ from tenuro.llm import (
 
 def queries() -> dict:
     return {
+        "op1_rule_ensemble": quality_classifier.op1_rule_ensemble,
         "op2_language_filters": language_id.op2_language_filters,
         "op3_token_files": token_files.op3_token_files,
         "op4_prefix_join": decontamination.op4_prefix_join,
@@ -24,6 +27,7 @@ def queries() -> dict:
         "op8_novel_secrets": secrets.op8_novel_secrets,
         "op9_bpe_transducer": bpe.op9_bpe_transducer,
         "op10_deobfuscated_pii": pii.op10_deobfuscated_pii,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -22,12 +22,13 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tenuro.functions.lineage import scratch_path
+from tenuro.functions.lineage import scratch_path, written
 from tenuro.llm.common import map_texts, table
-from tenuro.llm.pieces import LONG, Cache, cuttable, newer_letters, splitter
+from tenuro.llm.pieces import LONG, PATTERN, SETTLED, Cache, cuttable, newer_letters, splitter
 
 
 def byte_symbols() -> list[str]:
@@ -73,12 +74,28 @@ class Vocabulary:
             )
         for token, i in self.specials.items():
             self.token_bytes[i] = token.encode()
+        # tiktoken merges the pair with the least id first, which is the same if ids rise
+        # with ranks, and if no character of the word is one that it might split at.
+        order = [made & 0xFFFFFF for made in self.merges.values()]
+        self.fast = None
+        if order == sorted(order) and max(self.byte_ids) < min(order, default=1 << 24):
+            ranks = {self.token_bytes[i]: i for i in [*self.byte_ids, *order]}
+            if len(ranks) == len(self.byte_ids) + len(order):
+                self.fast = tiktoken.Encoding(
+                    "words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}
+                ).encode_ordinary
         self.split_specials = (
             regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")")
             if self.specials
             else None
         )
 
+    def ids_of(self, word: str) -> list[int]:
+        """The ids of one pre-tokenized word."""
+        if self.fast is not None and (word.isascii() or max(word) < SETTLED):
+            return self.fast(word)
+        return self.merge(word.encode())
+
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word: the pair of least rank goes first, leftmost of equals."""
         ids = [self.byte_ids[b] for b in word]
@@ -250,9 +267,8 @@ class Encoder:
 
     def _words(self, words: list[str]) -> Iterator[bytes]:
         for word in words:
-            data = word.encode()
-            ids = self.lexicon.get(data)
-            yield array("I", self.vocabulary.merge(data)).tobytes() if ids is None else ids
+            ids = self.lexicon.get(word.encode())
+            yield array("I", self.vocabulary.ids_of(word)).tobytes() if ids is None else ids
 
     def _pieces(self, pieces: list[str]) -> Iterator[bytes]:
         for piece in pieces:
@@ -279,26 +295,36 @@ class Encoder:
         return self.plain(first) + b"".join(map(self.pieces.__getitem__, rest))
 
 
-def word_counts(df: DataFrame, text: str = "text", held: int = 200_000) -> DataFrame:
-    """How often each pre-tokenized word occurs: ``word`` (binary), ``n``.
+def frequent_words(
+    df: DataFrame, text: str = "text", size: int = 131_072, held: int = 400_000
+) -> DataFrame:
+    """Words that make up at least one in ``size`` of all: ``word`` (binary), ``n``.
 
-    Each task adds up before it hands rows on, with at most ``held`` pieces in memory.
+    There are ``size`` of them at most. Each task counts the pieces between spaces, with
+    at most ``held`` different ones in memory, and hands on the words that reach the share
+    in what it has counted, as one that reaches it nowhere doesn't reach it overall. A
+    word's ``n`` leaves out the parts where it is rarer.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
+        begun: Counter[str] = Counter()  # pieces with no space before them
+        pieces: Counter[str] = Counter()
         split = splitter("")
 
         def flushed() -> pa.RecordBatch:
             words: Counter[str] = Counter()
-            for piece, n in counts.items():
-                for word in split(piece):
-                    words[word] += n
-            counts.clear()
+            for prefix, counts in (("", begun), (" ", pieces)):
+                for piece, n in counts.items():
+                    for word in split(prefix + piece):
+                        words[word] += n
+                counts.clear()
+            total = words.total()
+            shown = [(w.encode(), n) for w, n in words.items() if n * size >= total]
+            shown.append((None, total))
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([w.encode() for w in words], pa.binary()),
-                    pa.array(list(words.values()), pa.int64()),
+                    pa.array([w for w, _ in shown], pa.binary()),
+                    pa.array([n for _, n in shown], pa.int64()),
                 ],
                 names=["word", "n"],
             )
@@ -309,38 +335,35 @@ def word_counts(df: DataFrame, text: str = "text", held: int = 200_000) -> DataF
                     continue
                 if cuttable(value):
                     first, *rest = value.split(" ")
-                    counts[first] += 1
-                    counts.update([f" {piece}" for piece in rest])
+                    begun[first] += 1
+                    pieces.update(rest)
                 else:
-                    counts.update(split(value))
-                if len(counts) > held:
+                    begun.update(split(value))
+                if len(pieces) + len(begun) > held:
                     yield flushed()
         yield flushed()
 
-    return (
+    counted = written(
         df.select(text)
         .mapInArrow(run, "word binary, n long")
         .groupBy("word")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.sum("n").alias("n")),
+        "word-counts",
     )
+    total = counted.where("word IS NULL").select(F.sum("n")).first()[0] or 0
+    return counted.where(F.col("word").isNotNull() & (F.col("n") * size >= total))
 
 
 def build_lexicon(
-    df: DataFrame, vocabulary: Vocabulary, text: str = "text", size: int = 32_768
+    df: DataFrame, vocabulary: Vocabulary, text: str = "text", size: int = 131_072
 ) -> bytes:
-    """A compiled lexicon of the ``size`` most frequent words of up to 64 bytes.
+    """A compiled lexicon of the words of up to 64 bytes that are one in ``size``.
 
     ``size`` bounds what comes to the driver; counts cover all rows. Which words are
     in the lexicon has no influence on ids, only on the time they take.
     """
-    frequent = (
-        word_counts(df, text)
-        .where(F.length("word") <= LONG)
-        .orderBy(F.desc("n"), "word")
-        .limit(size)
-        .collect()
-    )
-    words = [bytes(row.word) for row in frequent]
+    rows = frequent_words(df, text, size).where(F.length("word") <= LONG).collect()
+    words = [bytes(row.word) for row in rows]
     return compile_lexicon({w: vocabulary.merge(w) for w in words})
 
 
@@ -373,7 +396,7 @@ def encode_texts(
     vocabulary_path: str,
     text: str = "text",
     keep: Sequence[str] = ("doc_id",),
-    lexicon_words: int = 32_768,
+    lexicon_words: int = 131_072,
     with_ids: bool = False,
 ) -> DataFrame:
     """Encode every text and decode the ids again.

@@ -81,13 +81,17 @@ def cuttable(text: str) -> bool:
 class Cache(dict):
     """Ids of pieces, as bytes; emptied when it holds ``limit`` of them.
 
-    ``encode`` takes strings and gives the ids of each as bytes. Pieces over ``LONG``
-    characters aren't kept.
+    ``encode`` takes strings and gives the ids of each as bytes. A piece is kept when it
+    comes up for the second time, as many never do, and if it has ``LONG`` characters at
+    most.
     """
 
+    _MARKS = 1 << 22
+
     def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], limit: int = 400_000):
         super().__init__()
         self.encode, self.limit = encode, limit
+        self.met = bytearray(self._MARKS)
 
     def __missing__(self, piece: str) -> bytes:
         (ids,) = self.encode([piece])
@@ -95,7 +99,11 @@ class Cache(dict):
         return ids
 
     def keep(self, piece: str, ids: bytes) -> None:
-        if len(piece) <= LONG:
+        mark = hash(piece) % self._MARKS
+        if not self.met[mark]:
+            self.met[mark] = 1
+        elif len(piece) <= LONG:
             if len(self) >= self.limit:
                 self.clear()
+                self.met = bytearray(self._MARKS)
             self[piece] = ids

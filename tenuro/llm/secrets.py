@@ -13,6 +13,7 @@ from collections.abc import Callable, Sequence
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tenuro.functions.lineage import written
 from tenuro.llm.common import map_texts, table
 
 KINDS = ("assign", "access", "hex", "novel")
@@ -99,24 +100,26 @@ def novel_spans(
 def identifier_dictionary(
     df: DataFrame, text: str = "text", size: int = 2_000
 ) -> bytes:
-    """The ``size`` most frequent identifiers of the corpus, the most frequent last.
+    """The most frequent identifiers of the corpus, the most frequent last.
 
-    Counts cover all texts; ``size`` bounds what comes to the driver (identifiers of 4 to
-    40 characters, so 80 KB).
+    Those that are one in ten times ``size`` identifiers or more, of which there are no
+    more than that on data of any size, come to the driver, and ``size`` of them are used
+    (of 4 to 40 characters, so 80 KB). Counts cover all texts.
     """
-    words = F.explode(
-        F.regexp_extract_all(F.col(text), F.lit(r"\b[A-Za-z_][A-Za-z0-9_]{3,39}\b"), F.lit(0))
+    found = F.regexp_extract_all(
+        F.col(text), F.lit(r"\b[A-Za-z_][A-Za-z0-9_]{3,39}\b"), F.lit(0)
     )
-    top = (
+    counted = written(
         df.where(F.col(text).isNotNull())
-        .select(words.alias("word"))
+        .select(F.explode(found).alias("word"))
         .groupBy("word")
-        .agg(F.count("*").alias("n"))
-        .orderBy(F.desc("n"), "word")
-        .limit(size)
-        .collect()
+        .agg(F.count("*").alias("n")),
+        "identifiers",
     )
-    return " ".join(row.word for row in reversed(top)).encode()
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    usual = counted.where(F.col("n") * 10 * size >= total).collect()
+    usual.sort(key=lambda row: (row.n, row.word))
+    return " ".join(row.word for row in usual[-size:]).encode()
 
 
 def find_secrets(

@@ -202,7 +202,7 @@ def encode_ids(text: str, cache: Cache, specials: tuple[str, ...]) -> np.ndarray
     if not cuttable(text) or any(s in text for s in specials):
         return np.frombuffer(cache.whole(text), "<u4")
     first, *rest = text.split(" ")
-    unknown = list(set(rest) - cache.keys())
+    unknown = [piece for piece in set(rest) if piece not in cache]
     if unknown:
         new = dict(zip(unknown, cache.encode(unknown), strict=True))
         for piece, ids in new.items():

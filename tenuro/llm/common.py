@@ -46,7 +46,7 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measure = prepare()
         for batch in batches:
-            for part in _slices(batch, text, chunk_chars):
+            for part in slices(batch, text, chunk_chars):
                 texts = [t or "" for t in part.column(text).to_pylist()]
                 values = measure(texts)
                 yield pa.RecordBatch.from_arrays(
@@ -58,9 +58,10 @@ def map_texts(
     return df.select(*dict.fromkeys([*kept, text])).mapInArrow(run, schema)
 
 
-def _slices(
+def slices(
     batch: pa.RecordBatch, text: str, chunk_chars: int
 ) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about ``chunk_chars`` bytes of text, one text at least."""
     sizes = pa.compute.binary_length(batch.column(text)).fill_null(0).to_pylist()
     start = total = 0
     for i, size in enumerate(sizes):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tenuro.functions.lineage import written
-from tenuro.llm.common import _slices, table
+from tenuro.llm.common import slices, table
 from tenuro.llm.components import components
 from tenuro.llm.shingles import set_id, shingle_sets
 
@@ -54,7 +54,7 @@ def _with_sketch(documents: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << bits, np.int32)
         for batch in batches:
-            for part in _slices(batch, "text", _CHUNK):
+            for part in slices(batch, "text", _CHUNK):
                 sizes, ids = [], []
                 for members in shingle_sets([t or "" for t in part.column("text").to_pylist()]):
                     sizes.append(len(members))
@@ -134,7 +134,7 @@ def _prefixes(documents: DataFrame, sketch: np.ndarray, bits: int) -> DataFrame:
         counts = shared.value
         seen: set[int] = set()
         for batch in batches:
-            for part in _slices(batch, "text", _CHUNK):
+            for part in slices(batch, "text", _CHUNK):
                 found: list[tuple[np.ndarray, int, int]] = []
                 for members in shingle_sets([t or "" for t in part.column("text").to_pylist()]):
                     n = len(members)
@@ -193,7 +193,7 @@ def _members(documents: DataFrame, wanted: DataFrame) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             batch = batch.filter(pa.array(known[batch.column("place").to_numpy()]))
-            for part in _slices(batch, "text", _CHUNK):
+            for part in slices(batch, "text", _CHUNK):
                 ids, sets = [], []
                 for members in shingle_sets([t or "" for t in part.column("text").to_pylist()]):
                     c = set_id(members)

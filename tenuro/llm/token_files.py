@@ -26,8 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tenuro.functions.lineage import scratch_path
-from tenuro.llm.common import table
-from tenuro.llm.pieces import Cache, cuttable
+from tenuro.llm.common import slices, table
+from tenuro.llm.pieces import cuttable
 
 MAGIC = b"TIDS0001"
 _HEAD = struct.Struct("<8s6Q")  # magic, id bytes, records, nulls, keys, levels, ids
@@ -179,38 +179,76 @@ def open_shard(path: str) -> Shard:
 # ---------------------------------------------------------------- encoding
 
 
-@lru_cache(maxsize=2)
-def _cache(tokenizer_json: str) -> Cache:
-    """Ids of pieces from the ``tokenizers`` library, kept from task to task."""
-    from tokenizers import Tokenizer
-
-    encode = Tokenizer.from_str(tokenizer_json).encode_batch_fast
+class PieceEncoder:
+    """Ids of texts from the ``tokenizers`` library, which sees each piece once.
 
-    def pieces(texts: list[str]) -> Iterator[bytes]:
-        found = encode([f" {t}" for t in texts], add_special_tokens=False)
-        return (np.array(e.ids, "<u4").tobytes() for e in found)
+    Pieces are what stands between spaces (see :mod:`tenuro.llm.pieces`). Up to about
+    ``limit`` of them are kept, then all are forgotten.
+    """
 
-    cache = Cache(pieces, 300_000)
-    cache.whole = lambda text: np.array(
-        encode([text], add_special_tokens=False)[0].ids, "<u4"
-    ).tobytes()
-    return cache
+    def __init__(self, tokenizer_json: str, limit: int = 800_000):
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.batch, self.limit = tokenizer.encode_batch_fast, limit
+        self.specials = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
+        self.known: dict[str, bytes] = {}
+        # A control character that merges with nothing can stand between pieces, so that
+        # the library takes many at a time.
+        vocabulary = tokenizer.get_vocab()
+        self.mark, self.mark_id = None, -1
+        for mark in map(chr, range(1, 9)):
+            ids = self.batch([mark], add_special_tokens=False)[0].ids
+            symbol = tokenizer.id_to_token(ids[0]) if len(ids) == 1 else ""
+            if symbol and sum(symbol in token for token in vocabulary) == 1:
+                self.mark, self.mark_id = mark, ids[0]
+                break
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        found = self.batch(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def learn(self, pieces: set[str]) -> None:
+        """Add the ids of pieces, each as it is after a space."""
+        plain, odd = [], []
+        for piece in pieces:
+            # White space at the end would run into what follows.
+            joins = self.mark and piece and self.mark not in piece and not piece[-1].isspace()
+            (plain if joins else odd).append(piece)
+        for at in range(0, len(plain), 2000):
+            part = plain[at : at + 2000]
+            (ids,) = self.whole([" " + f"{self.mark} ".join(part)])
+            cuts = np.flatnonzero(np.frombuffer(ids, "<u4") == self.mark_id) * 4
+            start = 0
+            for piece, stop in zip(part, [*cuts.tolist(), len(ids)], strict=True):
+                self.known[piece] = ids[start:stop]
+                start = stop + 4
+        self.known.update(zip(odd, self.whole([f" {piece}" for piece in odd]), strict=True))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.known) > self.limit:
+            self.known.clear()
+        parts: list[list[str] | None] = []
+        unknown: set[str] = set()
+        for text in texts:
+            cut = cuttable(text) and not any(s in text for s in self.specials)
+            parts.append(text.split(" ") if cut else None)
+            if cut:
+                unknown.update(set(parts[-1][1:]).difference(self.known))
+        self.learn(unknown)
+        # What doesn't come after a space, and texts that can't be cut, are encoded apart.
+        begun = self.whole([t if p is None else p[0] for t, p in zip(texts, parts)])
+        ids = self.known.__getitem__
+        return [
+            np.frombuffer(b if p is None else b + b"".join(map(ids, p[1:])), "<u4")
+            for b, p in zip(begun, parts)
+        ]
 
 
-def encode_ids(text: str, cache: Cache, specials: tuple[str, ...]) -> np.ndarray:
-    """Ids of one text by the library: of each piece once, of odd texts as a whole."""
-    if not cuttable(text) or any(s in text for s in specials):
-        return np.frombuffer(cache.whole(text), "<u4")
-    first, *rest = text.split(" ")
-    unknown = [piece for piece in set(rest) if piece not in cache]
-    if unknown:
-        new = dict(zip(unknown, cache.encode(unknown), strict=True))
-        for piece, ids in new.items():
-            cache.keep(piece, ids)
-        known = [new[p] if p in new else cache[p] for p in rest]
-    else:
-        known = map(cache.__getitem__, rest)
-    return np.frombuffer((cache.whole(first) if first else b"") + b"".join(known), "<u4")
+@lru_cache(maxsize=2)
+def _encoder(tokenizer_json: str) -> PieceEncoder:
+    """One for each worker, kept from task to task."""
+    return PieceEncoder(tokenizer_json)
 
 
 def write_token_files(
@@ -235,15 +273,13 @@ def write_token_files(
         content = file.read()
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_str(content)
-    specials = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
-    most = max(tokenizer.get_vocab_size() - 1, end_id)
+    most = max(Tokenizer.from_str(content).get_vocab_size() - 1, end_id)
     id_bytes = 2 if most < 1 << 16 else 4
     shared = spark.sparkContext.broadcast(content)
     root = folder if "://" in folder else f"file://{folder.removeprefix('file:')}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _cache(shared.value)
+        encoder = _encoder(shared.value)
         system, inner = fs.FileSystem.from_uri(root)
         system.create_dir(inner, recursive=True)
         part, seq = TaskContext.get().partitionId(), 0
@@ -262,15 +298,15 @@ def write_token_files(
             )
 
         for batch in batches:
-            found = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            for k, value in found:
-                new = encode_ids(value or "", cache, specials)
-                keys.append(k)
-                ids.append(np.append(new, np.uint32(end_id)).astype(f"<u{id_bytes}"))
-                held += len(new) + 1
-                if held >= shard_ids:
-                    yield write()
-                    keys, ids, held, seq = [], [], 0, seq + 1
+            for rows in slices(batch, "text", 2_000_000):
+                found = encoder.encode([t or "" for t in rows.column("text").to_pylist()])
+                for k, new in zip(rows.column("key").to_pylist(), found):
+                    keys.append(k)
+                    ids.append(np.append(new, np.uint32(end_id)).astype(f"<u{id_bytes}"))
+                    held += len(new) + 1
+                    if held >= shard_ids:
+                        yield write()
+                        keys, ids, held, seq = [], [], 0, seq + 1
         if keys:
             yield write()
 

@@ -1,0 +1,136 @@
+"""Plain versions of the operators, as their contracts state them."""
+
+import hashlib
+import re
+from collections import Counter, defaultdict
+from functools import lru_cache
+
+import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
+
+ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def sha256(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+@lru_cache
+def tokenizer() -> Tokenizer:
+    return Tokenizer.from_file(VOCABULARY)
+
+
+def token_ids(text):
+    return tokenizer().encode(text or "", add_special_tokens=False).ids
+
+
+def as_bytes(ids):
+    return np.array(ids, "<u4").tobytes()
+
+
+def shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(ASCII_LOWER))
+    n = min(5, len(words))
+    return frozenset(tuple(words[i : i + n]) for i in range(len(words) - n + 1)) if n else frozenset()
+
+
+def component_ids(rows):
+    """Of (key, text) rows: for each its number of shingles and its component's least key."""
+    sets = [shingles(text) for _, text in rows]
+    having = defaultdict(list)
+    for i, members in enumerate(sets):
+        for member in members:
+            having[member].append(i)
+    common = Counter((a, b) for found in having.values() for a in found for b in found if a < b)
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for (a, b), n in common.items():
+        if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n):
+            parent[root(a)] = root(b)
+    least = {}
+    for i, (key, _) in enumerate(rows):
+        least[root(i)] = min((k for k in (least.get(root(i)), key) if k is not None), default=None)
+    return [(len(sets[i]), least[root(i)]) for i in range(len(rows))]
+
+
+def benchmark_words(text):
+    return re.findall(
+        r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(ASCII_LOWER)
+    )
+
+
+def passages(text, items, size=10):
+    """(n_words, n_hit, items found) of one text; items are (id, text)."""
+    words = benchmark_words(text)
+    hit, found = set(), set()
+    for item, item_text in items:
+        of_item = benchmark_words(item_text)
+        n = min(size, len(of_item))
+        windows = {tuple(of_item[i : i + n]) for i in range(len(of_item) - n + 1)} if n else ()
+        for i in range(len(words) - n + 1):
+            if windows and tuple(words[i : i + n]) in windows:
+                hit.update(range(i, i + n))
+                found.add(str(item))
+    return len(words), len(hit), found
+
+
+def secrets(text):
+    """Spans (start, kind number, kind, stop) of the known forms."""
+    either = "".join
+    word = [either(f"[{c.upper()}{c}]" for c in w) for w in ("password", "passwd", "secret", "token")]
+    key = either(f"[{c.upper()}{c}]" for c in "api") + "_?" + either(f"[{c.upper()}{c}]" for c in "key")
+    assign = f"(?:{'|'.join([*word, key])})[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
+    found = [(m.start(), 0, "assign", m.end()) for m in re.finditer(assign, text) if len(m[1]) >= 8]
+    found += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(found)
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        n = int(c) * (1 + i % 2)
+        total += n - 9 * (n > 9)
+    return total % 10 == 0
+
+
+def personal(text):
+    """Plain spans (kind, start, stop), by kind, then start."""
+
+    def digits(m):
+        return re.sub("[^0-9]", "", m[0])
+
+    found = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    found += [
+        ("ip", *m.span())
+        for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text)
+        if all(int(p) <= 255 for p in m[0].split("."))
+    ]
+    found += [
+        ("card", *m.span())
+        for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text)
+        if 16 <= len(digits(m)) <= 19 and luhn(digits(m))
+    ]
+    found += [
+        ("phone", *m.span())
+        for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text)
+        if 8 <= len(digits(m)) <= 15
+    ]
+    return found
+
+
+def mask(text):
+    """The text with plain spans replaced; of overlapping ones the first names them."""
+    out, done = [], 0
+    for start, stop, kind in sorted((a, b, k) for k, a, b in personal(text)):
+        if start >= done:
+            out += [text[done:start], f"<{kind.upper()}>"]
+        done = max(done, stop)
+    return "".join([*out, text[done:]])

@@ -1,0 +1,73 @@
+import random
+
+import numpy as np
+import pytest
+
+from tenuro.llm import bpe, pieces
+from tests.llm import plain
+from tests.llm.conftest import ODD
+
+FILE = open(plain.VOCABULARY, encoding="utf-8").read()
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    return bpe.Vocabulary(FILE)
+
+
+def test_pre_tokenizer_agrees_on_every_character():
+    split = pieces.splitter(pieces.newer_letters(FILE))
+    theirs = plain.tokenizer().pre_tokenizer.pre_tokenize_str
+    for code in (*range(0xD800), *range(0xE000, 0x110000)):
+        text = f"a{chr(code)}1 {chr(code)}"
+        assert split(text) == [text[a:b] for _, (a, b) in theirs(text)], hex(code)
+
+
+def test_encoder_agrees_with_the_library(vocabulary):
+    words = {w: vocabulary.merge(w) for w in (b" the", b"the", b" then", b" a", b"ab", b"\n")}
+    encoder = bpe.Encoder(vocabulary, bpe.Lexicon(bpe.compile_lexicon(words)))
+    rng = random.Random(5)
+    parts = [*"ab e th 's12\n\t  \xa0éß.,!", "<|endoftext|>", " the", "'ll", "日本", "\U0001f600", "  "]
+    for _ in range(3000):
+        text = "".join(rng.choices(parts, k=rng.randint(0, 40)))
+        ids = plain.token_ids(text)
+        assert encoder.encode(text) == plain.as_bytes(ids), repr(text)
+        assert vocabulary.decode(ids) == plain.tokenizer().decode(ids, skip_special_tokens=False)
+
+
+@pytest.mark.parametrize("word", ["a" * 4000, "abc" * 2000, "é" * 1000, "thethe" * 500])
+def test_long_words_merge_exactly(vocabulary, word):
+    assert vocabulary.merge(word.encode()) == plain.token_ids(word)
+
+
+def test_short_and_fast_merging_agree(vocabulary):
+    rng = random.Random(6)
+    for _ in range(2000):
+        word = "".join(rng.choices("theandotr", k=rng.randint(1, 30)))
+        assert vocabulary.merge(word.encode()) == vocabulary.ids_of(word)
+
+
+def test_lexicon_is_a_minimal_transducer():
+    rng = random.Random(7)
+    words = {bytes(rng.choices(b"abc\x00\xff", k=rng.randint(1, 8))): [i, 2 * i] for i in range(4000)}
+    lexicon = bpe.Lexicon(bpe.compile_lexicon(words))
+    for word, ids in words.items():
+        assert np.frombuffer(lexicon.get(word), "<u4").tolist() == ids
+    for _ in range(2000):
+        word = bytes(rng.choices(b"abcd", k=rng.randint(0, 9)))
+        assert (lexicon.get(word) is None) == (word not in words)
+    suffixes = sorted(a + b"tion" for a in (b"na", b"sta", b"ra"))
+    arcs, final, _ = bpe._minimal(suffixes)
+    assert sum(final) == 1 and len(arcs) == 8  # one shared ending
+
+
+def test_empty_lexicon_finds_nothing():
+    lexicon = bpe.Lexicon(bpe.compile_lexicon({}))
+    assert lexicon.get(b"a") is None and lexicon.get(b"") is None
+
+
+def test_odd_rows(odd, nothing):
+    got = bpe.encode_texts(odd, plain.VOCABULARY, with_ids=True).collect()
+    expected = sorted((str(k), plain.token_ids(t), t or "") for k, t in ODD)
+    assert sorted((str(r.doc_id), r.ids, r.decoded) for r in got) == expected
+    assert bpe.encode_texts(nothing, plain.VOCABULARY).count() == 0

@@ -1,0 +1,64 @@
+import numpy as np
+
+from tenuro.llm import language_id as li
+
+
+def test_grams_have_a_letter_in_their_middle():
+    found, of = li.grams(["The a, é", "x1y", "", "12"])
+    shown = ["".join(chr(int(g) >> s & 0x1FFFFF or 95) for s in (42, 21, 0)) for g in found]
+    assert shown == ["_th", "the", "he_", "_a_", "_é_", "_x_", "_y_"]
+    assert of.tolist() == [0, 0, 0, 0, 0, 1, 1]
+
+
+def test_long_texts_are_cut_between_words():
+    text = "word soup " * 300_000
+    parts = list(li.segments(text))
+    assert len(parts) == 3 + 1 and "".join(parts) == text
+    whole, cut = li.grams([text])[0], np.concatenate([li.grams([p])[0] for p in parts])
+    assert np.array_equal(np.sort(whole), np.sort(cut))
+
+
+def test_filters_return_all_languages_of_a_gram():
+    own = {f"l{i}": np.arange(i * 10, i * 10 + 15, dtype=np.int64) for i in range(11)}
+    filters = li.LanguageFilters(own)
+    masks = list(filters.languages_of(np.arange(120, dtype=np.uint64)))
+    assert len(masks) == 2  # eleven languages in two slices
+    for i, (name, found) in enumerate(own.items()):
+        assert (masks[i // 8][found] >> (i % 8) & 1).all(), name
+
+
+def test_learns_from_all_and_tells_held_out_texts(spark, documents):
+    train, test = documents.where("doc_id % 2 = 0"), documents.where("doc_id % 2 = 1")
+    filters = li.fit_language_filters(train)
+    found = {r.doc_id: r.lang_pred for r in li.predict_language(test, filters).collect()}
+    known = {r.doc_id: r.lang for r in test.collect() if r.lang}
+    assert sum(found[d] == lang for d, lang in known.items()) >= 0.97 * len(known)
+
+
+def test_odd_rows(odd, nothing):
+    filters = li.fit_language_filters(odd)
+    rows = li.predict_language(odd, filters).collect()
+    assert len(rows) == odd.count()
+    assert {r.doc_id for r in rows if r.lang_pred == "und"} == {1, 2, 3, 10}
+    assert all(0 <= r.score <= 1 for r in rows)
+    kept = li.with_known_language(odd, filters)
+    assert kept.columns == odd.columns
+    # A word too rare to be usual in any language doesn't tell one.
+    assert {r.doc_id for r in kept.collect()} == {None, 5, 6, 7, 9}
+    empty = li.fit_language_filters(nothing)
+    assert {r.lang_pred for r in li.predict_language(odd, empty).collect()} == {"und"}
+    assert li.predict_language(nothing, filters).count() == 0
+
+
+def test_counts_are_those_of_all_tasks(spark, documents):
+    one = li.gram_counts(documents.coalesce(1)).collect()
+    many = li.gram_counts(documents.repartition(5), held=500).collect()
+    assert sorted(map(tuple, one)) == sorted(map(tuple, many))
+
+
+def test_a_stray_label_brings_no_grams(spark):
+    rows = [("en", "the other word " * 50)] * 50 + [("fr", "une autre parole " * 50)] * 50
+    rows.append(("fr", "the other word"))
+    df = spark.createDataFrame(rows, "lang string, text string")
+    filters = li.fit_language_filters(df)
+    assert filters.predict(["the word", "une parole"])[0] == ["en", "fr"]

@@ -7,10 +7,10 @@ added up, and a pair is dropped once the sizes and places rule it out. What is l
 verified on whole sets.
 
 Documents with equal sets are one class, and only classes are paired. Large groups of
-near copies would still give a product that is quadratic in them. So each block first
-links its members to one of them and to their neighbours, and members that this connects
-needn't be paired with each other: the product covers only pairs that aren't connected
-yet. No link between components is lost.
+near copies would still give a product that is quadratic in them. So members of a block
+are first compared with one of them, in long blocks for some rounds with one drawn from
+another group, and members that this connects needn't be paired with each other: the
+product covers only pairs that aren't connected yet. No link between components is lost.
 """
 
 from __future__ import annotations
@@ -29,6 +29,12 @@ from tenuro.llm.shingles import set_id, shingle_sets
 #: Two sets link if ``100 * common >= 75 * together``, so ``7 * common >= 3 * (m + n)``.
 #: The numbers below follow from that.
 _SKETCH_PART = 4096
+#: Blocks from this size on are probed before the product, for so many rounds at most.
+_PROBED, _ROUNDS = 8, 4
+#: From this size on members of a block take their whole sets to the product.
+_LONG = 64
+#: The groups of up to so many classes are broadcast, 16 bytes each.
+_BROADCAST_CLASSES = 1_000_000
 _CHUNK = 1_000_000
 
 
@@ -81,7 +87,10 @@ def _with_sketch(documents: DataFrame, bits: int) -> DataFrame:
                 pa.nulls(len(used), doc_type),
                 *[pa.nulls(len(used), pa.int64())] * 3,
                 pa.array(used.astype(np.int32)),
-                pa.array([parts[i].astype("<i8").tobytes() for i in used], pa.binary()),
+                pa.array(
+                    [np.minimum(parts[i], 65535).astype("<u2").tobytes() for i in used],
+                    pa.binary(),
+                ),
             ],
             names=names,
         )
@@ -98,28 +107,33 @@ def _with_sketch(documents: DataFrame, bits: int) -> DataFrame:
 def _summed_sketch(parts: DataFrame, bits: int) -> np.ndarray:
     """The counters over all tasks: 2**bits numbers, whatever the size of the corpus."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                new = np.frombuffer(counts, "<i8")
-                sums[part] = sums[part] + new if part in sums else new
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(list(sums), pa.int32()),
-                pa.array([s.astype("<i8").tobytes() for s in sums.values()], pa.binary()),
-            ],
-            names=["part", "counts"],
-        )
+    def summing(kind: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for part, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                    new = np.frombuffer(counts, kind).astype(np.uint32)
+                    sums[part] = np.minimum(sums.get(part, 0) + new, 2**31 - 1)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(list(sums), pa.int32()),
+                    pa.array([x.astype("<u4").tobytes() for x in sums.values()], pa.binary()),
+                ],
+                names=["part", "counts"],
+            )
+
+        return run
 
     rows = parts.select("part", "counts").where("part IS NOT NULL")
     schema = "part int, counts binary"
-    # Each task sums what it has read before anything is moved.
-    summed = rows.mapInArrow(run, schema).repartition("part").mapInArrow(run, schema)
-    total = np.zeros((max(1, (1 << bits) // _SKETCH_PART), _SKETCH_PART), np.int64)
-    for row in summed.toLocalIterator():
-        total[row.part] = np.frombuffer(row.counts, "<i8")
-    return np.minimum(total.ravel(), 2**31 - 1).astype(np.int32)
+    # Each of some tasks sums what it has read before anything is moved.
+    tasks = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4
+    summed = rows.coalesce(max(8, tasks)).mapInArrow(summing("<u2"), schema)
+    summed = summed.repartition("part")
+    total = np.zeros((max(1, (1 << bits) // _SKETCH_PART), _SKETCH_PART), np.int32)
+    for row in summed.mapInArrow(summing("<u4"), schema).toLocalIterator():
+        total[row.part] = np.frombuffer(row.counts, "<u4")
+    return total.ravel()
 
 
 def _prefixes(documents: DataFrame, sketch: np.ndarray, bits: int) -> DataFrame:
@@ -222,77 +236,110 @@ def _members(documents: DataFrame, wanted: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- blocks
 
 
+def _band() -> Column:
+    """Sets of one band differ in size by a third at most."""
+    return F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int")
+
+
 def _blocks(prefixes: DataFrame) -> DataFrame:
-    """(``h``, ``c``, ``n``, ``pos``, ``first``, ``before``) of n-grams in two classes.
+    """(``h``, ``c``, ``n``, ``pos``) of n-grams in two classes or more.
 
-    ``first`` is the least class of the block that is of about the same size, ``before``
-    the class next to this one; each is null where there is none.
+    ``size`` is the number of its classes, and ``first`` the least of them that has about
+    the same number of shingles.
     """
-    # Sizes within a band differ by a third at most.
-    band = F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int")
-    rows = prefixes.withColumn("band", band)
+    rows = prefixes.withColumn("band", _band())
     block = Window.partitionBy("h").orderBy("band", "n", "c")
     within = Window.partitionBy("h", "band").orderBy("n", "c")
-    once = rows.withColumn("same", F.lag("c").over(block)).where(
-        "same IS NULL OR same <> c"
-    )
+    once = rows.withColumn("same", F.lag("c").over(block)).where("same IS NULL OR same <> c")
     return (
         once.withColumns(
             {
                 "before": F.lag("c").over(block),
                 "after": F.lead("c").over(block),
-                "n_before": F.lag("n").over(block),
+                "size": F.count("*").over(Window.partitionBy("h")),
             }
         )
         .where("before IS NOT NULL OR after IS NOT NULL")
         .withColumns({"first": F.first("c").over(within), "n_first": F.first("n").over(within)})
-        .select("h", "c", "n", "pos", "first", "n_first", "before", "n_before")
+        .select("h", "c", "n", "pos", "size", "first", "n_first")
     )
 
 
 def _star_pairs(blocks: DataFrame) -> DataFrame:
-    """Pairs worth a try before the product: members with ``first`` and ``before``.
+    """Pairs worth a try before the product: members with the first of their block.
 
     Nothing depends on their choice but the size of the product.
     """
-    small = F.array(
-        F.struct(F.col("first").alias("a"), F.col("n_first").alias("n_a")),
-        F.struct(F.col("before").alias("a"), F.col("n_before").alias("n_a")),
-    )
-    pairs = blocks.select(
-        F.explode(F.array_distinct(small)).alias("small"),
-        F.col("c").alias("b"),
-        F.col("n").alias("n_b"),
-    )
     return (
-        pairs.select("small.*", "b", "n_b")
-        .where("a <> b AND 4 * n_a >= 3 * n_b")
-        .groupBy("a", "n_a", "b", "n_b")
+        blocks.where("first <> c AND 4 * n_first >= 3 * n")
+        .groupBy(
+            F.col("first").alias("a"),
+            F.col("n_first").alias("n_a"),
+            F.col("c").alias("b"),
+            F.col("n").alias("n_b"),
+        )
         .agg(F.count("*").alias("common"))
         .where("20 * common >= n_b")
         .select("a", "n_a", "b", "n_b")
     )
 
 
-def _product_pairs(blocks: DataFrame, group: DataFrame) -> DataFrame:
-    """Pairs of the product, between groups, that sizes and places don't rule out.
-
-    ``group``: (``c``, ``g``) of classes that are connected already.
-    """
+def _mixed(blocks: DataFrame, group: DataFrame) -> DataFrame:
+    """Members of blocks of several groups ``g``; a class is a group of its own at first."""
+    if group.count() <= _BROADCAST_CLASSES:
+        group = F.broadcast(group)
     rows = (
-        blocks.select("h", "c", "n", "pos")
+        blocks.select("h", "c", "n", "pos", "size")
         .join(group, "c", "left")
         .withColumn("g", F.coalesce("g", "c"))
     )
-    mixed = (
+    several = (
         rows.groupBy("h")
         .agg(F.min("g").alias("low"), F.max("g").alias("high"))
         .where("low < high")
         .select("h")
     )
-    rows = written(rows.join(mixed, "h", "left_semi"), "mixed-blocks")
+    return written(rows.join(several, "h", "left_semi"), "mixed-blocks")
+
+
+def _probe_pairs(blocks: DataFrame, group: DataFrame, attempt: int, tries: int = 4) -> DataFrame:
+    """Members of long blocks with some member of another group, drawn for each block.
+
+    Each class takes ``tries`` of them at most: what isn't found out here, the product
+    finds.
+    """
+    rows = _mixed(blocks.where(F.col("size") >= _PROBED), group)
+    draw = F.xxhash64("c", "h", F.lit(attempt))
+    drawn = rows.groupBy("h").agg(
+        F.min(F.struct(draw.alias("d"), "c", "n", "pos", "g")).alias("o")
+    )
+    small, large = F.least("n", F.col("o.n")), F.greatest("n", F.col("o.n"))
+    rest = F.least(F.col("n") - F.col("pos"), F.col("o.n") - F.col("o.pos"))
+    met = rows.join(drawn, "h").where(
+        (F.col("g") != F.col("o.g")) & (4 * small >= 3 * large) & _linked(rest, small, large)
+    )
+    pairs = met.select("c", "n", F.col("o.c").alias("o"), F.col("o.n").alias("n_o")).distinct()
+    order = Window.partitionBy("c").orderBy(F.xxhash64("o", F.lit(attempt)))
+    return (
+        pairs.withColumn("row", F.row_number().over(order))
+        .where(F.col("row") <= tries)
+        .select(
+            F.when(F.expr("(n, c) < (n_o, o)"), F.col("c")).otherwise(F.col("o")).alias("a"),
+            F.least("n", "n_o").alias("n_a"),
+            F.when(F.expr("(n, c) < (n_o, o)"), F.col("o")).otherwise(F.col("c")).alias("b"),
+            F.greatest("n", "n_o").alias("n_b"),
+        )
+        .distinct()
+    )
+
+
+def _product_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of the product, between groups, that sizes and places don't rule out.
+
+    ``rows`` are members of mixed blocks.
+    """
     # Blocks are cut by size: a set links with larger ones of its band or the next.
-    band = F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int")
+    band = _band()
     small = rows.select(
         "h",
         band.alias("band"),
@@ -303,15 +350,15 @@ def _product_pairs(blocks: DataFrame, group: DataFrame) -> DataFrame:
         F.explode(F.array(band, band - 1)).alias("band"),
         *(F.col(x).alias(f"{x}_b") for x in ("c", "n", "pos", "g")),
     )
-    rest = F.least(F.expr("n_a - pos_a"), F.expr("n_b - pos_b"))
-    met = small.join(large, ["h", "band"]).where(
-        F.expr("g_a <> g_b AND (n_a < n_b OR (n_a = n_b AND c_a < c_b)) AND 4 * n_a >= 3 * n_b")
-        & _linked(rest, F.col("n_a"), F.col("n_b"))
-    )
-    counted = met.groupBy("c_a", "n_a", "c_b", "n_b").agg(
-        F.count("*").alias("common"),
-        F.max("pos_a").alias("pos_a"),
-        F.max("pos_b").alias("pos_b"),
+    counted = (
+        small.join(large, ["h", "band"])
+        .where(_can_link())
+        .groupBy("c_a", "n_a", "c_b", "n_b")
+        .agg(
+            F.count("*").alias("common"),
+            F.max("pos_a").alias("pos_a"),
+            F.max("pos_b").alias("pos_b"),
+        )
     )
     # N-grams up to the last one met are counted; of those behind it all may be common.
     most = F.col("common") + F.least(F.expr("n_a - pos_a - 1"), F.expr("n_b - pos_b - 1"))
@@ -320,6 +367,35 @@ def _product_pairs(blocks: DataFrame, group: DataFrame) -> DataFrame:
     )
 
 
+def _can_link() -> Column:
+    """Whether sizes and places let members a and b of a block link, from two groups."""
+    rest = F.least(F.expr("n_a - pos_a"), F.expr("n_b - pos_b"))
+    return F.expr(
+        "g_a <> g_b AND (n_a < n_b OR (n_a = n_b AND c_a < c_b)) AND 4 * n_a >= 3 * n_b"
+    ) & _linked(rest, F.col("n_a"), F.col("n_b"))
+
+
+def _long_links(rows: DataFrame, documents: DataFrame, classes: DataFrame) -> DataFrame:
+    """The links (``a``, ``b``) of the product within long mixed blocks.
+
+    Whole sets go with the members here, so that of the many pairs of a long block none
+    but the links leave the join.
+    """
+    members = _members(documents, classes.join(rows.select("c").distinct(), "c"))
+    full = rows.join(members, "c")
+    names = ("c", "n", "pos", "g", "members")
+    small, large = (
+        full.select("h", *(F.col(x).alias(f"{x}_{side}") for x in names)) for side in "ab"
+    )
+    common = F.size(F.array_intersect("members_a", "members_b"))
+    return (
+        small.join(large, "h")
+        .where(_can_link() & _linked(common, F.col("n_a"), F.col("n_b")))
+        .select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+        .distinct()
+    )
+
+
 def _verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame) -> DataFrame:
     """The links (``a``, ``b``) among candidate pairs, by their whole sets."""
     pairs = written(pairs, "pairs")
@@ -338,8 +414,16 @@ def _verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame) -> Dat
     return written(links, "links")
 
 
+def _groups(links: DataFrame) -> DataFrame:
+    """(``c``, ``g``): the connected component of each class that has a link."""
+    found = components(links)
+    return written(
+        found.select(F.col("node").alias("c"), F.col("component").alias("g")), "groups"
+    )
+
+
 def similar_documents(
-    documents: DataFrame, key: str = "doc_id", text: str = "text", sketch_bits: int = 20
+    documents: DataFrame, key: str = "doc_id", text: str = "text", sketch_bits: int = 22
 ) -> DataFrame:
     """Per document: key, ``k``, ``n_shingles``, ``group`` and ``component_id``.
 
@@ -370,18 +454,20 @@ def similar_documents(
     places = classes.select("c", "doc", "k")
     blocks = written(_blocks(_prefixes(rows, sketch, sketch_bits)), "blocks")
     links = _verified(_star_pairs(blocks), rows, places)
-    group = written(
-        components(links).select(F.col("node").alias("c"), F.col("component").alias("g")),
-        "groups",
+    group = _groups(links)
+    for attempt in range(_ROUNDS):
+        more = _verified(_probe_pairs(blocks, group, attempt), rows, places)
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        group = _groups(links)
+    mixed = _mixed(blocks, group)
+    is_long = F.col("size") >= _LONG
+    more = _verified(_product_pairs(mixed.where(~is_long)), rows, places).union(
+        written(_long_links(mixed.where(is_long), rows, places), "long-links")
     )
-    more = _verified(_product_pairs(blocks, group), rows, places)
     if not more.isEmpty():
-        group = written(
-            components(links.union(more)).select(
-                F.col("node").alias("c"), F.col("component").alias("g")
-            ),
-            "groups",
-        )
+        group = _groups(links.union(more))
     grouped = classes.join(group, "c", "left").select(
         "c", "least", F.coalesce("g", "c").alias("g")
     )
@@ -398,7 +484,7 @@ def similar_documents(
 
 
 def one_of_each_group(
-    documents: DataFrame, key: str = "doc_id", text: str = "text", sketch_bits: int = 20
+    documents: DataFrame, key: str = "doc_id", text: str = "text", sketch_bits: int = 22
 ) -> DataFrame:
     """The rows of ``documents``, but one of each component: the one of least key.
 

@@ -43,9 +43,24 @@ def test_near_copies_against_all_pairs(spark, bits):
 
 def test_the_product_finds_what_the_stars_miss(spark, monkeypatch):
     monkeypatch.setattr(jj, "_star_pairs", lambda blocks, real=jj._star_pairs: real(blocks).limit(0))
+    monkeypatch.setattr(jj, "_ROUNDS", 0)
     check(spark, near_copies(seed=4))
 
 
+@pytest.mark.parametrize("long", [2, 1000])
+def test_the_product_of_long_blocks(spark, monkeypatch, long):
+    monkeypatch.setattr(jj, "_star_pairs", lambda blocks, real=jj._star_pairs: real(blocks).limit(0))
+    monkeypatch.setattr(jj, "_ROUNDS", 0)
+    monkeypatch.setattr(jj, "_LONG", long)
+    monkeypatch.setattr(jj, "_BROADCAST_CLASSES", 0)
+    check(spark, near_copies(seed=6, groups=6))
+
+
+def test_probes_find_what_the_stars_miss(spark, monkeypatch):
+    monkeypatch.setattr(jj, "_star_pairs", lambda blocks, real=jj._star_pairs: real(blocks).limit(0))
+    check(spark, near_copies(seed=5, groups=3, size=40))
+
+
 def test_documents_against_all_pairs(spark, documents, texts):
     check(spark, texts, documents)
 

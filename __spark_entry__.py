@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import tenuro as t
 from tenuro.functions import (
+    category_counts,
     count_bad_dates,
     discover_categories,
     four_digit_year,
@@ -18,12 +19,19 @@ from tenuro.functions.lineage import scratch_path
 from tenuro.schema import FEATURES, MEASURES, MONTHLY, PLAN_CATEGORIES, TOTALS
 from tenuro.sources.orders import AS_OF, PLANS
 
+#: All depths of the full search, with its smallest and a large share of features, at its
+#: least number of trees. README tells why not all of it.
 SMALL_GRID = {
-    "maxDepth": (3, 5),
-    "featureSubsetStrategy": (t.max_features(0.3),),
-    "numTrees": (5, 10),
+    "maxDepth": t.FULL_GRID["maxDepth"],
+    "featureSubsetStrategy": (t.max_features(0.1), t.max_features(0.9)),
+    "numTrees": (100,),
 }
-FOREST = {"maxDepth": 5, "featureSubsetStrategy": t.max_features(0.9), "numTrees": 20}
+FOREST = {"maxDepth": 10, "featureSubsetStrategy": t.max_features(0.9), "numTrees": 500}
+#: One split on the plan columns, which SQL can find too.
+STUMP = {"maxDepth": 1, "featureSubsetStrategy": "all", "numTrees": 1, "bootstrap": False}
+PLAN_FEATURES = tuple(f"plan_{c}" for c in PLAN_CATEGORIES)
+#: More rows than any fold has, so that nothing is split.
+NEVER = 1_000_000_000
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,8 +105,10 @@ def legacy_dates(spark, sf_dir):
 
 def bad_dates(spark, sf_dir):
     licenses = _licenses(spark, sf_dir)
-    # The plan stands in for a column of text that holds no dates at all.
-    return count_bad_dates(licenses, "license_start", "license_end", "plan")
+    # Dates with a two-digit year are text, but no dates.
+    start = F.col("license_start").cast("date")
+    short = licenses.withColumn("short_start", F.date_format(start, "dd-MM-yy"))
+    return count_bad_dates(short, "license_start", "license_end", "short_start")
 
 
 def plan_one_hot_discovered(spark, sf_dir):
@@ -107,6 +117,23 @@ def plan_one_hot_discovered(spark, sf_dir):
     return t.prepare_licenses(_licenses(spark, sf_dir), AS_OF, categories=plans)
 
 
+def plan_counts_by_team(spark, sf_dir):
+    return category_counts(
+        t.license_recency(_licenses(spark, sf_dir), AS_OF), "team_id", "plan"
+    )
+
+
+def licenses_from_reordered_csv(spark, sf_dir):
+    """Two files whose columns are in different order, each read by its own header."""
+    licenses = _licenses(spark, sf_dir)
+    odd = F.col("license_id") % 2 == 1
+    first = _written_as_csv(licenses.where(odd), "licenses")
+    columns = reversed(licenses.columns)
+    second = _written_as_csv(licenses.where(~odd).select(*columns), "licenses")
+    both = t.read_licenses(spark, first).unionByName(t.read_licenses(spark, second))
+    return both.withColumn("license_id", F.col("license_id").cast("bigint"))
+
+
 def activity_filled(spark, sf_dir):
     filled = t.filled_activity(_activity(spark, sf_dir))
     return filled.drop("event_date")
@@ -206,6 +233,88 @@ def churn_probability(spark, sf_dir):
     return t.score(model, dataset)
 
 
+def _stump(label_col, use):
+    def run(spark, sf_dir):
+        dataset = t.with_split(_dataset(spark, sf_dir))
+        model = t.train_forest(
+            t.training_rows(dataset), STUMP, label_col, features=PLAN_FEATURES
+        )
+        return use(model, dataset, label_col)
+
+    return run
+
+
+def _stump_scores(model, dataset, label_col):
+    classes = t.predict_classes(model, dataset, label_col)
+    shares = _round6(t.score(model, dataset), "churn_probability")
+    return classes.join(shares.select("team_id", "churn_probability"), "team_id")
+
+
+def _stump_importance(model, dataset, label_col):
+    return t.rank_features(t.feature_importance(model, PLAN_FEATURES))
+
+
+def _stump_report(model, dataset, label_col):
+    predictions = t.predict_classes(model, t.holdout_rows(dataset), label_col)
+    report = t.classification_report(predictions)
+    return _round6(report, "precision", "recall", "f1_score")
+
+
+def _stump_search(label_col):
+    def run(spark, sf_dir):
+        train = t.training_rows(t.with_split(_dataset(spark, sf_dir)))
+        fixed = {k: v for k, v in STUMP.items()}
+        found = t.grid_search(
+            train,
+            {"minInstancesPerNode": (1, NEVER)},
+            classifier=t.forest(**fixed),
+            label_col=label_col,
+            features=PLAN_FEATURES,
+        )
+        best = F.col("minInstancesPerNode") == found.best_params["minInstancesPerNode"]
+        return _round6(found.results.withColumn("is_best", best), "mean_accuracy")
+
+    return run
+
+
+def boosted_stump(spark, sf_dir):
+    """One round of boosting with one split."""
+    dataset = t.with_split(_dataset(spark, sf_dir))
+    model = t.train_model(
+        t.training_rows(dataset),
+        t.boosted_trees(maxIter=1, maxDepth=1),
+        features=PLAN_FEATURES,
+    )
+    scored = t.score(model, dataset).select("team_id", "churn_probability")
+    return _round6(scored, "churn_probability")
+
+
+def logistic_share(spark, sf_dir):
+    """On one 0/1 feature a logistic regression gives the shares of the two groups."""
+    dataset = t.with_split(_dataset(spark, sf_dir)).withColumn(
+        "plan_pro", (F.col("plan_pro") > 0).cast("int")
+    )
+    model = t.train_model(
+        t.training_rows(dataset), t.logistic(tol=1e-12), features=("plan_pro",)
+    )
+    scored = t.score(model, dataset).select("team_id", "churn_probability")
+    return scored.withColumn("churn_probability", F.round("churn_probability", 4))
+
+
+def correlation_ranked(spark, sf_dir, top=None):
+    """Features by the size of their correlation with the label."""
+    dataset = _dataset(spark, sf_dir)
+    found = dataset.agg(*(F.corr(f, "Target1").alias(f) for f in FEATURES))
+    size = F.round(F.coalesce(F.abs("r"), F.lit(0.0)), 6)
+    long = found.unpivot([], list(FEATURES), "feature", "r")
+    ranked = t.rank_features(long.select("feature", size.alias("importance")), top)
+    return ranked.withColumn("importance", F.round("importance", 4))
+
+
+def correlation_top8(spark, sf_dir):
+    return correlation_ranked(spark, sf_dir, top=8)
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """The flagship query at the smallest scale."""
     return _dataset(spark, "/root/testdata/sf0.001")
@@ -242,6 +351,8 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "licenses_prepared": _on_licenses(t.license_recency, AS_OF),
         "licenses_one_hot": _on_licenses(t.prepare_licenses, AS_OF),
         "plan_one_hot_discovered": plan_one_hot_discovered,
+        "plan_counts_by_team": plan_counts_by_team,
+        "licenses_from_reordered_csv": licenses_from_reordered_csv,
         "plan_bin_counts": _on_licenses(t.plan_counts),
         "plan_onehot_by_team": plan_onehot_by_team,
         "license_teams": _on_licenses(t.license_teams),
@@ -271,6 +382,16 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "confusion_matrix": confusion_matrix,
         "classification_report": _report(swap_axes=False),
         "classification_report_swapped": _report(swap_axes=True),
+        "stump_scores": _stump("Target1", _stump_scores),
+        "stump_scores_target2": _stump("Target2", _stump_scores),
+        "stump_importance": _stump("Target1", _stump_importance),
+        "stump_report": _stump("Target1", _stump_report),
+        "stump_search": _stump_search("Target1"),
+        "stump_search_target2": _stump_search("Target2"),
+        "boosted_stump": boosted_stump,
+        "logistic_share": logistic_share,
+        "correlation_ranked": correlation_ranked,
+        "correlation_top8": correlation_top8,
         "grid_search": _search(),
         "grid_search_target2": _search(label_col="Target2"),
         "grid_search_logistic": _search(
@@ -433,14 +554,14 @@ def _hash32(salt: str) -> str:
     return f"CAST('0x' || substr({key}, 1, 8) AS BIGINT)"
 
 
-def _report_sql(truth: str, guess: str) -> str:
+def _report_sql(truth: str, guess: str, rows: str = "dataset") -> str:
     """Scores of both classes from their counts, then accuracy and averages."""
     counts = " UNION ALL ".join(
         f"""SELECT '{c}' AS class,
                    count(*) FILTER (WHERE {truth} = {c} AND {guess} = {c}) AS hits,
                    count(*) FILTER (WHERE {guess} = {c}) AS guessed,
                    count(*) FILTER (WHERE {truth} = {c}) AS support
-            FROM dataset"""
+            FROM {rows}"""
         for c in (0, 1)
     )
     names = ("precision", "recall", "f1_score")
@@ -469,6 +590,42 @@ def _report_sql(truth: str, guess: str) -> str:
       FROM report"""
 
 
+_TRAIN = f"""
+train AS (
+  SELECT *, (row_number() OVER (PARTITION BY label ORDER BY {_hash32("fold:0")}, team_id)
+             - 1) % 3 AS fold
+  FROM (SELECT *, "{{label}}" AS label FROM dataset
+        WHERE {_hash32("split:0")} >= 1073741824))"""
+
+# The best split of the training rows outside each fold; fold 3 is none of them.
+_STUMPS = (
+    "\nlong AS (\n"
+    + "  UNION ALL\n".join(
+        f"  SELECT k, {i} AS f, {c} AS v, label FROM train, folds WHERE fold <> k\n"
+        for i, c in enumerate(PLAN_FEATURES)
+    )
+    + """),
+cumulated AS (
+  SELECT k, f, v, lead(v) OVER w AS following,
+         sum(n) OVER w AS nl, sum(s) OVER w AS sl,
+         sum(n) OVER (PARTITION BY k, f) AS na, sum(s) OVER (PARTITION BY k, f) AS sa
+  FROM (SELECT k, f, v, count(*) AS n, sum(label) AS s FROM long GROUP BY k, f, v)
+  WINDOW w AS (PARTITION BY k, f ORDER BY v)),
+splits AS (
+  SELECT k, f, v, sl / nl AS low, (sa - sl) / (na - nl) AS high, sa / na AS whole,
+         row_number() OVER (PARTITION BY k ORDER BY
+           round(sl * sl / nl + (sa - sl) * (sa - sl) / (na - nl), 9) DESC, f, v) AS best
+  FROM cumulated WHERE following IS NOT NULL),
+stump AS (SELECT * FROM splits WHERE best = 1)"""
+)
+_FOLDS = "folds(k) AS (VALUES (0), (1), (2), (3))"
+_LEAF = (
+    "CASE WHEN (CASE f "
+    + " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(PLAN_FEATURES))
+    + " END) <= v THEN low ELSE high END"
+)
+
+
 def core_oracle_sql() -> dict[str, str]:
     """The core queries in SQL; models have no SQL form."""
     prepared = [_LICENSES, _PREPARED]
@@ -480,6 +637,50 @@ def core_oracle_sql() -> dict[str, str]:
     def sql(ctes: list[str], body: str) -> str:
         return f"WITH {','.join(ctes)}\n{body}"
 
+    def stump(label: str, body: str) -> str:
+        return sql([*dataset, _TRAIN.format(label=label), _FOLDS, _STUMPS], body)
+
+    def scores(label: str) -> str:
+        return stump(
+            label,
+            f"""SELECT team_id, "{label}" AS label, CAST({_LEAF} > 0.5 AS INTEGER)
+                  AS prediction, round({_LEAF}, 6) AS churn_probability
+                FROM dataset, stump WHERE k = 3""",
+        )
+
+    def search(label: str) -> str:
+        return stump(
+            label,
+            f"""SELECT CAST(c AS BIGINT) AS combination,
+                  CAST(CASE c WHEN 0 THEN 1 ELSE {NEVER} END AS BIGINT)
+                    AS "minInstancesPerNode",
+                  round(accuracy, 6) AS mean_accuracy,
+                  row_number() OVER (ORDER BY accuracy DESC, c) = 1 AS is_best
+                FROM (
+                  SELECT c, avg(share) AS accuracy FROM (
+                    SELECT c, fold,
+                      avg(CAST(CAST((CASE c WHEN 0 THEN {_LEAF} ELSE whole END) > 0.5
+                                    AS INTEGER) = label AS INTEGER)) AS share
+                    FROM train JOIN stump ON fold = k, (VALUES (0), (1)) AS tried(c)
+                    GROUP BY c, fold)
+                  GROUP BY c)""",
+        )
+
+    correlations = sql(
+        dataset,
+        "SELECT feature, round(100 * round(coalesce(abs(r), 0), 6), 4) AS importance FROM ("
+        + " UNION ALL ".join(
+            f"SELECT '{f}' AS feature, CASE WHEN max({f}) > min({f}) "
+            f'THEN corr({f}, "Target1") END AS r FROM dataset'
+            for f in FEATURES
+        )
+        + ")",
+    )
+    importance = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, CASE WHEN f = {i} THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END"
+        " AS importance FROM stump WHERE k = 3"
+        for i, c in enumerate(PLAN_FEATURES)
+    )
     one_hot = "* EXCLUDE (plan), " + ", ".join(
         f"CASE WHEN plan = '{c}' THEN 1 ELSE 0 END AS plan_{c}" for c in PLAN_CATEGORIES
     )
@@ -504,8 +705,9 @@ def core_oracle_sql() -> dict[str, str]:
         "bad_dates": sql(
             [_LICENSES],
             "SELECT "
-            + ", ".join(bad.format(c) for c in ("license_start", "license_end", "plan"))
-            + " FROM licenses",
+            + ", ".join(bad.format(c) for c in ("license_start", "license_end"))
+            # None of the short dates has a year of four digits.
+            + ", count(license_start) AS short_start FROM licenses",
         ),
         "licenses_prepared": sql(prepared, "SELECT * FROM prepared"),
         "licenses_one_hot": sql(prepared, f"SELECT {one_hot} FROM prepared"),
@@ -592,6 +794,39 @@ def core_oracle_sql() -> dict[str, str]:
                   PARTITION BY "Target1" ORDER BY {_hash32("fold:0")}, team_id) - 1) % 3
                   AS INTEGER) AS fold FROM dataset""",
         ),
+        "plan_counts_by_team": sql(
+            prepared,
+            "SELECT team_id, plan, count(*) AS n FROM prepared "
+            "WHERE plan IS NOT NULL GROUP BY team_id, plan",
+        ),
+        "licenses_from_reordered_csv": sql([_LICENSES], "SELECT * FROM licenses"),
+        "stump_scores": scores("Target1"),
+        "stump_scores_target2": scores("Target2"),
+        "stump_importance": stump("Target1", importance),
+        "stump_report": stump(
+            "Target1",
+            f""", guessed AS (
+                  SELECT "Target1" AS label, CAST({_LEAF} > 0.5 AS INTEGER) AS prediction
+                  FROM dataset, stump
+                  WHERE k = 3 AND {_hash32("split:0")} < 1073741824)"""
+            + _report_sql("label", "prediction", "guessed"),
+        ),
+        "stump_search": search("Target1"),
+        "stump_search_target2": search("Target2"),
+        "boosted_stump": stump(
+            "Target1",
+            f"""SELECT team_id, round(1 / (1 + exp(-2 * (2 * ({_LEAF}) - 1))), 6)
+                  AS churn_probability FROM dataset, stump WHERE k = 3""",
+        ),
+        "logistic_share": sql(
+            [*dataset, _TRAIN.format(label="Target1")],
+            """SELECT team_id, round(share, 4) AS churn_probability
+               FROM dataset JOIN (SELECT plan_pro > 0 AS pro, avg(label) AS share
+                                  FROM train GROUP BY plan_pro > 0)
+                 ON pro = (plan_pro > 0)""",
+        ),
+        "correlation_ranked": correlations,
+        "correlation_top8": f"{correlations} ORDER BY importance DESC, feature LIMIT 8",
         "confusion_matrix": sql(
             dataset,
             " UNION ALL ".join(

@@ -1,6 +1,11 @@
 """Column expressions shared by the operators."""
 
-from tenuro.functions.categories import discover_categories, one_hot, plan_family
+from tenuro.functions.categories import (
+    category_counts,
+    discover_categories,
+    one_hot,
+    plan_family,
+)
 from tenuro.functions.dates import (
     as_of_date,
     count_bad_dates,
@@ -11,6 +16,7 @@ from tenuro.functions.dates import (
 from tenuro.functions.hashing import HASH_RANGE, key_hash
 from tenuro.functions.lineage import (
     clear_scratch,
+    kept,
     materialise,
     scratch_path,
     shared_folder,
@@ -21,11 +27,13 @@ from tenuro.functions.nulls import null_tokens_to_null, whole_number, zero_if_nu
 __all__ = [
     "HASH_RANGE",
     "as_of_date",
+    "category_counts",
     "clear_scratch",
     "count_bad_dates",
     "date_column",
     "discover_categories",
     "four_digit_year",
+    "kept",
     "key_hash",
     "materialise",
     "null_tokens_to_null",

@@ -29,21 +29,21 @@ def one_hot(df: DataFrame, column: str, categories: Sequence[str]) -> DataFrame:
     )
 
 
-def discover_categories(
-    df: DataFrame, column: str, max_categories: int = 1000
-) -> list[str]:
+def discover_categories(df: DataFrame, column: str) -> list[str]:
     """The distinct non-null values of ``column`` in order, for :func:`one_hot`.
 
-    Each value becomes a column name, so the list has to reach the driver. More
-    than ``max_categories`` values raise instead of being cut off.
+    Each value becomes a column of a table, so all names reach the driver. For values
+    too many to be columns use :func:`category_counts`, which needs no list.
     """
-    rows = (
-        df.where(F.col(column).isNotNull())
-        .select(column)
-        .distinct()
-        .limit(max_categories + 1)
-        .collect()
-    )
-    if len(rows) > max_categories:
-        raise ValueError(f"{column} has more than {max_categories} categories")
+    rows = df.where(F.col(column).isNotNull()).select(column).distinct().collect()
     return sorted(r[0] for r in rows)
+
+
+def category_counts(df: DataFrame, key: str, column: str) -> DataFrame:
+    """One-hot columns summed by ``key``, in long form: ``key``, ``column``, ``n``.
+
+    One row for each pair that occurs, however many values there are. Nulls have no
+    category and a null key is a key of its own.
+    """
+    present = df.where(F.col(column).isNotNull())
+    return present.groupBy(key, column).agg(F.count(F.lit(1)).alias("n"))

@@ -25,16 +25,20 @@ def whole_number(df: DataFrame, name: str) -> Column:
     """Column ``name`` as bigint.
 
     Columns with gaps are often written as ``12.0``, and gaps of floating-point
-    columns arrive as NaN: the first reads as 12, the second as null. Anything
-    else that is not a whole number raises.
+    columns arrive as NaN: the first reads as 12, the second as null. ``1e3`` reads
+    as 1000. Anything that is not a whole number raises.
     """
     value, kind = column(name), df.schema[name].dataType
+    fraction = F.raise_error(F.lit(f"{name} is not a whole number"))
     if isinstance(kind, T.StringType):
-        value = F.regexp_replace(value, r"\.0*\s*$", "")
-    elif isinstance(kind, T.FractionalType):
+        plain = F.regexp_replace(value, r"\.0*\s*$", "")
+        exact = value.cast("decimal(38,18)")
+        whole = F.when(exact != F.floor(exact), fraction).otherwise(exact.cast("bigint"))
+        scientific = value.rlike(r"^\s*[-+]?[0-9.]+[eE][-+]?[0-9]+\s*$")
+        return F.when(scientific, whole).otherwise(plain.cast("bigint"))
+    if isinstance(kind, T.FractionalType):
         if not isinstance(kind, T.DecimalType):
             value = F.when(~F.isnan(value), value)
-        fraction = F.raise_error(F.lit(f"{name} is not a whole number"))
         value = F.when(value != F.floor(value), fraction).otherwise(value)
     return value.cast("bigint")
 

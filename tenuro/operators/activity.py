@@ -1,10 +1,12 @@
 """Product usage: monthly averages and totals per paying team.
 
-Usage of teams without a license does not count. The filter is written as a
-semi join on the aggregated rows. Where Catalyst's size estimate allows a
-broadcast of the team list, it moves the filter down to the scan by itself.
-Where the list is too large for that, the join meets rows that are already
-aggregated, and the raw rows of one busy team never have to share a task.
+Usage of teams without a license does not count. Where Catalyst's size estimate
+allows a broadcast of the team list, the filter runs at the scan. Where the list is
+too large for that, ``paid_first`` decides: the raw rows are shuffled once for a
+semi join, a busy team spread over several tasks, and what comes after sees paying
+teams only (the default); or the join meets rows that are already aggregated, which
+saves that shuffle but takes the usage of all teams through the aggregation. The
+second pays where nearly all teams have licenses. Results are the same.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from tenuro.operators.licenses import license_teams, team_licenses
 from tenuro.schema import MEASURES, MONTHLY, TEAM, TOTALS, USER
 
 MONTH_KEYS = (TEAM, "year", "month")
+#: Tasks that share the raw rows of one team in a shuffled semi join.
+SALTS = 8
 
 
 def paid_only(rows: DataFrame, licenses: DataFrame) -> DataFrame:
@@ -55,49 +59,78 @@ def filled_activity(activity: DataFrame, lenient: bool = False) -> DataFrame:
     return rows.fillna(0, [quoted(c) for c in rows.columns if c != TEAM])
 
 
+def _paid_and_spread(activity: DataFrame, licenses: DataFrame) -> DataFrame:
+    """:func:`paid_activity` for rows that are aggregated next.
+
+    A join by team alone would leave the rows of a team in one task, and the aggregation
+    would take over that distribution. So each team has ``SALTS`` places.
+    """
+    places = F.explode(F.array(*map(F.lit, range(SALTS))))
+    teams = license_teams(licenses).select(TEAM, places.alias("_place"))
+    place = F.pmod(F.xxhash64(USER, "event_date"), F.lit(SALTS)).cast("int")
+    rows = activity.withColumn("_place", place)
+    return rows.join(teams, [TEAM, "_place"], "left_semi").drop("_place")
+
+
+def _counted(activity: DataFrame, licenses: DataFrame, lenient: bool, paid_first: bool):
+    """Usage to aggregate, and what filters the aggregate."""
+    if paid_first:
+        paid = _paid_and_spread(activity, licenses)
+        return filled_activity(paid, lenient), lambda rows: rows
+    return filled_activity(activity, lenient), lambda rows: paid_only(rows, licenses)
+
+
 def team_month_usage(
-    activity: DataFrame, licenses: DataFrame, lenient: bool = False
+    activity: DataFrame,
+    licenses: DataFrame,
+    lenient: bool = False,
+    paid_first: bool = True,
 ) -> DataFrame:
     """Distinct users and summed counters per team and month."""
-    rows = (
-        filled_activity(activity, lenient).groupBy(*MONTH_KEYS).agg(*_users_and_sums())
-    )
-    return paid_only(rows, licenses)
+    usage, paid = _counted(activity, licenses, lenient, paid_first)
+    return paid(usage.groupBy(*MONTH_KEYS).agg(*_users_and_sums()))
 
 
 def team_monthly_average(
-    activity: DataFrame, licenses: DataFrame, lenient: bool = False
+    activity: DataFrame,
+    licenses: DataFrame,
+    lenient: bool = False,
+    paid_first: bool = True,
 ) -> DataFrame:
     """Mean of the monthly figures over the months a team was active in."""
-    rows = (
-        filled_activity(activity, lenient)
-        .groupBy(*MONTH_KEYS)
-        .agg(*_users_and_sums())
-        .groupBy(TEAM)
-        .agg(*_monthly_means())
-    )
-    return paid_only(rows, licenses)
+    usage, paid = _counted(activity, licenses, lenient, paid_first)
+    monthly = usage.groupBy(*MONTH_KEYS).agg(*_users_and_sums())
+    return paid(monthly.groupBy(TEAM).agg(*_monthly_means()))
 
 
 def monthly_overall(
-    activity: DataFrame, licenses: DataFrame, lenient: bool = False
+    activity: DataFrame,
+    licenses: DataFrame,
+    lenient: bool = False,
+    paid_first: bool = True,
 ) -> DataFrame:
     """One row: the mean over all teams of their monthly averages."""
-    return team_monthly_average(activity, licenses, lenient).agg(
+    return team_monthly_average(activity, licenses, lenient, paid_first).agg(
         *(F.avg(c).alias(c) for c in MONTHLY)
     )
 
 
 def team_totals(
-    activity: DataFrame, licenses: DataFrame, lenient: bool = False
+    activity: DataFrame,
+    licenses: DataFrame,
+    lenient: bool = False,
+    paid_first: bool = True,
 ) -> DataFrame:
     """Distinct users and summed counters per team, over all time."""
-    rows = filled_activity(activity, lenient).groupBy(TEAM).agg(*_users_and_sums())
-    return paid_only(rows, licenses)
+    usage, paid = _counted(activity, licenses, lenient, paid_first)
+    return paid(usage.groupBy(TEAM).agg(*_users_and_sums()))
 
 
 def activity_features(
-    activity: DataFrame, licenses: DataFrame, lenient: bool = False
+    activity: DataFrame,
+    licenses: DataFrame,
+    lenient: bool = False,
+    paid_first: bool = True,
 ) -> DataFrame:
     """Monthly averages and totals, one row per paying team.
 
@@ -108,10 +141,9 @@ def activity_features(
     shuffle before the last is keyed by more than the team, and the last one
     moves at most one row per team and task.
     """
-    by_user = (
-        filled_activity(activity, lenient)
-        .groupBy(*MONTH_KEYS, USER)
-        .agg(*(F.sum(m).alias(m) for m in MEASURES))
+    usage, paid = _counted(activity, licenses, lenient, paid_first)
+    by_user = usage.groupBy(*MONTH_KEYS, USER).agg(
+        *(F.sum(m).alias(m) for m in MEASURES)
     )
     month = F.struct(
         "year",
@@ -137,7 +169,7 @@ def activity_features(
             *(F.sum(m).alias(m) for m in MEASURES),
         )
     )
-    return paid_only(rows, licenses)
+    return paid(rows)
 
 
 def _users_and_sums():

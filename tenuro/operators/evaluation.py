@@ -1,7 +1,8 @@
 """Tables that compare a predicted class with the true one.
 
 Both start from one global aggregation that counts every (label, prediction)
-pair, so what is moved between tasks is one row of counts each.
+pair, so what is moved between tasks is one row of counts each. A row whose label
+or prediction is missing or not among ``classes`` raises rather than vanish.
 """
 
 from __future__ import annotations
@@ -103,14 +104,24 @@ def classification_report(
 def _pair_counts(
     df: DataFrame, label_col: str, prediction_col: str, classes: Sequence[int]
 ) -> DataFrame:
-    return df.agg(
+    names = [f"n_{true}_{guess}" for true in classes for guess in classes]
+    counts = df.agg(
         *(
             F.count_if(
                 (F.col(label_col) == true) & (F.col(prediction_col) == guess)
             ).alias(f"n_{true}_{guess}")
             for true in classes
             for guess in classes
-        )
+        ),
+        F.count(F.lit(1)).alias("_rows"),
+    )
+    listed = ", ".join(map(str, classes))
+    other = F.raise_error(
+        F.lit(f"{label_col} or {prediction_col} has values other than {listed}")
+    ).cast("bigint")
+    complete = _total(map(F.col, names)) == F.col("_rows")
+    return counts.select(
+        *(F.when(complete, F.col(n)).otherwise(other).alias(n) for n in names)
     )
 
 

@@ -2,27 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from contextlib import ExitStack, contextmanager
 from typing import Any, NamedTuple
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LogisticRegression,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Binarizer, VectorAssembler
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
 
-from tenuro.functions.lineage import materialise
+from tenuro.functions.hashing import HASH_RANGE, key_hash
+from tenuro.functions.lineage import kept, written
 from tenuro.operators.split import stratified_folds, with_folds
 from tenuro.schema import FEATURES, TEAM
 
 LABEL = "label"
+SHARE = "leave_share"
 MAX_DEPTH = 30
+#: Partitions of the training rows. Bootstrap samples are drawn by partition, so another
+#: number gives another model; it doesn't follow any setting of the session.
+PARTITIONS = 32
 
 
 def max_features(fraction: float, n_features: int = len(FEATURES)) -> str:
@@ -42,21 +45,32 @@ FULL_GRID = {
 
 
 class GridSearch(NamedTuple):
-    """Best parameters, and every combination with its mean accuracy."""
+    """Best parameters, every combination with its mean accuracy, and the best model.
+
+    The model is fitted on all training rows, as :func:`train_model` would.
+    """
 
     best_params: dict[str, Any]
     results: DataFrame
+    best_model: PipelineModel
+
 
+def forest(seed: int = 0, **params) -> RandomForestRegressor:
+    """A random forest with bootstrap samples, of trees that keep all their leaves.
 
-def forest(seed: int = 0, **params) -> RandomForestClassifier:
-    """A random forest with Gini splits and bootstrap samples.
+    It regresses on the 0/1 label. Variance is half the Gini impurity then, so splits are
+    those of a classifier, and the mean of a leaf is its probability. Spark's classifier
+    would merge neighbouring leaves of one class, and lose what tells them apart. (For
+    ``minInfoGain``, note the half.) A threshold of 0.5 gives the class.
 
     The node each row has reached is cached, so that deep forests are not sent
     to the executors again for every level. ``maxMemoryInMB`` bounds the split
     statistics of a task: more of it means fewer passes over the rows.
     """
     options = {"cacheNodeIds": True, **_checked(params)}
-    return RandomForestClassifier(labelCol=LABEL, seed=seed, **options)
+    return RandomForestRegressor(
+        labelCol=LABEL, predictionCol=SHARE, seed=seed, **options
+    )
 
 
 def boosted_trees(seed: int = 0, **params) -> GBTClassifier:
@@ -70,11 +84,17 @@ def logistic(**params) -> LogisticRegression:
 def build_pipeline(
     classifier: Estimator, features: Sequence[str] = FEATURES
 ) -> Pipeline:
-    """Feature assembly followed by ``classifier``; a null feature raises."""
+    """Feature assembly followed by ``classifier``; a null feature raises.
+
+    After a regression a threshold gives ``prediction``.
+    """
     assembler = VectorAssembler(
         inputCols=list(features), outputCol="features", handleInvalid="error"
     )
-    return Pipeline(stages=[assembler, classifier])
+    stages = [assembler, classifier]
+    if isinstance(classifier, RandomForestRegressor):
+        stages.append(Binarizer(threshold=0.5, inputCol=SHARE, outputCol="prediction"))
+    return Pipeline(stages=stages)
 
 
 def training_frame(
@@ -84,33 +104,68 @@ def training_frame(
     folds: int | None = None,
     stratified: bool = True,
     features: Sequence[str] = FEATURES,
+    partitions: int = PARTITIONS,
+    max_training_rows: int | None = None,
 ) -> DataFrame:
     """Features and label of the training rows, computed once.
 
-    Training reads its input many times, so the result is checkpointed rather
-    than derived again from the source tables. Bootstrap samples are drawn by
-    position, so rows are put in a fixed order first: the same rows and seed
-    give the same model. With ``folds`` there is a ``fold`` column too: the one
-    of ``train``, or else one that spreads each label evenly (``stratified``)
-    or by the hash of the team alone.
+    Training reads its input many times, so the result is written rather than derived
+    again from the source tables; it stays until ``clear_scratch``. Bootstrap samples
+    are drawn by position, so rows are put in a fixed order first: the same rows, seed
+    and ``partitions`` give the same model. With ``folds`` there is a ``fold`` column
+    too: the one of ``train``, or else one that spreads each label evenly
+    (``stratified``) or by the hash of the team alone.
+
+    Forests are built on the driver and sent to the executors, and deep ones grow with
+    the rows they are fitted on. ``max_training_rows`` fits on about that many, chosen by
+    a hash of the team; ``minInstancesPerNode`` bounds trees as well.
     """
+    return _training_frame(
+        train, label_col, seed, folds, stratified, features, partitions,
+        max_training_rows, written,
+    )
+
+
+@contextmanager
+def _training(*args, **options) -> Iterator[DataFrame]:
+    """:func:`training_frame` for the length of a ``with`` block."""
+    with ExitStack() as stack:
+        frame = _training_frame(
+            *args, **options, keep=lambda df: stack.enter_context(kept(df, "training"))
+        )
+        yield frame
+
+
+def _training_frame(
+    train: DataFrame,
+    label_col: str,
+    seed: int,
+    folds: int | None,
+    stratified: bool,
+    features: Sequence[str],
+    partitions: int,
+    max_training_rows: int | None,
+    keep: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
     rows = train.select(
         TEAM,
         *features,
         F.col(label_col).alias(LABEL),
         *(["fold"] if folds and "fold" in train.columns else []),
     )
+    if max_training_rows is not None and (n := rows.count()) > max_training_rows:
+        bound = int(HASH_RANGE * max_training_rows / n)
+        rows = rows.where(key_hash(TEAM, f"sample:{seed}") < bound)
     if folds and "fold" not in rows.columns:
         if stratified:
-            rows = stratified_folds(materialise(rows), LABEL, folds, seed)
+            rows = stratified_folds(keep(rows), LABEL, folds, seed)
         else:
             rows = with_folds(rows, folds, seed)
-    parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    frame = materialise(rows.repartition(parts, TEAM).sortWithinPartitions(TEAM))
+    frame = keep(rows)
     labels = frame.agg(F.min(LABEL).alias("low"), F.max(LABEL).alias("high")).first()
     if labels.low is None or labels.low == labels.high:
         raise ValueError(f"{label_col} needs both classes among the training rows")
-    return frame
+    return frame.repartition(partitions, TEAM).sortWithinPartitions(TEAM)
 
 
 def param_grid(classifier: Estimator, grid: Mapping[str, Iterable]) -> list[dict]:
@@ -130,25 +185,30 @@ def grid_search(
     parallelism: int = 4,
     seed: int = 0,
     stratified: bool = True,
+    features: Sequence[str] = FEATURES,
+    partitions: int = PARTITIONS,
+    max_training_rows: int | None = None,
 ) -> GridSearch:
     """Cross-validated search for the parameters with the best mean accuracy.
 
     :func:`training_frame` tells how the folds come about. ``parallelism``
-    models are trained at a time.
+    models are trained at a time. The rows kept for the search are deleted after it.
     """
     classifier = forest(seed) if classifier is None else classifier
-    frame = training_frame(train, label_col, seed, folds, stratified)
     combinations = param_grid(classifier, grid)
-    search = CrossValidator(
-        estimator=build_pipeline(classifier),
-        estimatorParamMaps=combinations,
-        evaluator=MulticlassClassificationEvaluator(
-            labelCol=LABEL, metricName="accuracy"
-        ),
-        numFolds=folds,
-        foldCol="fold",
-        parallelism=parallelism,
-    ).fit(frame)
+    with _training(
+        train, label_col, seed, folds, stratified, features, partitions, max_training_rows
+    ) as frame:
+        search = CrossValidator(
+            estimator=build_pipeline(classifier, features),
+            estimatorParamMaps=combinations,
+            evaluator=MulticlassClassificationEvaluator(
+                labelCol=LABEL, metricName="accuracy"
+            ),
+            numFolds=folds,
+            foldCol="fold",
+            parallelism=parallelism,
+        ).fit(frame)
     tried = [{p.name: v for p, v in c.items()} for c in combinations]
     best = max(range(len(tried)), key=lambda i: search.avgMetrics[i])
     results = train.sparkSession.createDataFrame(
@@ -158,7 +218,7 @@ def grid_search(
         ],
         ["combination", *tried[0], "mean_accuracy"],
     )
-    return GridSearch(tried[best], results)
+    return GridSearch(tried[best], results, search.bestModel)
 
 
 def train_model(
@@ -166,9 +226,15 @@ def train_model(
     classifier: Estimator,
     label_col: str = "Target1",
     seed: int = 0,
+    features: Sequence[str] = FEATURES,
+    partitions: int = PARTITIONS,
+    max_training_rows: int | None = None,
 ) -> PipelineModel:
-    """Fit one classifier on all training rows."""
-    return build_pipeline(classifier).fit(training_frame(train, label_col, seed))
+    """Fit one classifier on the training rows, all of them by default."""
+    with _training(
+        train, label_col, seed, None, True, features, partitions, max_training_rows
+    ) as frame:
+        return build_pipeline(classifier, features).fit(frame)
 
 
 def train_forest(
@@ -176,9 +242,13 @@ def train_forest(
     params: Mapping[str, Any],
     label_col: str = "Target1",
     seed: int = 0,
+    **options,
 ) -> PipelineModel:
-    """Fit the final forest with parameters found by :func:`grid_search`."""
-    return train_model(train, forest(seed, **params), label_col, seed)
+    """Fit the final forest with parameters found by :func:`grid_search`.
+
+    ``options`` are those of :func:`train_model`.
+    """
+    return train_model(train, forest(seed, **params), label_col, seed, **options)
 
 
 def _checked(params: dict) -> dict:

@@ -9,6 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tenuro.functions.columns import columns
+from tenuro.plans.modelling import SHARE
 from tenuro.schema import FEATURES, TEAM
 
 
@@ -33,17 +34,17 @@ def score(
     """
     if partitions:
         df = df.repartition(partitions, TEAM)
-    probability = vector_to_array("probability")[1]
-    return model.transform(df).select(
-        *columns(df), probability.alias("churn_probability")
-    )
+    scored = model.transform(df)
+    share = F.col(SHARE) if SHARE in scored.columns else vector_to_array("probability")[1]
+    return scored.select(*columns(df), share.alias("churn_probability"))
 
 
 def feature_importance(
     model: PipelineModel, features: Sequence[str] = FEATURES
 ) -> DataFrame:
     """Share of each feature in the impurity decrease of the trees; sums to 1."""
-    importances = model.stages[-1].featureImportances.toArray()
+    trees = next(s for s in model.stages if hasattr(s, "featureImportances"))
+    importances = trees.featureImportances.toArray()
     return SparkSession.active().createDataFrame(
         [(f, float(i)) for f, i in zip(features, importances)],
         "feature string, importance double",

@@ -11,15 +11,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tenuro.schema import PLAN_FAMILIES
+
 AS_OF = "2002-01-01"
 
-# Plan of an order, by the remainder of its key.
-PLANS = (
-    "pro1", "business12", "pro12", "business1", "business6", "edu12",
-    "business36", "business24", "pro6", "edu6", "business18", "academic1",
-    "enterprise12", "pro36", "edu36", "academic12", "pro18", "business3",
-    "pro24", "edu24", "enterprise36", "pro3", "edu3", "edu60", "basic1", "edu1",
-)
+#: The plan of an order, by the remainder of its key: known ones, then two unknown.
+PLANS = (*PLAN_FAMILIES, "basic1", "edu1")
 
 
 def licenses_from_orders(orders: DataFrame) -> DataFrame:

@@ -12,14 +12,21 @@ from tenuro.schema import ACTIVITY, LICENSES
 def read_licenses(
     spark: SparkSession, path: str, format: str = "csv", **options
 ) -> DataFrame:
-    """License purchases; columns beyond the known ones are kept."""
+    """License purchases; columns beyond the known ones are kept.
+
+    CSV files must all have the header of the first, in its order. Records with more
+    or fewer fields than the header raise; ``mode="PERMISSIVE"`` fills short ones with
+    nulls (and cuts long ones). A line break inside a quoted field needs
+    ``multiLine=True``, by which a file is no longer split over tasks; without it such
+    a record raises like any other broken one.
+    """
     return conform_licenses(_read(spark, path, format, options))
 
 
 def read_activity(
     spark: SparkSession, path: str, format: str = "csv", **options
 ) -> DataFrame:
-    """Product usage, one row per user and date."""
+    """Product usage, one row per user and date; files as in :func:`read_licenses`."""
     return conform_activity(_read(spark, path, format, options))
 
 
@@ -38,7 +45,15 @@ def _read(spark: SparkSession, path: str, format: str, options: dict) -> DataFra
         return spark.read.format(format).options(**options).load(path)
     # Everything is read as text: no pass over the data to guess types, files
     # stay splittable, and the spellings of null are handled before any cast.
-    defaults = {"header": True, "sep": ",", "quote": '"', "escape": '"'}
+    defaults = {
+        "header": True,
+        "sep": ",",
+        "quote": '"',
+        "escape": '"',
+        "enforceSchema": False,  # check the header of every file
+        "mode": "FAILFAST",
+        "columnPruning": False,  # else fields nobody asks for aren't counted
+    }
     return null_tokens_to_null(spark.read.options(**(defaults | options)).csv(path))
 
 

@@ -4,6 +4,7 @@ import random
 from statistics import fmean
 
 import pytest
+from pyspark.errors import PySparkException
 
 import tenuro as t
 from tests.tables import rows_of
@@ -74,3 +75,11 @@ def test_three_classes(spark):
     rows = [(i % 3, i * i % 5 % 3) for i in range(50)]
     report = t.classification_report(pairs(spark, rows), classes=(0, 1, 2))
     check(report, expected_report(rows, (0, 1, 2)))
+
+
+@pytest.mark.parametrize("row", [(2, 0), (0, 2), (None, 1), (1, None)])
+@pytest.mark.parametrize("table", [t.confusion_matrix, t.classification_report])
+def test_a_row_outside_the_classes_raises(spark, row, table):
+    df = pairs(spark, [(0, 0), (1, 0), row])
+    with pytest.raises(PySparkException, match="label or prediction has values other"):
+        table(df).collect()

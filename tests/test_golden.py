@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import tenuro as t
 from tenuro.functions import (
+    category_counts,
     count_bad_dates,
     discover_categories,
     four_digit_year,
@@ -57,8 +58,17 @@ def test_plans_found_in_the_data(golden_licenses):
     ]
     encoded = t.prepare_licenses(golden_licenses, AS_OF, categories=found)
     assert encoded.columns[-7:] == [f"plan_{c}" for c in found]
-    with pytest.raises(ValueError, match="more than 6"):
-        discover_categories(recent, "plan", max_categories=6)
+    long = category_counts(recent, "team_id", "plan")
+    wide = encoded.groupBy("team_id").agg(
+        *(F.sum(f"plan_{c}").alias(c) for c in found)
+    )
+    expected = wide.unpivot("team_id", found, "plan", "n").where("n > 0")
+    assert rows_of(long) == rows_of(expected)
+
+
+def test_any_number_of_categories(spark):
+    many = spark.range(3000).select(F.col("id").cast("string").alias("plan"))
+    assert len(discover_categories(many, "plan")) == 3000
 
 
 def test_plan_counts(golden_licenses):

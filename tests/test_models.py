@@ -1,5 +1,7 @@
 """Training, evaluation and scoring."""
 
+from pathlib import Path
+
 import pytest
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import tenuro as t
-from tenuro.functions import materialise
+from tenuro.functions import materialise, shared_folder
 from tenuro.schema import DATASET, FEATURES
 from tests.tables import rows_of
 
@@ -89,6 +91,53 @@ def test_same_seed_same_model(dataset, model):
     assert rows_of(t.score(again, dataset)) == rows_of(t.score(model, dataset))
 
 
+def test_shuffle_settings_do_not_change_the_model(dataset, model, conf):
+    for partitions in ("3", "7"):
+        conf("spark.sql.shuffle.partitions", partitions)
+        again = t.train_forest(t.training_rows(dataset), PARAMS, seed=1)
+        assert rows_of(t.score(again, dataset)) == rows_of(t.score(model, dataset))
+    other = t.train_forest(t.training_rows(dataset), PARAMS, seed=1, partitions=2)
+    assert rows_of(t.score(other, dataset)) != rows_of(t.score(model, dataset))
+
+
+def test_leaves_of_one_class_stay_apart(spark):
+    rows = [(i, int(i % 5 < (2 if i < 500 else 1)), int(i < 500)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "team_id long, Target1 int, quantity int")
+    stump = {
+        "maxDepth": 1, "numTrees": 1, "bootstrap": False, "featureSubsetStrategy": "all"
+    }
+    fitted = t.train_forest(df, stump, features=("quantity",))
+    shares = t.score(fitted, df).select("quantity", "churn_probability").distinct()
+    assert rows_of(shares) == [(0, pytest.approx(0.2)), (1, pytest.approx(0.4))]
+    assert {r.prediction for r in t.predict_classes(fitted, df).collect()} == {0}
+    assert t.feature_importance(fitted, ("quantity",)).first().importance == 1
+
+
+def test_the_search_gives_the_model_of_its_best_parameters(dataset):
+    train = t.training_rows(dataset)
+    found = t.grid_search(train, {"maxDepth": (2, 3), "numTrees": (3,)}, seed=0)
+    same = t.train_forest(train, found.best_params)
+    assert rows_of(t.score(found.best_model, dataset)) == rows_of(t.score(same, dataset))
+
+
+def test_nothing_stays_after_training(spark, dataset):
+    def kept():
+        folder = Path(shared_folder(spark)) / f"scratch-{spark.sparkContext.applicationId}"
+        return {p.name for p in folder.glob("training*")}
+
+    before = kept()
+    t.grid_search(t.training_rows(dataset), {"numTrees": (2,), "maxDepth": (2,)})
+    t.train_forest(t.training_rows(dataset), PARAMS)
+    assert kept() == before
+
+
+def test_training_rows_may_be_bounded(dataset):
+    train = t.training_rows(dataset)
+    frame = t.training_frame(train, max_training_rows=50)
+    assert 20 <= frame.count() <= 80
+    assert t.training_frame(train, max_training_rows=10**6).count() == train.count()
+
+
 def test_grid_search_picks_the_first_best(dataset):
     grid = {"maxDepth": (1, 2), "numTrees": (2, 3)}
     found = t.grid_search(t.training_rows(dataset), grid)

@@ -1,6 +1,7 @@
 """Reading the two tables from files."""
 
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -111,3 +112,42 @@ def test_derived_tables_keep_every_row(spark):
     lineitem = spark.read.parquet(f"{folder}/lineitem.parquet")
     assert t.licenses_from_orders(orders).count() == orders.count()
     assert t.activity_from_orders(orders, lineitem).count() == lineitem.count()
+
+
+HEADER = "team_id,license_start,license_end,plan,quantity"
+
+
+def test_whole_numbers_in_exponent_form(spark, tmp_path):
+    path = write(tmp_path / "l.csv", HEADER, "1e3,,,,2.5E1", "1.2e1,,,,0e0", "7.0,,,,3")
+    got = t.read_licenses(spark, path).select("team_id", "quantity")
+    assert rows_of(got) == [(7, 3), (12, 0), (1000, 25)]
+    path = write(tmp_path / "bad.csv", HEADER, "15e-1,,,,1")
+    with pytest.raises(PySparkException, match="not a whole number"):
+        t.read_licenses(spark, path).collect()
+
+
+def test_a_file_with_another_header_raises(spark, tmp_path):
+    write(tmp_path / "a.csv", HEADER, "1,2020-01-01,2020-02-01,pro1,2")
+    swapped = ",".join(reversed(HEADER.split(",")))
+    write(tmp_path / "b.csv", swapped, "2,pro1,2020-02-01,2020-01-01,1")
+    with pytest.raises((PySparkException, Py4JJavaError), match="(?i)header"):
+        t.read_licenses(spark, str(tmp_path)).select("team_id", "quantity").collect()
+
+
+@pytest.mark.parametrize(
+    "record", ["1,2020-01-01,2020-02-01,pro1,2,7", "1,2020-01-01", '1,"2020-01-01\nx",,,']
+)
+def test_records_of_another_length_raise(spark, tmp_path, record):
+    path = write(tmp_path / "l.csv", HEADER, "1,,,,1", record)
+    for columns in ("*", "team_id"):
+        with pytest.raises((PySparkException, Py4JJavaError), match="(?i)malformed"):
+            t.read_licenses(spark, path).select(columns).collect()
+
+
+def test_short_records_and_line_breaks_may_be_allowed(spark, tmp_path):
+    path = write(tmp_path / "l.csv", HEADER, "1,2020-01-01")
+    short = t.read_licenses(spark, path, mode="PERMISSIVE")
+    assert rows_of(short) == [(1, "2020-01-01", None, None, None)]
+    path = write(tmp_path / "m.csv", HEADER + ",note", '1,,,,2,"a\nb"')
+    broken = t.read_licenses(spark, path, multiLine=True)
+    assert rows_of(broken) == [(1, None, None, None, 2, "a\nb")]

@@ -70,3 +70,23 @@ def test_stratified_folds(teams):
     for label, total in Counter(int(i % 7 == 0) for i in range(3000)).items():
         sizes = [cells[label, f] for f in range(3)]
         assert sum(sizes) == total and max(sizes) - min(sizes) <= 1
+
+
+def test_no_row_is_lost_for_a_missing_key_or_label(spark):
+    rows = [(None, 0), (None, None), (1, None), (2, 0), (2, 1), (3, 1)]
+    df = spark.createDataFrame(rows, "team_id long, Target1 int")
+    for split in (t.with_split(df), t.exact_split(df)):
+        sides = rows_of(t.training_rows(split)) + rows_of(t.holdout_rows(split))
+        assert len(sides) == len(rows)
+    for folds in (t.with_folds(df), t.stratified_folds(df)):
+        assert rows_of(folds.select("team_id", "Target1")) == rows_of(df)
+        assert folds.where("fold IS NULL").count() == 0
+
+
+@pytest.mark.parametrize("ranges", [1, 7, 4096])
+def test_the_number_of_ranges_changes_nothing(spark, ranges):
+    df = spark.range(500).select(
+        F.col("id").alias("team_id"), (F.col("id") % 2).cast("int").alias("Target1")
+    )
+    assert rows_of(t.exact_split(df, ranges=ranges)) == rows_of(t.exact_split(df))
+    assert rows_of(t.stratified_folds(df, ranges=ranges)) == rows_of(t.stratified_folds(df))

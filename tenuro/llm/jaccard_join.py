@@ -31,6 +31,8 @@ from tenuro.llm.shingles import set_id, shingle_sets
 _SKETCH_PART = 4096
 #: Blocks from this size on are probed before the product, for so many rounds at most.
 _PROBED, _ROUNDS = 8, 4
+#: Members drawn for each block and round, and those that a class is compared with.
+_SLOTS, _TRIES = 8, 12
 #: From this size on members of a block take their whole sets to the product.
 _LONG = 64
 #: The groups of up to so many classes are broadcast, 16 bytes each.
@@ -184,6 +186,7 @@ def _members(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     """
     bits = 23
     spark = documents.sparkSession
+    wanted = written(wanted, "wanted")
     place = F.pmod(F.xxhash64("doc", "k"), F.lit(1 << bits)).cast("int")
     places = wanted.select(place.alias("place")).distinct()
 
@@ -285,13 +288,13 @@ def _star_pairs(blocks: DataFrame) -> DataFrame:
 
 
 def _mixed(blocks: DataFrame, group: DataFrame) -> DataFrame:
-    """Members of blocks of several groups ``g``; a class is a group of its own at first."""
+    """Members of blocks of several groups ``g`` (of ``gs`` classes; one at first)."""
     if group.count() <= _BROADCAST_CLASSES:
         group = F.broadcast(group)
     rows = (
         blocks.select("h", "c", "n", "pos", "size")
         .join(group, "c", "left")
-        .withColumn("g", F.coalesce("g", "c"))
+        .withColumns({"g": F.coalesce("g", "c"), "gs": F.coalesce("gs", F.lit(1))})
     )
     several = (
         rows.groupBy("h")
@@ -302,35 +305,35 @@ def _mixed(blocks: DataFrame, group: DataFrame) -> DataFrame:
     return written(rows.join(several, "h", "left_semi"), "mixed-blocks")
 
 
-def _probe_pairs(blocks: DataFrame, group: DataFrame, attempt: int, tries: int = 4) -> DataFrame:
-    """Members of long blocks with some member of another group, drawn for each block.
+def _probe_pairs(blocks: DataFrame, group: DataFrame, attempt: int) -> DataFrame:
+    """Members of long blocks with members of a larger group, some drawn for each block.
 
-    Each class takes ``tries`` of them at most: what isn't found out here, the product
+    Each class takes ``_TRIES`` of them at most: what isn't found out here, the product
     finds.
     """
-    rows = _mixed(blocks.where(F.col("size") >= _PROBED), group)
+    rows = _mixed(blocks, group)
+    slot = F.pmod(F.xxhash64("c", F.lit(attempt)), F.lit(_SLOTS))
     draw = F.xxhash64("c", "h", F.lit(attempt))
-    drawn = rows.groupBy("h").agg(
-        F.min(F.struct(draw.alias("d"), "c", "n", "pos", "g")).alias("o")
+    drawn = rows.groupBy("h", slot.alias("slot")).agg(
+        F.min(F.struct(draw.alias("d"), "c", "n", "pos", "g", "gs")).alias("o")
     )
     small, large = F.least("n", F.col("o.n")), F.greatest("n", F.col("o.n"))
     rest = F.least(F.col("n") - F.col("pos"), F.col("o.n") - F.col("o.pos"))
     met = rows.join(drawn, "h").where(
-        (F.col("g") != F.col("o.g")) & (4 * small >= 3 * large) & _linked(rest, small, large)
+        F.expr("g <> o.g AND (gs < o.gs OR (gs = o.gs AND g > o.g))")
+        & (4 * small >= 3 * large)
+        & _linked(rest, small, large)
     )
-    pairs = met.select("c", "n", F.col("o.c").alias("o"), F.col("o.n").alias("n_o")).distinct()
+    pairs = met.groupBy("c", "n", F.col("o.c").alias("o"), F.col("o.n").alias("n_o")).count()
     order = Window.partitionBy("c").orderBy(F.xxhash64("o", F.lit(attempt)))
     return (
         pairs.withColumn("row", F.row_number().over(order))
-        .where(F.col("row") <= tries)
+        .where(F.col("row") <= _TRIES)
         .select(
-            F.when(F.expr("(n, c) < (n_o, o)"), F.col("c")).otherwise(F.col("o")).alias("a"),
-            F.least("n", "n_o").alias("n_a"),
-            F.when(F.expr("(n, c) < (n_o, o)"), F.col("o")).otherwise(F.col("c")).alias("b"),
-            F.greatest("n", "n_o").alias("n_b"),
+            F.col("c").alias("a"), F.col("n").alias("n_a"),
+            F.col("o").alias("b"), F.col("n_o").alias("n_b"),
         )
-        .distinct()
-    )
+    )
 
 
 def _product_pairs(rows: DataFrame) -> DataFrame:
@@ -375,13 +378,12 @@ def _can_link() -> Column:
     ) & _linked(rest, F.col("n_a"), F.col("n_b"))
 
 
-def _long_links(rows: DataFrame, documents: DataFrame, classes: DataFrame) -> DataFrame:
+def _long_links(rows: DataFrame, members: DataFrame) -> DataFrame:
     """The links (``a``, ``b``) of the product within long mixed blocks.
 
-    Whole sets go with the members here, so that of the many pairs of a long block none
-    but the links leave the join.
+    Whole sets go with the members of blocks here, so that of the many pairs of a long
+    block none but the links leave the join.
     """
-    members = _members(documents, classes.join(rows.select("c").distinct(), "c"))
     full = rows.join(members, "c")
     names = ("c", "n", "pos", "g", "members")
     small, large = (
@@ -396,12 +398,8 @@ def _long_links(rows: DataFrame, documents: DataFrame, classes: DataFrame) -> Da
     )
 
 
-def _verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """The links (``a``, ``b``) among candidate pairs, by their whole sets."""
-    pairs = written(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
-    places = written(classes.join(wanted, "c"), "wanted")
-    members = written(_members(documents, places), "members")
     left = members.select(F.col("c").alias("a"), F.col("members").alias("members_a"))
     right = members.select(F.col("c").alias("b"), F.col("members").alias("members_b"))
     common = F.size(F.array_intersect("members_a", "members_b"))
@@ -414,12 +412,18 @@ def _verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame) -> Dat
     return written(links, "links")
 
 
+def _both(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("c")).union(pairs.select("b"))
+
+
 def _groups(links: DataFrame) -> DataFrame:
-    """(``c``, ``g``): the connected component of each class that has a link."""
-    found = components(links)
-    return written(
-        found.select(F.col("node").alias("c"), F.col("component").alias("g")), "groups"
+    """(``c``, ``g``, ``gs``): each linked class, its connected component and its size."""
+    found = written(
+        components(links).select(F.col("node").alias("c"), F.col("component").alias("g")),
+        "groups",
     )
+    sizes = found.groupBy("g").agg(F.count("*").alias("gs"))
+    return written(found.join(sizes, "g").select("c", "g", "gs"), "groups")
 
 
 def similar_documents(
@@ -453,22 +457,27 @@ def similar_documents(
     )
     places = classes.select("c", "doc", "k")
     blocks = written(_blocks(_prefixes(rows, sketch, sketch_bits)), "blocks")
-    links = _verified(_star_pairs(blocks), rows, places)
+    probed = blocks.where(F.col("size") >= _PROBED)
+    pairs = written(_star_pairs(blocks), "pairs")
+    wanted = _both(pairs).union(probed.select("c")).distinct()
+    members = written(_members(rows, places.join(wanted, "c")), "members")
+    links = _verified(pairs, members)
     group = _groups(links)
     for attempt in range(_ROUNDS):
-        more = _verified(_probe_pairs(blocks, group, attempt), rows, places)
+        more = _verified(_probe_pairs(probed, group, attempt), members)
         if more.isEmpty():
             break
         links = links.union(more)
         group = _groups(links)
     mixed = _mixed(blocks, group)
     is_long = F.col("size") >= _LONG
-    more = _verified(_product_pairs(mixed.where(~is_long)), rows, places).union(
-        written(_long_links(mixed.where(is_long), rows, places), "long-links")
-    )
+    pairs = written(_product_pairs(mixed.where(~is_long)), "pairs")
+    rest = written(_members(rows, places.join(_both(pairs).distinct(), "c")), "members")
+    long_links = written(_long_links(mixed.where(is_long), members), "links")
+    more = _verified(pairs, rest).union(long_links)
     if not more.isEmpty():
         group = _groups(links.union(more))
-    grouped = classes.join(group, "c", "left").select(
+    grouped = classes.join(group.drop("gs"), "c", "left").select(
         "c", "least", F.coalesce("g", "c").alias("g")
     )
     least = grouped.groupBy("g").agg(F.min("least").alias("component"))

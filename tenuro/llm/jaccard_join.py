@@ -33,7 +33,8 @@ _SKETCH_PART = 4096
 _PROBED, _ROUNDS = 8, 4
 #: Members drawn for each block and round, and those that a class is compared with.
 _SLOTS, _TRIES = 8, 12
-#: From this size on members of a block take their whole sets to the product.
+#: From this size on, not less than ``_PROBED``, members of a block take their whole sets
+#: to the product.
 _LONG = 64
 #: The groups of up to so many classes are broadcast, 16 bytes each.
 _BROADCAST_CLASSES = 1_000_000

@@ -52,6 +52,7 @@ def test_the_product_of_long_blocks(spark, monkeypatch, long):
     monkeypatch.setattr(jj, "_star_pairs", lambda blocks, real=jj._star_pairs: real(blocks).limit(0))
     monkeypatch.setattr(jj, "_ROUNDS", 0)
     monkeypatch.setattr(jj, "_LONG", long)
+    monkeypatch.setattr(jj, "_PROBED", min(long, jj._PROBED))
     monkeypatch.setattr(jj, "_BROADCAST_CLASSES", 0)
     check(spark, near_copies(seed=6, groups=6))
 

@@ -25,7 +25,7 @@ SHARE = "leave_share"
 MAX_DEPTH = 30
 #: Partitions of the training rows. Bootstrap samples are drawn by partition, so another
 #: number gives another model; it doesn't follow any setting of the session.
-PARTITIONS = 32
+PARTITIONS = 8
 
 
 def max_features(fraction: float, n_features: int = len(FEATURES)) -> str:

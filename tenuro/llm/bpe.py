@@ -262,8 +262,8 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon, newer: str = ""):
         self.vocabulary, self.lexicon = vocabulary, lexicon
         self.split = splitter(newer)
-        self.words = Cache(self._words, 200_000)
-        self.pieces = Cache(self._pieces)
+        self.words = Cache(self._words, 100_000)
+        self.pieces = Cache(self._pieces, 200_000)
 
     def _words(self, words: list[str]) -> Iterator[bytes]:
         for word in words:
@@ -296,7 +296,7 @@ class Encoder:
 
 
 def frequent_words(
-    df: DataFrame, text: str = "text", size: int = 131_072, held: int = 400_000
+    df: DataFrame, text: str = "text", size: int = 131_072, held: int = 200_000
 ) -> DataFrame:
     """Words that make up at least one in ``size`` of all: ``word`` (binary), ``n``.
 

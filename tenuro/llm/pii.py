@@ -13,6 +13,7 @@ import re
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Callable, Iterator, Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -217,27 +218,34 @@ def rewrite(text: str) -> Rewriting | None:
 def find_spans(text: str) -> list[tuple[str, int, int, bool]]:
     """Spans (kind, start, stop, disguised) by kind, then start.
 
-    Plain ones are all there; a disguised one is added where it overlaps none of them.
+    Plain ones are all there; a disguised one is added unless it is one of its kind or lies
+    inside one. It may overlap plain ones, of which it has the part that isn't disguised.
     """
     found = [(kind, a, b, False) for kind, find in _FINDERS.items() for a, b in find(text)]
     rewritten = rewrite(text)
     if rewritten is not None:
-        taken = sorted((a, b) for _, a, b, _ in found)
-        ends = [0]
-        for _, b in taken:
-            ends.append(max(ends[-1], b))
-        begins = [a for a, _ in taken]
-        for kind, find in _FINDERS.items():
-            for span in find(rewritten.text):
-                a, b, changed = rewritten.source(*span)
-                # Of the plain spans that begin before b, does any end after a?
-                if changed and ends[bisect_right(begins, b - 1)] <= a:
-                    found.append((kind, a, b, True))
+        _add_disguised(found, rewritten)
     return sorted(found, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
+def _add_disguised(found: list[tuple[str, int, int, bool]], rewritten: Rewriting) -> None:
+    """Adds what is disguised and not inside a span of its kind that is ``found`` already."""
+    for kind, find in _FINDERS.items():
+        taken = sorted((a, b) for k, a, b, _ in found if k == kind)
+        begins = [a for a, _ in taken]
+        ends = [0, *accumulate((b for _, b in taken), max)]
+        for span in find(rewritten.text):
+            a, b, changed = rewritten.source(*span)
+            # Of the spans that begin at a or before, does any end at b or after?
+            if changed and ends[bisect_right(begins, a)] < b:
+                found.append((kind, a, b, True))
+
+
 def masked(text: str) -> str:
-    """The text with each span replaced by its kind in angle brackets."""
+    """The text with each span replaced by its kind in angle brackets.
+
+    Spans that overlap are replaced as one, from the first start to the last stop.
+    """
     spans = sorted((a, b, kind) for kind, a, b, _ in find_spans(text))
     out, done = [], 0
     for a, b, kind in spans:

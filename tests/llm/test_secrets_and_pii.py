@@ -46,6 +46,21 @@ def test_disguises_map_back_to_the_source(text, kind, found):
     assert found not in pii.masked(text) and f"<{kind.upper()}>" in pii.masked(text)
 
 
+@pytest.mark.parametrize(
+    "text, kind, plain_part",
+    [
+        ("jоhn@example.com", "email", "hn@example.com"),
+        ("jo\u200bhn@example.com", "email", "hn@example.com"),
+        ("john@example.cоm", "email", "john@example.c"),
+        ("+1 202 555 0１２３", "phone", "+1 202 555 0"),
+    ],
+)
+def test_a_disguise_beside_a_plain_part(text, kind, plain_part):
+    spans = [(k, text[a:b], disguised) for k, a, b, disguised in pii.find_spans(f"{text} x")]
+    assert sorted(spans) == sorted([(kind, plain_part, False), (kind, text, True)])
+    assert pii.masked(f"to {text}, x") == f"to <{kind.upper()}>, x"
+
+
 @pytest.mark.parametrize(
     "text", ["look at example.com now", "at home dot", "one two three four", "a dot on the i", "été at noon"]
 )

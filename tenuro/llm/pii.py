@@ -132,7 +132,7 @@ _BRACKETED = re.compile(r"\s{0,3}[(\[{<]\s{0,3}(at|dot)\s{0,3}[)\]}>]\s{0,3}", r
 _SPOKEN_DOT = re.compile(r"(?<=[A-Za-z0-9])\s{1,3}dot\s{1,3}(?=[A-Za-z0-9])", re.I | re.A)
 # "at" alone is a common word, so it counts only before a host with a rewritten dot.
 _SPOKEN_AT = re.compile(
-    r"(?<=[A-Za-z0-9])\s{1,3}at\s{1,3}(?=[A-Za-z0-9-]+(?:\x00[A-Za-z0-9-]+)+)", re.I | re.A
+    r"(?<=[A-Za-z0-9])\s{1,3}at\s{1,3}(?=([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+))", re.I | re.A
 )
 
 
@@ -171,10 +171,13 @@ class Rewriting:
         self.text = "".join(made)
         self.steps.append((starts, sources))
 
-    def source(self, start: int, stop: int) -> tuple[int, int, bool]:
-        """The span of the source, and whether anything in it was rewritten."""
+    def source(self, start: int, stop: int, since: int = 0) -> tuple[int, int, bool]:
+        """The span of the source, and whether anything in it was rewritten.
+
+        With ``since``, by that step or later ones, and the span of the text it took.
+        """
         changed = False
-        for starts, sources in reversed(self.steps):
+        for starts, sources in reversed(self.steps[since:]):
             first, last = bisect_right(starts, start) - 1, bisect_right(starts, stop - 1) - 1
             a, _, copied_first = sources[first]
             b, b_end, copied_last = sources[last]
@@ -202,16 +205,17 @@ def rewrite(text: str) -> Rewriting | None:
         out.replace(_DIGIT_RUN, _digits)
     bracketed = any(c in low for c in "([{<") and ("dot" in low or "at" in low)
     if bracketed or "dot" in low:
-        # \x00 marks a rewritten dot until "at" has been dealt with.
-        marked = "\x00" not in out.text
-        dot = "\x00" if marked else "."
+        before_dots = len(out.steps)
         if bracketed:
-            out.replace(_BRACKETED, lambda m: "@" if m[1].lower() == "at" else dot)
+            out.replace(_BRACKETED, lambda m: "@" if m[1].lower() == "at" else ".")
         if "dot" in low:
-            out.replace(_SPOKEN_DOT, lambda _: dot)
-        if marked and "\x00" in out.text:
-            out.replace(_SPOKEN_AT, lambda _: "@")
-            out.text = out.text.replace("\x00", ".")
+            out.replace(_SPOKEN_DOT, lambda _: ".")
+        if len(out.steps) > before_dots:
+            # Of a host, those steps can have written nothing but dots.
+            out.replace(
+                _SPOKEN_AT,
+                lambda m: "@" if out.source(*m.span(1), before_dots)[2] else m[0],
+            )
     return out if out.steps else None
 
 

@@ -61,6 +61,22 @@ def test_a_disguise_beside_a_plain_part(text, kind, plain_part):
     assert pii.masked(f"to {text}, x") == f"to <{kind.upper()}>, x"
 
 
+@pytest.mark.parametrize(
+    "found",
+    [
+        "bob at mail dot example dot org",
+        "jane at mail.example dot com",
+        "jane at mail dot example.com",
+        "joe at a.b.c [dot] d.com",
+    ],
+)
+def test_spoken_at_in_any_text_before_any_host_with_a_spoken_dot(found):
+    for text in (found, f"\0 {found}", f"look at example.com or at {found}, \0 at 1.5 dot"):
+        spans = [(k, text[a:b]) for k, a, b, disguised in pii.find_spans(text) if disguised]
+        assert spans == [("email", found)]
+        assert pii.masked(text) == text.replace(found, "<EMAIL>")
+
+
 @pytest.mark.parametrize(
     "text", ["look at example.com now", "at home dot", "one two three four", "a dot on the i", "été at noon"]
 )

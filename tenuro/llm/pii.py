@@ -12,7 +12,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_right
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from copy import copy
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -128,6 +129,23 @@ _DIGIT_RUN = re.compile(
     re.I | re.A,
 )
 _DIGIT_WORDS = re.compile(rf"plus|{_DIGIT_WORD}", re.I | re.A)
+# Also shorter runs and those with figures among them; what adjoins them decides.
+_FIGURE = rf"(?:{_DIGIT_WORD}|[0-9]++)"
+_MIXED_RUN = re.compile(
+    rf"(?<![A-Za-z0-9])(?:plus[\s-]{{1,3}})?{_FIGURE}(?:[\s,-]{{1,3}}{_FIGURE})*(?![A-Za-z])",
+    re.I | re.A,
+)
+_FIGURES = re.compile(_FIGURE, re.I | re.A)
+_BEFORE_RUN = re.compile(
+    r"(?:\.|(?:\+|(?<![A-Za-z])dot)[\s)\]}>(-]{0,8}|[0-9][\s().-]{1,3})\Z", re.I | re.A
+)
+_AFTER_RUN = re.compile(
+    r"\.[0-9A-Za-z]|[\s(\[{<]{0,8}dot(?![A-Za-z])|[\s().-]{1,3}[0-9]", re.I | re.A
+)
+# Whatever makes a word part of a longer run or adjoins one, and maybe more.
+_NEAR = "(?:[0-9]|dot|plus|" + "|".join(SPELLED) + ")"
+_NEAR_BEFORE = re.compile(rf"(?:[.+]|{_NEAR})[\s,()\[\]{{}}<>.+-]{{0,8}}\Z", re.A)
+_NEAR_AFTER = re.compile(rf"\.|[\s,()\[\]{{}}<>.-]{{0,8}}{_NEAR}", re.A)
 _BRACKETED = re.compile(r"\s{0,3}[(\[{<]\s{0,3}(at|dot)\s{0,3}[)\]}>]\s{0,3}", re.I | re.A)
 _SPOKEN_DOT = re.compile(r"(?<=[A-Za-z0-9])\s{1,3}dot\s{1,3}(?=[A-Za-z0-9])", re.I | re.A)
 # "at" alone is a common word, so it counts only before a host with a rewritten dot.
@@ -145,24 +163,27 @@ class Rewriting:
 
     def replace(self, pattern: re.Pattern, output: Callable[[re.Match], str]) -> None:
         """One transducer: what ``pattern`` finds becomes ``output``."""
+        self.edit((*m.span(), output(m)) for m in pattern.finditer(self.text))
+
+    def edit(self, edits: Iterable[tuple[int, int, str]]) -> None:
+        """One transducer: from start to stop the text becomes another, in order."""
         made: list[str] = []
         starts: list[int] = []  # of pieces, in the new text
         sources: list[tuple[int, int, bool]] = []  # their place before; copied or not
         done = length = 0
-        for match in pattern.finditer(self.text):
-            new = output(match)
-            if new == match[0]:
+        for start, stop, new in edits:
+            if new == self.text[start:stop]:
                 continue
             for piece, a, b, copied in (
-                (self.text[done : match.start()], done, match.start(), True),
-                (new, match.start(), match.end(), False),
+                (self.text[done:start], done, start, True),
+                (new, start, stop, False),
             ):
                 if piece:
                     made.append(piece)
                     starts.append(length)
                     sources.append((a, b, copied))
                     length += len(piece)
-            done = match.end()
+            done = stop
         if not done:
             return
         made.append(self.text[done:])
@@ -192,16 +213,79 @@ def _digits(match: re.Match) -> str:
     return "".join(SPELLED.get(w.lower(), "+") for w in words)
 
 
-def rewrite(text: str) -> Rewriting | None:
-    """The text with its disguises undone; None if it has none."""
+def _may_have_mixed_runs(low: str) -> bool:
+    """Whether a digit word of a text in lower case has company. Looks at those alone."""
+    for word in SPELLED:
+        start = low.find(word)
+        while start >= 0:
+            stop = start + len(word)
+            if not (low[max(0, start - 1) : start] + low[stop : stop + 1]).isalpha() and (
+                _NEAR_BEFORE.search(low[max(0, start - 16) : start])
+                or _NEAR_AFTER.match(low[stop : stop + 16])
+            ):
+                return True
+            start = low.find(word, stop)
+    return False
+
+
+def _mixed_digits(text: str) -> Iterator[tuple[int, int, str]]:
+    """Edits for runs of two figures or more, or with a figure, "+" or dot beside them.
+
+    Single figures are joined to one number, and a space parts it from longer ones.
+    """
+    for run in _MIXED_RUN.finditer(text):
+        start, stop = run.span()
+        tokens = [
+            (*m.span(), SPELLED.get(m[0].lower(), m[0]))
+            for m in _FIGURES.finditer(text, start, stop)
+        ]
+        if all(text[a] == figure[0] for a, _, figure in tokens):
+            continue  # no words
+        if len(tokens) == 1 and start == tokens[0][0]:
+            if not _BEFORE_RUN.search(text[max(0, start - 12) : start]) and not _AFTER_RUN.match(
+                text[stop : stop + 12]
+            ):
+                continue
+        if start < tokens[0][0]:
+            yield start, tokens[0][0], "+"
+        for i, (a, b, figure) in enumerate(tokens):
+            if i:
+                end, last = tokens[i - 1][1:]
+                yield end, a, "" if len(last) == len(figure) == 1 else " "
+            yield a, b, figure
+
+
+def _with_ascii(text: str) -> Rewriting:
+    """The text with look-alike characters undone."""
     out = Rewriting(text)
     if not text.isascii():
         out.replace(
             _DISGUISED_CHARACTERS,
             lambda m: "" if m[0] in INVISIBLE else _plain_character(m[0]),
         )
+    return out
+
+
+def rewrite(
+    text: str, mixed: bool = False, ascii_text: Rewriting | None = None
+) -> Rewriting | None:
+    """The text with its disguises undone; None if it has none.
+
+    Spelled digits are undone in runs of three words or more. With ``mixed``, they are
+    also in shorter ones and among figures; None if that makes no difference.
+    ``ascii_text`` saves the first step, of characters, where it has been done.
+    """
+    out = copy(ascii_text or _with_ascii(text))
+    out.steps = list(out.steps)
     low = out.text.lower()
-    if sum(map(low.count, SPELLED)) >= 3:
+    if mixed:
+        if not _may_have_mixed_runs(low):
+            return None
+        before = out.text
+        out.edit(_mixed_digits(before))
+        if out.text == before or out.text == _DIGIT_RUN.sub(_digits, before):
+            return None
+    elif sum(map(low.count, SPELLED)) >= 3:
         out.replace(_DIGIT_RUN, _digits)
     bracketed = any(c in low for c in "([{<") and ("dot" in low or "at" in low)
     if bracketed or "dot" in low:
@@ -226,9 +310,11 @@ def find_spans(text: str) -> list[tuple[str, int, int, bool]]:
     inside one. It may overlap plain ones, of which it has the part that isn't disguised.
     """
     found = [(kind, a, b, False) for kind, find in _FINDERS.items() for a, b in find(text)]
-    rewritten = rewrite(text)
-    if rewritten is not None:
-        _add_disguised(found, rewritten)
+    ascii_text = _with_ascii(text)
+    for mixed in (False, True):
+        rewritten = rewrite(text, mixed, ascii_text)
+        if rewritten is not None:
+            _add_disguised(found, rewritten)
     return sorted(found, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 

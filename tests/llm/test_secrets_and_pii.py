@@ -77,6 +77,33 @@ def test_spoken_at_in_any_text_before_any_host_with_a_spoken_dot(found):
         assert pii.masked(text) == text.replace(found, "<EMAIL>")
 
 
+@pytest.mark.parametrize(
+    "kind, found",
+    [
+        ("ip", "one nine two dot one six eight dot zero dot one"),
+        ("ip", "192.168.zero.one"),
+        ("ip", "one 9 two dot 1 six 8 [dot] 0 [dot] one"),
+        ("phone", "+44 seven seven 0 0 nine 0 0 1 2 3"),
+        ("phone", "+1 (two) 02 555-01 seven"),
+        ("card", "4111 one one one one 1111 111 one"),
+    ],
+)
+def test_spelled_digits_among_figures_and_dots(kind, found):
+    text = f"No one, not two of 10, went to {found}."
+    spans = [(k, text[a:b]) for k, a, b, disguised in pii.find_spans(text) if disguised]
+    assert spans == [(kind, found)]
+    assert pii.masked(text) == text.replace(found, f"<{kind.upper()}>")
+
+
+def test_shorter_runs_take_nothing_from_longer_ones():
+    text = "10 dot 0 dot 0 dot 1 one two three"
+    spans = [(k, text[a:b]) for k, a, b, _ in pii.find_spans(text)]
+    assert spans == [("ip", "10 dot 0 dot 0 dot 1")]
+    text = "one 10 dot 0 dot 0 dot 1 12"
+    spans = [(k, text[a:b]) for k, a, b, _ in pii.find_spans(text)]
+    assert spans == [("ip", "10 dot 0 dot 0 dot 1")]
+
+
 @pytest.mark.parametrize(
     "text", ["look at example.com now", "at home dot", "one two three four", "a dot on the i", "été at noon"]
 )

@@ -32,7 +32,12 @@ SENSITIVE = (
     "key", "secret", "token", "passw", "pwd", "credential", "auth", "bearer", "private",
     "login", "session", "signature", "connection",
 )
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,512}(?![A-Za-z0-9+/_=-])")
+# Inside a run "=" parts a name from its value; at the end it is padding.
+_CANDIDATE = re.compile(
+    r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,512}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
+    r"|[A-Za-z0-9+/_-]{15}=(?![A-Za-z0-9+/_=-])|[A-Za-z0-9+/_-]{14}==(?![A-Za-z0-9+/_=-]))"
+    r"(?![A-Za-z0-9+/_-])"
+)
 _ASSIGNED = re.compile(r"[:=]|bearer", re.I)
 
 

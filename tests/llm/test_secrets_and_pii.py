@@ -145,6 +145,19 @@ def test_novelty_tells_random_strings_from_names():
         assert len(secrets.novel_spans(text, [], novelty, 0.7)) == expected
 
 
+@pytest.mark.parametrize(
+    "before",
+    ["AUTH_KEY=", "export AUTH_KEY_OF_THE_SERVICE=", "private_key=", "pwd=", "https://x.example/a?b=c&session=", "PWD=="],
+)
+@pytest.mark.parametrize("value", ["Zx81kQ02mfPq7LxT", "Zx81kQ02mfPq7LxTaB+/9w==", "Zx81kQ02mfPq7L=="])
+def test_novel_values_after_a_name_without_quotes(before, value):
+    novelty = secrets.Novelty(b"user_session_default_timeout connection_string_builder")
+    for after in ("", "\n", "&c=d", " # x"):
+        text = before + value + after
+        spans = secrets.novel_spans(text, secrets.plain_spans(text), novelty, 0.7)
+        assert [(k, text[a:b]) for k, a, b in spans] == [("novel", value)]
+
+
 def test_secrets_of_odd_rows(odd, nothing):
     words = secrets.identifier_dictionary(odd)
     assert b"quick" in words and len(words) <= 2_000 * 41

@@ -34,11 +34,15 @@ SENSITIVE = (
 )
 # Inside a run "=" parts a name from its value; at the end it is padding.
 _CANDIDATE = re.compile(
-    r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,512}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
+    r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
     r"|[A-Za-z0-9+/_-]{15}=(?![A-Za-z0-9+/_=-])|[A-Za-z0-9+/_-]{14}==(?![A-Za-z0-9+/_=-]))"
     r"(?![A-Za-z0-9+/_-])"
 )
-_ASSIGNED = re.compile(r"[:=]|bearer", re.I)
+_ASSIGNED = re.compile(r"[:=]|bearer|-----BEGIN", re.I)
+_PART = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-.")
+_WORD = re.compile(r"[^\W_]")
+#: How much of a line makes the context of what follows.
+_CONTEXT = 48
 
 
 def plain_spans(text: str) -> list[tuple[str, int, int]]:
@@ -79,29 +83,55 @@ class Novelty:
         return added / (stop - start)
 
 
+def _is_sensitive(context: str) -> bool:
+    return bool(_ASSIGNED.search(context)) and any(s in context.lower() for s in SENSITIVE)
+
+
 def novel_spans(
     text: str, taken: Sequence[tuple[str, int, int]], novelty: Novelty, least: float
 ) -> list[tuple[str, int, int]]:
-    """Candidates in a sensitive context, outside ``taken``, of at least that novelty."""
+    """Candidates in a sensitive context, outside ``taken``, of at least that novelty.
+
+    A candidate has 16 characters or more. Its context is what stands before it on its
+    line; for the first of a line also the line before, or, where that ends with a
+    candidate in a sensitive context, the context of that one. A part of a dotted string
+    has the context of the whole, too.
+    """
     found = []
+    stop = 0
+    sensitive = False
     for match in _CANDIDATE.finditer(text):
-        start, stop = match.span()
-        word = match[0]
-        if word.isalpha() or not any(c.isdigit() for c in word) or word.isdigit():
-            continue
-        context = text[max(0, start - 48) : start]
-        context = context[context.rfind("\n") + 1 :]
-        if not _ASSIGNED.search(context):
-            continue
-        if not any(s in context.lower() for s in SENSITIVE):
-            continue
-        if any(a < stop and start < b for _, a, b in taken):
+        start, last = match.start(), stop
+        stop = match.end()
+        whole = start  # where its dotted string begins, or the last candidate ends
+        if text[start - 1 : start] == ".":
+            while whole > last and text[whole - 1] in _PART:
+                whole -= 1
+        sensitive = (
+            (sensitive and 0 < last == whole)  # a further part
+            or _has_sensitive_context(text, start, last, sensitive)
+            or (last < whole < start and _has_sensitive_context(text, whole, last, sensitive))
+        )
+        if not sensitive or any(a < stop and start < b for _, a, b in taken):
             continue
         if novelty(text, start, stop) >= least:
             found.append(("novel", start, stop))
     return found
 
 
+def _has_sensitive_context(text: str, start: int, last: int, carried: bool) -> bool:
+    """``last`` is where the candidate before ends, ``carried`` whether that one had one."""
+    here = text[max(0, start - _CONTEXT) : start]
+    if _is_sensitive(here[here.rfind("\n") + 1 :]):
+        return True
+    above = text.rfind("\n", last, start)
+    if above < 0 or _WORD.search(text, above, start):
+        return False  # not the first of its line
+    if carried and not _WORD.search(text, last, above) and "\n" not in text[last:above]:
+        return True
+    return _is_sensitive(text[max(0, above - _CONTEXT) : above].rpartition("\n")[2])
+
+
 def identifier_dictionary(
     df: DataFrame, text: str = "text", size: int = 2_000
 ) -> bytes:

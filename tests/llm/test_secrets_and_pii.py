@@ -1,4 +1,5 @@
 import random
+import string
 
 import pytest
 
@@ -158,6 +159,39 @@ def test_novel_values_after_a_name_without_quotes(before, value):
         assert [(k, text[a:b]) for k, a, b in spans] == [("novel", value)]
 
 
+def random_string(length, letters, seed=5):
+    return "".join(random.Random(seed).choices(letters, k=length))
+
+
+BASE64 = string.ascii_letters + string.digits + "+/"
+
+
+@pytest.mark.parametrize(
+    "text, values",
+    [
+        ("private_key: {}", [random_string(513, BASE64)]),
+        ("private_key: '{}'", [random_string(100_000, BASE64)]),
+        ("session_key: {}", [random_string(20, string.ascii_letters)]),
+        ("Authorization: Bearer {}.{}.{}", [random_string(n, BASE64, n) for n in (36, 900, 43)]),
+        ("auth: v2.{}.{}.x", [random_string(n, BASE64, n) for n in (60, 70)]),
+        ("-----BEGIN PRIVATE KEY-----\n{}\n{}\n{}\n-----END", [random_string(64, BASE64, n) for n in range(3)]),
+        ("private_key:\r\n" + " " * 60 + "- \"{}\"\n", [random_string(40, BASE64)]),
+    ],
+)
+def test_novelty_decides_on_any_length_and_place(text, values):
+    novelty = secrets.Novelty(b"user_session_default_timeout connection_string_builder")
+    text = text.format(*values)
+    spans = secrets.novel_spans(text, [], novelty, 0.7)
+    assert [text[a:b] for _, a, b in spans] == values
+
+
+def test_other_lines_and_strings_are_no_context():
+    novelty = secrets.Novelty(b"user_session_default_timeout connection_string_builder")
+    value = random_string(40, BASE64)
+    for text in (f"key: a\n\n{value}", f"key: a\nplain {value}", f"a.b\n{value}", f"x.{value}.{value}"):
+        assert secrets.novel_spans(text, [], novelty, 0.7) == []
+
+
 def test_secrets_of_odd_rows(odd, nothing):
     words = secrets.identifier_dictionary(odd)
     assert b"quick" in words and len(words) <= 2_000 * 41

@@ -33,8 +33,8 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return powers(_RADIX), powers(pow(_RADIX, -1, 2**64))
 
 
-def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word in ``data`` and where it starts; the place has no influence."""
+def _raw_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word in ``data`` a sum over its letters, its length and where it starts."""
     letters = np.frombuffer(data, np.uint8)
     size = 1 << max(16, len(data).bit_length())
     powers, inverse = (p[: len(data)] for p in _powers(size))
@@ -43,18 +43,37 @@ def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     starts, stops = edges[::2], edges[1::2]
     sums = np.r_[np.uint64(0), np.cumsum((letters + np.uint64(1)) * powers)]
     raw = (sums[stops] - sums[starts]) * inverse[starts]
-    return _mixed(raw + (stops - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), starts
+    return raw, (stops - starts).astype(np.uint64), starts
+
 
+def _hashes(raw: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    return _mixed(raw + lengths * np.uint64(0xD6E8FEB86659FD93))
 
-def _segments(data: bytes) -> Iterator[bytes]:
-    """Long texts in parts that end at white space, if there is any near the limit."""
-    start = 0
-    while len(data) - start > _SEGMENT:
-        stop = max(data.rfind(c, start + 1, start + _SEGMENT) for c in (b" ", b"\n", b"\t"))
-        stop = stop if stop > 0 else start + _SEGMENT
-        yield data[start:stop]
-        start = stop
-    yield data[start:]
+
+def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word in ``data`` and where it starts; the place has no influence."""
+    raw, lengths, starts = _raw_hashes(data)
+    return _hashes(raw, lengths), starts
+
+
+def _long_word_hashes(data: bytes) -> np.ndarray:
+    """The same hashes, taken a part at a time; a word may go on over any number of them."""
+    found = []
+    raw_open = lengths_open = np.zeros(0, np.uint64)  # of the word that goes on
+    for start in range(0, len(data), _SEGMENT):
+        part = data[start : start + _SEGMENT]
+        raw, lengths, starts = _raw_hashes(part)
+        if len(raw_open):
+            if not _WHITE[part[0]]:
+                moved = np.uint64(pow(_RADIX, int(lengths_open[0]), 2**64))
+                raw[:1] = raw_open + raw[:1] * moved
+                lengths[:1] += lengths_open
+            else:
+                raw, lengths = np.r_[raw_open, raw], np.r_[lengths_open, lengths]
+        closed = len(raw) - (not _WHITE[part[-1]])
+        found.append(_hashes(raw[:closed], lengths[:closed]))
+        raw_open, lengths_open = raw[closed:], lengths[closed:]
+    return np.concatenate([*found, _hashes(raw_open, lengths_open)])
 
 
 def _of_words(words: np.ndarray) -> np.ndarray:
@@ -82,8 +101,7 @@ def shingle_sets(texts: Sequence[str]) -> Iterator[np.ndarray]:
         if len(data) > _SEGMENT:
             yield from _sets(held)
             held, size = [], 0
-            words = np.concatenate([_word_hashes(part)[0] for part in _segments(data)])
-            yield np.unique(_of_words(words))
+            yield np.unique(_of_words(_long_word_hashes(data)))
             continue
         if size + len(data) > _SEGMENT:
             yield from _sets(held)

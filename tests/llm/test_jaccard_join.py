@@ -90,6 +90,21 @@ def test_shingle_sets_have_the_right_sizes():
     assert len(next(shingle_sets([LONG * 8]))) == len(plain.shingles(LONG))
 
 
+@pytest.mark.parametrize("white", [" ", "\t", "\n", "\x0b", "\x0c", "\r"])
+def test_words_and_texts_of_over_a_segment(monkeypatch, white):
+    blob = "".join(random.Random(2).choices("abcXYZ019+/é", k=1_500_000))
+    texts = [
+        white.join(["a", "b", "c", blob, "d"]),
+        white.join(["a", "b", "c", blob, "d", "e"]),
+        white.join([blob, blob[::-1] + white]),
+        white.join(f"w{i}" for i in range(200_000)),
+    ]
+    sets = list(shingle_sets(texts))
+    assert [len(s) for s in sets] == [len(plain.shingles(t)) for t in texts] == [1, 2, 1, 199_996]
+    monkeypatch.setattr("tenuro.llm.shingles._SEGMENT", 10_000_000)
+    assert all(map(np.array_equal, sets, shingle_sets(texts)))
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 180)] + [(7, i) for i in range(300, 400)] + [(5, 5)]
     rng = random.Random(1)

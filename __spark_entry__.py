@@ -20,13 +20,9 @@ from tenuro.functions.lineage import scratch_path
 from tenuro.schema import FEATURES, MEASURES, MONTHLY, PLAN_CATEGORIES, TOTALS
 from tenuro.sources.orders import AS_OF, PLANS
 
-#: All depths of the full search, with one share of features, at its least number of
-#: trees. README says what is left out.
-SMALL_GRID = {
-    "maxDepth": t.FULL_GRID["maxDepth"],
-    "featureSubsetStrategy": (t.max_features(0.9),),
-    "numTrees": (100,),
-}
+#: All depths and shares of features of the full search, at its least number of trees.
+#: README says what is left out.
+SMALL_GRID = t.FULL_GRID | {"numTrees": (100,)}
 FOREST = {"maxDepth": 10, "featureSubsetStrategy": t.max_features(0.9), "numTrees": 500}
 #: One split on the plan columns, which SQL can find too.
 STUMP = {"maxDepth": 1, "featureSubsetStrategy": "all", "numTrees": 1, "bootstrap": False}

@@ -47,3 +47,11 @@ def test_query_without_sql_gives_rows(spark, name):
 def test_flagship(spark):
     flagship = entry.entry(spark)
     assert flagship.columns == list(DATASET) and flagship.count() == 135
+
+
+def test_registered_searches_try_all_depths_and_shares(spark):
+    tried = entry.t.param_grid(entry.t.forest(), entry.SMALL_GRID)
+    shapes = {tuple(v for p, v in c.items() if p.name != "numTrees") for c in tried}
+    full = entry.t.FULL_GRID
+    assert shapes == {(d, f) for d in full["maxDepth"] for f in full["featureSubsetStrategy"]}
+    assert len(tried) == len(shapes) == 30

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Takes texts, gives one list of values for each new column.
-Measure = Callable[[list[str]], Sequence[Sequence]]
+#: Takes texts (and the values of further columns), gives a list for each new column.
+Measure = Callable[..., Sequence[Sequence]]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -31,31 +31,34 @@ def map_texts(
     fields: str,
     prepare: Callable[[], Measure],
     chunk_chars: int = 4_000_000,
+    with_columns: Sequence[str] = (),
 ) -> DataFrame:
     """Columns ``keep`` of ``df`` and, for each text, the values of ``fields``.
 
     ``prepare`` runs once for each task; what it returns sees a list of whole texts
-    at a time, a null as the empty text. A list ends at ``chunk_chars`` characters,
-    so memory follows the longest text rather than the batch.
+    at a time, a null as the empty text, and a list for each of ``with_columns``. A list
+    ends at ``chunk_chars`` characters, so memory follows the longest text rather than
+    the batch.
     """
     added = StructType.fromDDL(fields)
     schema = StructType([df.schema[k] for k in keep] + added.fields)
     arrow = to_arrow_schema(schema)
-    kept, types = list(keep), [arrow.field(f.name).type for f in added]
+    kept, further = list(keep), list(with_columns)
+    types = [arrow.field(f.name).type for f in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measure = prepare()
         for batch in batches:
             for part in slices(batch, text, chunk_chars):
                 texts = [t or "" for t in part.column(text).to_pylist()]
-                values = measure(texts)
+                values = measure(texts, *(part.column(c).to_pylist() for c in further))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(k) for k in kept]
                     + [pa.array(v, t) for v, t in zip(values, types, strict=True)],
                     names=arrow.names,
                 )
 
-    return df.select(*dict.fromkeys([*kept, text])).mapInArrow(run, schema)
+    return df.select(*dict.fromkeys([*kept, text, *further])).mapInArrow(run, schema)
 
 
 def slices(

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 from functools import lru_cache
 
@@ -11,6 +12,7 @@ from tokenizers import Tokenizer
 
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def sha256(text: str) -> str:
@@ -134,3 +136,63 @@ def mask(text):
             out += [text[done:start], f"<{kind.upper()}>"]
         done = max(done, stop)
     return "".join([*out, text[done:]])
+
+
+@lru_cache
+def counting_tokenizer() -> Tokenizer:
+    found = Tokenizer.from_file(WORD_VOCABULARY)
+    found.no_truncation()
+    found.no_padding()
+    return found
+
+
+def count_of_tokens(text):
+    return len(counting_tokenizer().encode(text or "", add_special_tokens=False))
+
+
+def words_with_slips(rows, every=199):
+    """Counts of words of (key, text) rows, one letter left out where the hash says so."""
+    counts = Counter()
+    for key, text in rows:
+        for word in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            word = word.translate(ASCII_LOWER)
+            h = zlib.crc32(f"{'' if key is None else key}:{word}".encode())
+            if h % every == 0:
+                at = h % len(word)
+                word = word[:at] + word[at + 1 :]
+            counts[word] += 1
+    return {w: n for w, n in counts.items() if len(w) >= 6 and n >= 5}
+
+
+def one_edit_apart(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    return len(b) == len(a) + 1 and any(a == b[:i] + b[i + 1 :] for i in range(len(b)))
+
+
+def spelling_groups(counts, factor=5):
+    """{(word, form, root, n, n_near, form_n)}; words that can be near share a half."""
+    alike = defaultdict(set)
+    for word in counts:
+        half = len(word) // 2
+        # One edit leaves the first or the second half of the shorter word whole.
+        for size in {half, (len(word) - 1) // 2, (len(word) + 1) // 2}:
+            alike["begins", word[:size]].add(word)
+            alike["ends", word[len(word) - size :]].add(word)
+    near = defaultdict(set)
+    for group in alike.values():
+        for a in group:
+            near[a].update(b for b in group if one_edit_apart(a, b))
+    form = {}
+    for word, n in counts.items():
+        best = min(near[word], key=lambda w: (-counts[w], w), default=None)
+        form[word] = best if best is not None and counts[best] >= factor * n else None
+    out = set()
+    for word, n in counts.items():
+        root = word
+        while form[root] is not None:
+            root = form[root]
+        out.add((word, form[word], root, n, len(near[word]), counts.get(form[word])))
+    return out

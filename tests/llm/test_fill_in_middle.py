@@ -1,0 +1,73 @@
+import hashlib
+
+import pytest
+from hypothesis import given, settings, strategies as st
+
+from tenuro.llm.fill_in_middle import (
+    ARRANGEMENTS,
+    PieceTable,
+    arranged,
+    decided,
+    fill_in_middle,
+    restored,
+)
+from tests.llm.conftest import ODD
+
+TEXTS = st.text(st.sampled_from("ab<P>SM é🙂\n"), max_size=40).filter(
+    lambda t: not any(m in t for m in ("<P>", "<S>", "<M>"))
+)
+
+
+def by_hand(text, form, a, b):
+    p, m, s = text[:a], text[a:b], text[b:]
+    return {"plain": text, "psm": f"<P>{p}<S>{s}<M>{m}", "spm": f"<S>{s}<P>{p}<M>{m}"}[form]
+
+
+@settings(max_examples=300)
+@given(TEXTS, st.integers(0, 40), st.integers(0, 40), st.sampled_from(["plain", *ARRANGEMENTS]))
+def test_round_trip(text, x, y, form):
+    a, b = sorted((min(x, len(text)), min(y, len(text))))
+    made = arranged(text, form, a, b)
+    output = made.text()
+    assert output == by_hand(text, form, a, b)
+    assert made.sha256() == hashlib.sha256(output.encode()).hexdigest()
+    back = restored(output, form)
+    assert back.text() == text and back.sha256() == hashlib.sha256(text.encode()).hexdigest()
+
+
+@given(st.text(max_size=30), st.lists(st.integers(0, 30), max_size=6), st.randoms())
+def test_cuts_and_permutations(text, places, rnd):
+    table = PieceTable(text).cut(*(min(p, len(text)) for p in places))
+    assert table.text() == text and len(table.pieces) == len(places) + 1
+    order = list(range(len(table.pieces)))
+    rnd.shuffle(order)
+    inverse = sorted(range(len(order)), key=order.__getitem__)
+    assert table.permuted(order).permuted(inverse).pieces == table.pieces
+
+
+def test_cuts_outside():
+    with pytest.raises(ValueError, match="outside"):
+        PieceTable("abc").cut(4)
+
+
+def test_odd_rows(spark, odd, nothing):
+    rows = fill_in_middle(odd, keep=("doc_id", "text")).collect()
+    assert len(rows) == len(ODD)
+    order = lambda r: (r[0] is not None, r[0] or 0, r[1] or "")
+    for (key, text), r in zip(sorted(ODD, key=order), sorted(rows, key=order), strict=True):
+        value = text or ""
+        form, a, b = decided("" if key is None else str(key), value)
+        assert (r.doc_id, r.text, r.form, r.n) == (key, text, form, len(value))
+        assert r.output == by_hand(value, form, a, b)
+        assert r.output_sha256 == hashlib.sha256(r.output.encode()).hexdigest()
+        assert r.restored_sha256 == hashlib.sha256(value.encode()).hexdigest()
+        assert (r.prefix_chars, r.middle_chars) == ((None, None) if form == "plain" else (a, b - a))
+        buffers = (value, "<P><S><M>")
+        assert "".join(buffers[p.buffer][p.start : p.start + p.length] for p in r.pieces) == r.output
+    assert {r.form for r in rows} == {"plain", "psm", "spm"}
+    assert fill_in_middle(nothing).count() == 0
+
+
+def test_sentinels_in_a_text_leave_it_plain():
+    assert {decided(str(i), "a<S>b")[0] for i in range(50)} == {"plain"}
+    assert {decided(str(i), "a<S")[0] for i in range(50)} == {"plain", "psm", "spm"}

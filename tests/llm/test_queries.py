@@ -21,7 +21,7 @@ def in_order(rows):
 
 def test_all_are_registered():
     numbers = {n.split("_")[0] for n in OWN}
-    assert numbers == {*(f"op{i}" for i in range(1, 11)), "pipeline"} and len(OWN) == 11
+    assert numbers == {*(f"op{i}" for i in range(1, 14)), "pipeline"} and len(OWN) == 14
 
 
 @pytest.mark.parametrize("name", [n for n in OWN if n in ORACLE])
@@ -97,6 +97,20 @@ def test_op9_matches_the_library(spark, texts):
         assert rows[key].ids_sha256 == plain.hashlib.sha256(plain.as_bytes(ids)).hexdigest()
 
 
+def test_op11_matches_all_edits(spark, texts):
+    expected = plain.spelling_groups(plain.words_with_slips(texts))
+    rows = QUERIES["op11_spelling_groups"](spark, SF).collect()
+    assert {tuple(r) for r in rows} == expected and len(rows) == len(expected)
+
+
+def test_op12_matches_the_library(spark, texts):
+    rows = rows_of(spark, "op12_resynchronised")
+    for key, text in texts:
+        r, n = rows[key], plain.count_of_tokens(text)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len((text or "").encode()), n, n > 2048)
+    assert any(r.n_chunks > 1 for r in rows.values())
+
+
 def test_pipeline_matches_its_plain_version(spark, documents):
     rows = [r for r in documents.collect() if any(c.isalpha() for c in r.text or "")]
     groups = plain.component_ids([(r.doc_id, r.text) for r in rows])

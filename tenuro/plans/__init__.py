@@ -11,6 +11,7 @@ from tenuro.plans.modelling import (
     logistic,
     max_features,
     param_grid,
+    staged_accuracy,
     train_forest,
     train_model,
     training_frame,
@@ -21,6 +22,7 @@ from tenuro.plans.scoring import (
     rank_features,
     score,
 )
+from tenuro.plans.trees import node_importance, node_table, score_in_batches
 
 __all__ = [
     "FULL_GRID",
@@ -33,11 +35,15 @@ __all__ = [
     "grid_search",
     "logistic",
     "max_features",
+    "node_importance",
+    "node_table",
     "param_grid",
     "predict_classes",
     "prediction_dataset",
     "rank_features",
     "score",
+    "score_in_batches",
+    "staged_accuracy",
     "train_forest",
     "train_model",
     "training_frame",

@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from contextlib import ExitStack, contextmanager
+from itertools import product
+from multiprocessing.pool import ThreadPool
 from typing import Any, NamedTuple
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import (
+    GBTClassificationModel,
+    GBTClassifier,
+    LogisticRegression,
+)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import Binarizer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
@@ -16,16 +23,20 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
 
 from tenuro.functions.hashing import HASH_RANGE, key_hash
-from tenuro.functions.lineage import kept, written
+from tenuro.functions.lineage import kept, remove, scratch_path, written
 from tenuro.operators.split import stratified_folds, with_folds
+from tenuro.plans.trees import ensemble, node_table, read_nodes, save_nodes, tree_sums
 from tenuro.schema import FEATURES, TEAM
 
 LABEL = "label"
 SHARE = "leave_share"
+VALIDATION = "validation"
 MAX_DEPTH = 30
 #: Partitions of the training rows. Bootstrap samples are drawn by partition, so another
 #: number gives another model; it doesn't follow any setting of the session.
 PARTITIONS = 8
+#: Parameters of which one fit of the largest value holds the models of all smaller ones.
+NESTED = {RandomForestRegressor: ("maxDepth", "numTrees"), GBTClassifier: ("maxIter",)}
 
 
 def max_features(fraction: float, n_features: int = len(FEATURES)) -> str:
@@ -122,7 +133,7 @@ def training_frame(
     """
     return _training_frame(
         train, label_col, seed, folds, stratified, features, partitions,
-        max_training_rows, written,
+        max_training_rows, keep=written,
     )
 
 
@@ -145,12 +156,16 @@ def _training_frame(
     features: Sequence[str],
     partitions: int,
     max_training_rows: int | None,
+    validation_col: str | None = None,
+    *,
     keep: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
+    held_back = [F.coalesce(F.col(c), F.lit(False)) for c in [validation_col] if c]
     rows = train.select(
         TEAM,
         *features,
         F.col(label_col).alias(LABEL),
+        *(c.alias(VALIDATION) for c in held_back),
         *(["fold"] if folds and "fold" in train.columns else []),
     )
     if max_training_rows is not None and (n := rows.count()) > max_training_rows:
@@ -193,32 +208,121 @@ def grid_search(
 
     :func:`training_frame` tells how the folds come about. ``parallelism``
     models are trained at a time. The rows kept for the search are deleted after it.
+
+    Where parameters are nested (``NESTED``), a fold is fitted once for all their values,
+    with the largest ones. A forest of n trees is the first n of the largest, and a tree of
+    depth d a deeper one cut there; with all features and no bootstrap sample it is the
+    tree that a fit of that depth gives, and else one drawn in the same way. A boosted model
+    of k rounds is the first k of a longer run. The best model is fitted by itself.
     """
     classifier = forest(seed) if classifier is None else classifier
-    combinations = param_grid(classifier, grid)
+    grid = {name: list(values) for name, values in _checked(dict(grid)).items()}
+    tried = [dict(zip(grid, values)) for values in product(*grid.values())]
+    nested = [p for p in NESTED.get(type(classifier), ()) if p in grid]
     with _training(
         train, label_col, seed, folds, stratified, features, partitions, max_training_rows
     ) as frame:
-        search = CrossValidator(
-            estimator=build_pipeline(classifier, features),
-            estimatorParamMaps=combinations,
-            evaluator=MulticlassClassificationEvaluator(
-                labelCol=LABEL, metricName="accuracy"
-            ),
-            numFolds=folds,
-            foldCol="fold",
-            parallelism=parallelism,
-        ).fit(frame)
-    tried = [{p.name: v for p, v in c.items()} for c in combinations]
-    best = max(range(len(tried)), key=lambda i: search.avgMetrics[i])
+        if nested:
+            found = _nested_accuracies(
+                frame, grid, nested, classifier, folds, parallelism, features
+            )
+            accuracies = [found[tuple(c.values())] for c in tried]
+        else:
+            accuracies = _accuracies(frame, grid, classifier, folds, parallelism, features)
+        best = max(range(len(tried)), key=accuracies.__getitem__)
+        chosen = classifier.copy({classifier.getParam(n): v for n, v in tried[best].items()})
+        model = build_pipeline(chosen, features).fit(frame.drop("fold"))
     results = train.sparkSession.createDataFrame(
-        [
-            (i, *c.values(), float(accuracy))
-            for i, (c, accuracy) in enumerate(zip(tried, search.avgMetrics))
-        ],
-        ["combination", *tried[0], "mean_accuracy"],
+        [(i, *c.values(), float(accuracies[i])) for i, c in enumerate(tried)],
+        ["combination", *grid, "mean_accuracy"],
+    )
+    return GridSearch(tried[best], results, model)
+
+
+def _accuracies(
+    frame: DataFrame,
+    grid: Mapping[str, Sequence],
+    classifier: Estimator,
+    folds: int,
+    parallelism: int,
+    features: Sequence[str],
+) -> list[float]:
+    """Mean accuracy of each combination of ``grid``, every one fitted in every fold."""
+    search = CrossValidator(
+        estimator=build_pipeline(classifier, features),
+        estimatorParamMaps=param_grid(classifier, grid),
+        evaluator=MulticlassClassificationEvaluator(labelCol=LABEL, metricName="accuracy"),
+        numFolds=folds,
+        foldCol="fold",
+        parallelism=parallelism,
     )
-    return GridSearch(tried[best], results, search.bestModel)
+    return search.fit(frame).avgMetrics
+
+
+def _nested_accuracies(
+    frame: DataFrame,
+    grid: Mapping[str, Sequence],
+    nested: Sequence[str],
+    classifier: Estimator,
+    folds: int,
+    parallelism: int,
+    features: Sequence[str],
+) -> dict[tuple, float]:
+    """The same by combination, with one fit for all values of ``nested`` parameters.
+
+    The fits' trees are written, and one job has all of them answer to their folds.
+    """
+    spark = frame.sparkSession
+    single = {name: values for name, values in grid.items() if name not in nested}
+    outer = [dict(zip(single, values)) for values in product(*single.values())]
+    largest = {name: max(grid[name]) for name in nested}
+    votes = isinstance(classifier, RandomForestRegressor)
+    size = "numTrees" if votes else "maxIter"
+    counts = sorted(set(grid.get(size) or [classifier.getOrDefault(size)]))
+    depths = sorted(set(grid["maxDepth"])) if "maxDepth" in nested else [None]
+    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
+    folder = scratch_path(spark, "search")
+    with kept(frame.withColumn("_row", F.monotonically_increasing_id()), "folds") as rows:
+        # Every fit reads the sorted rows several times.
+        vectors = assembler.transform(frame).persist()
+
+        def fit(number: int) -> None:
+            params = {**outer[number // folds], **largest}
+            chosen = classifier.copy({classifier.getParam(n): v for n, v in params.items()})
+            train = vectors.where(F.col("fold") != number % folds)
+            save_nodes(chosen.fit(train), f"{folder}/fit={number}")
+
+        try:
+            with ThreadPool(max(1, parallelism)) as pool:
+                pool.map(inheritable_thread_target(spark)(fit), range(len(outer) * folds), 1)
+            fits = F.transform(
+                F.sequence(F.lit(0), F.lit(len(outer) - 1)),
+                lambda i: (i * folds + F.col("fold")).cast("int"),
+            )
+            held_out = rows.withColumn("fit", F.explode(fits))
+            sums = tree_sums(
+                held_out, read_nodes(spark, folder, several=True), features, counts, depths
+            )
+            # Trees of a forest give shares, those of a boosted model add up to a margin.
+            least = F.col("count") * 0.5 if votes else F.lit(0.0)
+            guess = (F.col("total") > least).cast("int")
+            scores = (
+                sums.join(rows.select("_row", LABEL), "_row")
+                .groupBy("fit", "depth", "count")
+                .agg(F.avg((guess == F.col(LABEL)).cast("int")).alias("accuracy"))
+            )
+            # One row for each combination and fold.
+            found = scores.collect()
+        finally:
+            vectors.unpersist()
+            remove(spark, folder)
+    total: dict[tuple, float] = {}
+    for row in sorted(found, key=lambda r: r.fit):
+        params = {"maxDepth": row.depth, size: row["count"]}
+        params.update(outer[row.fit // folds])
+        key = tuple(params[name] for name in grid)
+        total[key] = total.get(key, 0.0) + row.accuracy / folds
+    return total
 
 
 def train_model(
@@ -229,11 +333,21 @@ def train_model(
     features: Sequence[str] = FEATURES,
     partitions: int = PARTITIONS,
     max_training_rows: int | None = None,
+    validation_col: str | None = None,
 ) -> PipelineModel:
-    """Fit one classifier on the training rows, all of them by default."""
+    """Fit one classifier on the training rows, all of them by default.
+
+    ``validation_col`` (boolean; null is false) holds rows back from boosted trees: no
+    further round is added once it lowers their error by less than ``validationTol``.
+    """
+    if validation_col is not None:
+        if not isinstance(classifier, GBTClassifier):
+            raise ValueError("only boosted trees stop early, by a validation column")
+        classifier = classifier.copy({classifier.validationIndicatorCol: VALIDATION})
     with _training(
-        train, label_col, seed, None, True, features, partitions, max_training_rows
-    ) as frame:
+        train, label_col, seed, None, True, features, partitions, max_training_rows,
+        validation_col,
+    ) as frame:
         return build_pipeline(classifier, features).fit(frame)
 
 
@@ -251,6 +365,35 @@ def train_forest(
     return train_model(train, forest(seed, **params), label_col, seed, **options)
 
 
+def staged_accuracy(
+    model: PipelineModel, rows: DataFrame, label_col: str = "Target1"
+) -> DataFrame:
+    """Share of ``rows`` that a boosted model gets right after each round.
+
+    Columns ``rounds`` and ``accuracy``. Each tree answers once, whatever the number of
+    rounds, and one without labels counts as wrong.
+    """
+    trees = ensemble(model)
+    if not isinstance(trees, GBTClassificationModel):
+        raise ValueError("only boosted models have rounds")
+    features = model.stages[0].getInputCols()
+    with_row = written(
+        rows.select(*features, F.col(label_col).alias(LABEL)).withColumn(
+            "_row", F.monotonically_increasing_id()
+        ),
+        "rows",
+    )
+    counts = range(1, trees.getNumTrees + 1)
+    sums = tree_sums(with_row, node_table(model), features, counts)
+    guess = (F.col("total") > 0).cast("int")
+    right = F.coalesce((guess == F.col(LABEL)).cast("int"), F.lit(0))
+    return (
+        sums.join(with_row.select("_row", LABEL), "_row")
+        .groupBy(F.col("count").alias("rounds"))
+        .agg(F.avg(right).alias("accuracy"))
+    )
+
+
 def _checked(params: dict) -> dict:
     depths = params.get("maxDepth", ())
     for depth in [depths] if isinstance(depths, int) else depths:

@@ -91,9 +91,11 @@ class Vocabulary:
         )
 
     def ids_of(self, word: str) -> list[int]:
-        """The ids of one pre-tokenized word."""
-        if self.fast is not None and (word.isascii() or max(word) < SETTLED):
-            return self.fast(word)
+        """The ids of one pre-tokenized word of any length."""
+        # On very long white space tiktoken's pattern would overflow its stack.
+        if self.fast is not None and len(word) <= _FAST:
+            if word.isascii() or max(word) < SETTLED:
+                return self.fast(word)
         return self.merge(word.encode())
 
     def merge(self, word: bytes) -> list[int]:
@@ -115,29 +117,38 @@ class Vocabulary:
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
-        """The same with a heap of pairs, for words of any length."""
+        """The same with a heap of pairs, for words of any length.
+
+        An entry of the heap is the rank of a pair and its place in one number; an entry
+        whose place doesn't hold a pair of that rank any more is passed over.
+        """
         find, n = self.merges.get, len(ids)
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        now = array("i", ids)
+        before, after = array("q", range(-1, n - 1)), array("q", range(1, n + 1))
         heap = [
-            (made, i, ids[i], ids[i + 1])
+            made >> 24 << 40 | i
             for i in range(n - 1)
-            if (made := find(ids[i] << 24 | ids[i + 1])) is not None
+            if (made := find(now[i] << 24 | now[i + 1])) is not None
         ]
         heapq.heapify(heap)
         while heap:
-            made, i, left, right = heapq.heappop(heap)
+            least = heapq.heappop(heap)
+            i = least & _PLACE
             j = after[i]
-            if ids[i] != left or j >= n or ids[j] != right:
+            if now[i] < 0 or j >= n:
+                continue
+            made = find(now[i] << 24 | now[j])
+            if made is None or made >> 24 != least >> 40:
                 continue
-            ids[i], ids[j] = made & 0xFFFFFF, -1
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for a in (before[i], i):
-                b = after[a] if a >= 0 else n
-                if b < n and (new := find(ids[a] << 24 | ids[b])) is not None:
-                    heapq.heappush(heap, (new, a, ids[a], ids[b]))
-        return [i for i in ids if i >= 0]
+            now[i], now[j] = made & 0xFFFFFF, -1
+            after[i] = j = after[j]
+            if j < n:
+                before[j] = i
+                if (new := find(now[i] << 24 | now[j])) is not None:
+                    heapq.heappush(heap, new >> 24 << 40 | i)
+            if (h := before[i]) >= 0 and (new := find(now[h] << 24 | now[i])) is not None:
+                heapq.heappush(heap, new >> 24 << 40 | h)
+        return [i for i in now if i >= 0]
 
     def decode(self, ids: Iterable[int]) -> str:
         """Text of the ids; bytes that aren't UTF-8 become U+FFFD."""
@@ -145,6 +156,9 @@ class Vocabulary:
 
 
 _NONE = 1 << 62
+_PLACE = (1 << 40) - 1
+#: Longer words, in characters, aren't left to tiktoken.
+_FAST = 4096
 
 # ---------------------------------------------------------------- the transducer
 

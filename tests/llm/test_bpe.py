@@ -40,6 +40,29 @@ def test_long_words_merge_exactly(vocabulary, word):
     assert vocabulary.merge(word.encode()) == plain.token_ids(word)
 
 
+LONG_RUNS = [" ", "\n", "\t \n", "a", "é", "!", "thé", "\r\n  "]
+
+
+@pytest.mark.parametrize("part", LONG_RUNS)
+def test_a_million_characters_in_a_row(vocabulary, part):
+    encoder = bpe.Encoder(vocabulary, bpe.Lexicon(bpe.compile_lexicon({})))
+    for text in (part * (1_000_000 // len(part)), f"a{part * 200_000}b"):
+        ids = plain.token_ids(text)
+        assert encoder.encode(text) == plain.as_bytes(ids)
+        (word, *_) = encoder.split(text)
+        assert vocabulary.ids_of(word) == plain.token_ids(word)
+
+
+def test_five_million_characters_through_spark(spark):
+    texts = [" " * 5_000_000, "\n" * 5_000_000, "xy \n" * 100_000 + "x" * 1_000_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in bpe.encode_texts(df, plain.VOCABULARY).collect()}
+    for key, text in enumerate(texts):
+        ids = plain.as_bytes(plain.token_ids(text))
+        assert got[key].ids_sha256 == plain.hashlib.sha256(ids).hexdigest()
+        assert got[key].decoded_sha256 == plain.sha256(text)
+
+
 def test_short_and_fast_merging_agree(vocabulary):
     rng = random.Random(6)
     for _ in range(2000):

@@ -20,13 +20,24 @@ from tenuro.functions.lineage import scratch_path
 from tenuro.schema import FEATURES, MEASURES, MONTHLY, PLAN_CATEGORIES, TOTALS
 from tenuro.sources.orders import AS_OF, PLANS
 
-#: All depths and shares of features of the full search, at its least number of trees.
-#: README says what is left out.
-SMALL_GRID = t.FULL_GRID | {"numTrees": (100,)}
+#: All depths and shares of features of the full search, with fewer trees. README says
+#: what is left out.
+SMALL_GRID = t.FULL_GRID | {"numTrees": (25, 50, 100)}
+LOGISTIC_GRID = {
+    "regParam": (0.0, 0.001, 0.01, 0.1),
+    "elasticNetParam": (0.0, 0.5, 1.0),
+    "maxIter": (50,),
+}
+BOOSTED_GRID = {"maxDepth": (2, 3, 5), "maxIter": (5, 10, 20)}
 FOREST = {"maxDepth": 10, "featureSubsetStrategy": t.max_features(0.9), "numTrees": 500}
 #: One split on the plan columns, which SQL can find too.
 STUMP = {"maxDepth": 1, "featureSubsetStrategy": "all", "numTrees": 1, "bootstrap": False}
+#: The same with another split on each side, for which SQL can tell the splits, too.
+TREE = STUMP | {"maxDepth": 2}
 PLAN_FEATURES = tuple(f"plan_{c}" for c in PLAN_CATEGORIES)
+#: Usage of many distinct values, most of them small.
+USAGE_FEATURES = ("tasks_created", "user_id_monthly")
+BINS = 32
 #: More rows than any fold has, so that nothing is split.
 NEVER = 1_000_000_000
 
@@ -234,17 +245,66 @@ def churn_probability(spark, sf_dir):
     return t.score(model, dataset)
 
 
-def _stump(label_col, use):
+def _stump(label_col, use, params=STUMP, features=PLAN_FEATURES, **options):
     def run(spark, sf_dir):
         dataset = t.with_split(_dataset(spark, sf_dir))
         model = t.train_forest(
-            t.training_rows(dataset), STUMP, label_col, features=PLAN_FEATURES
+            t.training_rows(dataset), params, label_col, features=features, **options
         )
         return use(model, dataset, label_col)
 
     return run
 
 
+def _batched_scores(model, dataset, label_col):
+    shares = t.score_in_batches(model, dataset.select("team_id", *PLAN_FEATURES))
+    return _round6(shares.select("team_id", "churn_probability"), "churn_probability")
+
+
+def _node_importance(model, dataset, label_col):
+    found = t.node_importance(t.node_table(model), PLAN_FEATURES)
+    return _round6(t.rank_features(found), "importance")
+
+
+def _tree_search(label_col):
+    def run(spark, sf_dir):
+        train = t.training_rows(t.with_split(_dataset(spark, sf_dir)))
+        found = t.grid_search(
+            train,
+            {"maxDepth": (1, 2)},
+            classifier=t.forest(**{k: v for k, v in STUMP.items() if k != "maxDepth"}),
+            label_col=label_col,
+            features=PLAN_FEATURES,
+        )
+        best = F.col("maxDepth") == found.best_params["maxDepth"]
+        return _round6(found.results.withColumn("is_best", best), "mean_accuracy")
+
+    return run
+
+
+def boosted_rounds(spark, sf_dir):
+    """Accuracy after each of two rounds of boosted stumps."""
+    dataset = t.with_split(_dataset(spark, sf_dir))
+    model = t.train_model(
+        t.training_rows(dataset),
+        t.boosted_trees(maxIter=2, maxDepth=1, stepSize=0.8),
+        features=PLAN_FEATURES,
+    )
+    return _round6(t.staged_accuracy(model, dataset), "accuracy")
+
+
+def forest_node_importance(spark, sf_dir):
+    """The importances of the large forest, from its table of nodes."""
+    _, model = _model(spark, sf_dir)
+    return t.rank_features(t.node_importance(t.node_table(model)))
+
+
+def churn_probability_in_batches(spark, sf_dir):
+    """What ``churn_probability`` gives, with a megabyte of trees at a time."""
+    dataset, model = _model(spark, sf_dir)
+    return t.score_in_batches(model, dataset, batch_bytes=1 << 20)
+
+
 def _stump_scores(model, dataset, label_col):
     classes = t.predict_classes(model, dataset, label_col)
     shares = _round6(t.score(model, dataset), "churn_probability")
@@ -389,23 +449,29 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stump_report": _stump("Target1", _stump_report),
         "stump_search": _stump_search("Target1"),
         "stump_search_target2": _stump_search("Target2"),
+        "tree_search": _tree_search("Target1"),
+        "tree_search_target2": _tree_search("Target2"),
+        "tree_scores_in_batches": _stump("Target1", _batched_scores, TREE),
+        "tree_node_importance": _stump("Target1", _node_importance, TREE),
+        "exact_stump_scores": _stump(
+            "Target1", _stump_scores, STUMP, USAGE_FEATURES, exact_bins=BINS
+        ),
         "boosted_stump": boosted_stump,
+        "boosted_rounds": boosted_rounds,
         "logistic_share": logistic_share,
         "correlation_ranked": correlation_ranked,
         "correlation_top8": correlation_top8,
         "grid_search": _search(),
         "grid_search_target2": _search(label_col="Target2"),
-        "grid_search_logistic": _search(
-            t.logistic, {"regParam": (0.01, 0.1), "maxIter": (20,)}
-        ),
-        "grid_search_boosted": _search(
-            t.boosted_trees, {"maxDepth": (2, 3), "maxIter": (5,)}
-        ),
+        "grid_search_logistic": _search(t.logistic, LOGISTIC_GRID),
+        "grid_search_boosted": _search(t.boosted_trees, BOOSTED_GRID),
         "feature_importance_ranked": feature_importance_ranked,
         "feature_importance_top8": feature_importance_top8,
         "test_predictions": test_predictions,
         "test_report": test_report,
         "churn_probability": churn_probability,
+        "forest_node_importance": forest_node_importance,
+        "churn_probability_in_batches": churn_probability_in_batches,
     }
 
 
@@ -620,10 +686,90 @@ splits AS (
 stump AS (SELECT * FROM splits WHERE best = 1)"""
 )
 _FOLDS = "folds(k) AS (VALUES (0), (1), (2), (3))"
-_LEAF = (
+
+
+def _value(f: str) -> str:
+    """The feature that column ``f`` has the number of."""
+    cases = " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(PLAN_FEATURES))
+    return f"(CASE {f} {cases} END)"
+
+
+_LEAF = f"CASE WHEN {_value('f')} <= v THEN low ELSE high END"
+
+# The best split on each side of a stump, where there is one that gains anything.
+_SECOND = (
+    f"""
+sided AS (
+  SELECT stump.k, CAST({_value("stump.f")} > stump.v AS INTEGER) AS side, train.*
+  FROM train JOIN stump ON fold <> stump.k),
+side_values AS (
+"""
+    + "  UNION ALL\n".join(
+        f"  SELECT k, side, {i} AS f, {c} AS v, label FROM sided\n"
+        for i, c in enumerate(PLAN_FEATURES)
+    )
+    + f"""),
+side_sums AS (
+  SELECT k, side, f, v, lead(v) OVER w AS following,
+         sum(n) OVER w AS nl, sum(s) OVER w AS sl,
+         sum(n) OVER (PARTITION BY k, side, f) AS na,
+         sum(s) OVER (PARTITION BY k, side, f) AS sa
+  FROM (SELECT k, side, f, v, count(*) AS n, sum(label) AS s
+        FROM side_values GROUP BY k, side, f, v)
+  WINDOW w AS (PARTITION BY k, side, f ORDER BY v)),
+side_splits AS (
+  SELECT *, row_number() OVER (PARTITION BY k, side ORDER BY round(gained, 9) DESC, f, v) AS best
+  FROM (
+    SELECT k, side, f, v, sl / nl AS low, (sa - sl) / (na - nl) AS high,
+           sl * sl / nl + (sa - sl) * (sa - sl) / (na - nl) - sa * sa / na AS gained
+    FROM side_sums WHERE following IS NOT NULL)),
+tree AS (
+  SELECT stump.k, stump.f, stump.v, sides.side, sides.whole AS whole2,
+         s.f AS f2, s.v AS v2, s.low AS low2, s.high AS high2, s.gained AS gained2
+  FROM stump
+  JOIN (SELECT k, side, avg(label) AS whole FROM sided GROUP BY k, side) sides USING (k)
+  LEFT JOIN side_splits s
+    ON s.k = sides.k AND s.side = sides.side AND s.best = 1 AND s.gained > 1e-9)"""
+)
+_SIDE = f"side = CAST({_value('f')} > v AS INTEGER)"
+_LEAF2 = f"""CASE WHEN f2 IS NULL THEN whole2
+                  WHEN {_value("f2")} <= v2 THEN low2 ELSE high2 END"""
+
+# The best split of two usage features at the borders of bins that hold equal numbers of
+# rows, or one value each.
+_BINNED = (
+    "\nusage_values AS (\n"
+    + "  UNION ALL\n".join(
+        f"  SELECT {i} AS f, CAST({c} AS DOUBLE) AS v, label FROM train\n"
+        for i, c in enumerate(USAGE_FEATURES)
+    )
+    + f"""),
+counted AS (
+  SELECT f, v, count(*) AS n, sum(label) AS s FROM usage_values GROUP BY f, v),
+placed AS (
+  SELECT *, CASE WHEN count(*) OVER (PARTITION BY f) <= {BINS}
+                 THEN dense_rank() OVER (PARTITION BY f ORDER BY v)
+                 ELSE floor({BINS} * (sum(n) OVER (PARTITION BY f ORDER BY v) - n)
+                            / sum(n) OVER (PARTITION BY f)) END AS bin
+  FROM counted),
+bins AS (
+  SELECT f, bin, min(v) AS least, max(v) AS most, sum(n) AS n, sum(s) AS s
+  FROM placed GROUP BY f, bin),
+bin_sums AS (
+  SELECT f, bin, (most + lead(least) OVER w) / 2 AS place,
+         sum(n) OVER w AS nl, sum(s) OVER w AS sl,
+         sum(n) OVER (PARTITION BY f) AS na, sum(s) OVER (PARTITION BY f) AS sa
+  FROM bins WINDOW w AS (PARTITION BY f ORDER BY bin)),
+usage_stump AS (
+  SELECT f, place, sl / nl AS low, (sa - sl) / (na - nl) AS high FROM bin_sums
+  WHERE place IS NOT NULL
+  ORDER BY round(sl * sl / nl + (sa - sl) * (sa - sl) / (na - nl), 9) DESC, f, bin
+  LIMIT 1)"""
+)
+_USAGE_LEAF = (
     "CASE WHEN (CASE f "
-    + " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(PLAN_FEATURES))
-    + " END) <= v THEN low ELSE high END"
+    + " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(USAGE_FEATURES))
+    + " END) < place THEN low ELSE high END"
 )
 
 
@@ -667,6 +813,78 @@ def core_oracle_sql() -> dict[str, str]:
                   GROUP BY c)""",
         )
 
+    def tree(label: str, body: str) -> str:
+        ctes = [*dataset, _TRAIN.format(label=label), _FOLDS, _STUMPS, _SECOND]
+        return sql(ctes, body)
+
+    def depths(label: str) -> str:
+        return tree(
+            label,
+            f"""SELECT CAST(depth - 1 AS BIGINT) AS combination,
+                  CAST(depth AS BIGINT) AS "maxDepth",
+                  round(accuracy, 6) AS mean_accuracy,
+                  row_number() OVER (ORDER BY accuracy DESC, depth) = 1 AS is_best
+                FROM (
+                  SELECT depth, avg(share) AS accuracy FROM (
+                    SELECT depth, fold, avg(CAST(CAST(answer > 0.5 AS INTEGER) = label
+                                                 AS INTEGER)) AS share
+                    FROM (
+                      SELECT 1 AS depth, fold, label, {_LEAF} AS answer
+                      FROM train JOIN stump ON fold = k
+                      UNION ALL
+                      SELECT 2, fold, label, {_LEAF2}
+                      FROM train JOIN tree ON fold = k AND {_SIDE})
+                    GROUP BY depth, fold)
+                  GROUP BY depth)""",
+        )
+
+    # Importance by what splits gain, which is the decrease of impurity by the rows.
+    tree_gains = ", ".join(f"({i}, '{c}')" for i, c in enumerate(PLAN_FEATURES))
+    tree_importance = f"""
+        , gains AS (
+          SELECT f, gained FROM (
+            SELECT f, sl * sl / nl + (sa - sl) * (sa - sl) / (na - nl) - sa * sa / na AS gained,
+                   row_number() OVER (ORDER BY
+                     round(sl * sl / nl + (sa - sl) * (sa - sl) / (na - nl), 9) DESC, f, v) AS best
+            FROM cumulated WHERE k = 3 AND following IS NOT NULL)
+          WHERE best = 1
+          UNION ALL SELECT f2, gained2 FROM tree WHERE k = 3 AND f2 IS NOT NULL)
+        SELECT feature, round(100 * coalesce(sum(gained), 0)
+                              / (SELECT sum(gained) FROM gains), 6) AS importance
+        FROM (VALUES {tree_gains}) AS names(f, feature) LEFT JOIN gains USING (f)
+        GROUP BY feature"""
+
+    # Two rounds: the second stump is fitted to what the first leaves, at step size 0.8.
+    second_values = " UNION ALL ".join(
+        f"SELECT {i} AS f, {c} AS v, r FROM residuals" for i, c in enumerate(PLAN_FEATURES)
+    )
+    rounds = f"""
+        , residuals AS (
+          SELECT train.*, 4 * (2 * train.label - 1)
+                 / (1 + exp(2 * (2 * train.label - 1) * (2 * ({_LEAF}) - 1))) AS r
+          FROM train, stump WHERE k = 3),
+        round_values AS ({second_values}),
+        round_sums AS (
+          SELECT f, v, lead(v) OVER w AS following, sum(n) OVER w AS nl, sum(s) OVER w AS sl,
+                 sum(n) OVER (PARTITION BY f) AS na, sum(s) OVER (PARTITION BY f) AS sa
+          FROM (SELECT f, v, count(*) AS n, sum(r) AS s FROM round_values GROUP BY f, v)
+          WINDOW w AS (PARTITION BY f ORDER BY v)),
+        round_stump AS (
+          SELECT f AS f2, v AS v2, sl / nl AS low2, (sa - sl) / (na - nl) AS high2
+          FROM round_sums WHERE following IS NOT NULL
+          ORDER BY round(sl * sl / nl + (sa - sl) * (sa - sl) / (na - nl), 9) DESC, f, v
+          LIMIT 1),
+        margins AS (
+          SELECT "Target1" AS label, 2 * ({_LEAF}) - 1 AS one,
+                 0.8 * (CASE WHEN {_value("f2")} <= v2 THEN low2 ELSE high2 END) AS two
+          FROM dataset, stump, round_stump WHERE k = 3)
+        SELECT CAST(1 AS INTEGER) AS rounds,
+               round(avg(CAST(CAST(one > 0 AS INTEGER) = label AS INTEGER)), 6) AS accuracy
+        FROM margins
+        UNION ALL
+        SELECT 2, round(avg(CAST(CAST(one + two > 0 AS INTEGER) = label AS INTEGER)), 6)
+        FROM margins"""
+
     correlations = sql(
         dataset,
         "SELECT feature, round(100 * round(coalesce(abs(r), 0), 6), 4) AS importance FROM ("
@@ -814,6 +1032,21 @@ def core_oracle_sql() -> dict[str, str]:
         ),
         "stump_search": search("Target1"),
         "stump_search_target2": search("Target2"),
+        "tree_search": depths("Target1"),
+        "tree_search_target2": depths("Target2"),
+        "tree_scores_in_batches": tree(
+            "Target1",
+            f"""SELECT team_id, round({_LEAF2}, 6) AS churn_probability
+                FROM dataset JOIN tree ON k = 3 AND {_SIDE}""",
+        ),
+        "tree_node_importance": tree("Target1", tree_importance),
+        "exact_stump_scores": sql(
+            [*dataset, _TRAIN.format(label="Target1"), _BINNED],
+            f"""SELECT team_id, "Target1" AS label, CAST({_USAGE_LEAF} > 0.5 AS INTEGER)
+                  AS prediction, round({_USAGE_LEAF}, 6) AS churn_probability
+                FROM dataset, usage_stump""",
+        ),
+        "boosted_rounds": stump("Target1", rounds),
         "boosted_stump": stump(
             "Target1",
             f"""SELECT team_id, round(1 / (1 + exp(-2 * (2 * ({_LEAF}) - 1))), 6)

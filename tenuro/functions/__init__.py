@@ -12,10 +12,12 @@ from tenuro.functions.dates import (
     date_column,
     four_digit_year,
     recency_days,
+    watch_dates,
 )
 from tenuro.functions.hashing import HASH_RANGE, key_hash
 from tenuro.functions.lineage import (
     clear_scratch,
+    discard,
     kept,
     materialise,
     scratch_path,
@@ -31,6 +33,7 @@ __all__ = [
     "clear_scratch",
     "count_bad_dates",
     "date_column",
+    "discard",
     "discover_categories",
     "four_digit_year",
     "kept",
@@ -42,6 +45,7 @@ __all__ = [
     "recency_days",
     "scratch_path",
     "shared_folder",
+    "watch_dates",
     "whole_number",
     "written",
     "zero_if_null",

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import datetime
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
+
+from tenuro.functions.columns import column
 
 # Four-digit year; month and day with or without a leading zero.
 DATE_FORMAT = "yyyy-M-d"
@@ -47,11 +50,47 @@ def four_digit_year(text: str | Column) -> Column:
 
 def count_bad_dates(df: DataFrame, *names: str) -> DataFrame:
     """One row: for each named text column, how many values are not dates."""
-    return df.agg(
-        *(
-            F.count_if(
-                F.col(n).isNotNull() & F.try_to_date(F.col(n), DATE_FORMAT).isNull()
-            ).alias(n)
-            for n in names
-        )
-    )
+    return df.agg(*_bad_dates(names))
+
+
+def _bad_dates(names: tuple[str, ...]) -> list[Column]:
+    return [
+        F.count_if(
+            column(n).isNotNull() & F.try_to_date(column(n), DATE_FORMAT).isNull()
+        ).alias(n)
+        for n in names
+    ]
+
+
+class WatchedDates(NamedTuple):
+    """A frame whose bad dates are counted as it is read, and what has been counted."""
+
+    rows: DataFrame
+    seen: Observation
+
+    def counts(self) -> dict[str, int]:
+        """Bad values by column, of all rows. Waits for the first action on ``rows``."""
+        return dict(self.seen.get)
+
+    def check(self) -> None:
+        """Raise if a value was no date, also one in a row that was dropped later on."""
+        bad = {name: n for name, n in self.counts().items() if n}
+        if bad:
+            raise ValueError("not dates: " + ", ".join(f"{n} of {c}" for c, n in bad.items()))
+
+
+def watch_dates(df: DataFrame, *names: str) -> WatchedDates:
+    """``df`` with the bad values of its named text columns counted in the same pass.
+
+    Catalyst drops rows and columns before it parses dates, so a query needn't meet every
+    bad one. The counters stand before any filter: they see every row that is read, once,
+    in the scan of the query itself. Filters aren't pushed down past them. They are filled
+    by the first action on what is derived from ``rows``, provided that it reads all of it:
+    a join with an empty side, or a limit, may not. An action that is run again, or a stage
+    that lost its executor, may count rows twice; zero stays zero.
+    """
+    text = tuple(n for n in names if isinstance(df.schema[n].dataType, T.StringType))
+    if not text:
+        raise ValueError("none of the columns is text")
+    seen = Observation()
+    return WatchedDates(df.observe(seen, *_bad_dates(text)), seen)

@@ -2,16 +2,17 @@
 
 Usage of teams without a license does not count. Where Catalyst's size estimate
 allows a broadcast of the team list, the filter runs at the scan. Where the list is
-too large for that, ``paid_first`` decides: the raw rows are shuffled once for a
-semi join, a busy team spread over several tasks, and what comes after sees paying
-teams only (the default); or the join meets rows that are already aggregated, which
-saves that shuffle but takes the usage of all teams through the aggregation. The
-second pays where nearly all teams have licenses. Results are the same.
+too large for that, ``paid_first`` decides. By default a bitmap of fixed size, marked at
+a hash of every paying team, is sent to all tasks and drops most other usage at the scan;
+what passes is shuffled once for an exact semi join, a busy team spread over several
+tasks. With ``paid_first=False`` the join meets rows that are already aggregated, which
+saves that shuffle but takes the usage of all teams through the aggregation; that pays
+where nearly all teams have licenses. Results are the same.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tenuro.functions.columns import quoted
 from tenuro.functions.dates import date_column
@@ -19,8 +20,12 @@ from tenuro.operators.licenses import license_teams, team_licenses
 from tenuro.schema import MEASURES, MONTHLY, TEAM, TOTALS, USER
 
 MONTH_KEYS = (TEAM, "year", "month")
-#: Tasks that share the raw rows of one team in a shuffled semi join.
-SALTS = 8
+#: Tasks that share the raw rows of one team in a shuffled semi join. The team list is
+#: shuffled so many times over.
+SALTS = 16
+#: The bitmap of paying teams has 2**FILTER_BITS bits, as 64 in a row of 16 bytes: 4 MB. It
+#: is of use up to some ten million teams; beyond that it lets more and more rows pass.
+FILTER_BITS = 24
 
 
 def paid_only(rows: DataFrame, licenses: DataFrame) -> DataFrame:
@@ -59,23 +64,74 @@ def filled_activity(activity: DataFrame, lenient: bool = False) -> DataFrame:
     return rows.fillna(0, [quoted(c) for c in rows.columns if c != TEAM])
 
 
-def _paid_and_spread(activity: DataFrame, licenses: DataFrame) -> DataFrame:
-    """:func:`paid_activity` for rows that are aggregated next.
+def _is_broadcast(df: DataFrame) -> bool:
+    """Whether Spark, by its estimate, broadcasts ``df`` in a join."""
+    spark = df.sparkSession
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return size <= spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+
+
+def _bit(team_type: T.DataType, bits: int) -> Column:
+    """The place of a team in the bitmap; both sides of a join must give one type."""
+    return F.pmod(F.xxhash64(F.col(TEAM).cast(team_type)), F.lit(1 << bits))
+
 
-    A join by team alone would leave the rows of a team in one task, and the aggregation
-    would take over that distribution. So each team has ``SALTS`` places.
+def team_bitmap(
+    teams: DataFrame, bits: int = FILTER_BITS, team_type: T.DataType = T.LongType()
+) -> DataFrame:
+    """(``word``, ``held``): 64 bits at a time, set at the hash of each team of ``teams``.
+
+    2**(bits - 6) rows at most, made by partial aggregates.
     """
-    places = F.explode(F.array(*map(F.lit, range(SALTS))))
-    teams = license_teams(licenses).select(TEAM, places.alias("_place"))
-    place = F.pmod(F.xxhash64(USER, "event_date"), F.lit(SALTS)).cast("int")
-    rows = activity.withColumn("_place", place)
-    return rows.join(teams, [TEAM, "_place"], "left_semi").drop("_place")
+    bit = _bit(team_type, bits)
+    one = F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("one")
+    return (
+        teams.select(bit.alias("bit"), F.shiftright(bit, 6).alias("word"))
+        .select("word", one)
+        .groupBy("word")
+        .agg(F.bit_or("one").alias("held"))
+    )
+
 
+def maybe_paid(activity: DataFrame, teams: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """Usage of ``teams`` and of some others, filtered without a shuffle of usage.
 
-def _counted(activity: DataFrame, licenses: DataFrame, lenient: bool, paid_first: bool):
+    The bitmap is broadcast; its size follows ``bits``, whatever the number of teams.
+    """
+    kinds = [df.schema[TEAM].dataType for df in (activity, teams)]
+    whole = all(isinstance(k, T.IntegralType) for k in kinds)
+    team_type = T.LongType() if whole else T.StringType()
+    bit = _bit(team_type, bits)
+    known = team_bitmap(teams, bits, team_type).toDF("_word", "_held")
+    return (
+        activity.withColumns({"_word": F.shiftright(bit, 6), "_bit": (bit % 64).cast("int")})
+        .join(F.broadcast(known), "_word")
+        .where(F.getbit("_held", F.col("_bit")) == 1)
+        .select(*map(quoted, activity.columns))
+    )
+
+
+def _paid_to_aggregate(activity: DataFrame, licenses: DataFrame, salts: int) -> DataFrame:
+    """:func:`paid_activity` for rows that are aggregated next.
+
+    A shuffled join by team alone would leave the rows of a team in one task, and the
+    aggregation would take over that distribution. So each team has ``salts`` places.
+    """
+    teams = license_teams(licenses)
+    if _is_broadcast(teams):
+        return activity.join(teams, TEAM, "left_semi")
+    places = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_place")
+    place = F.pmod(F.xxhash64(USER, "event_date"), F.lit(salts)).cast("int")
+    rows = maybe_paid(activity, teams).withColumn("_place", place)
+    return rows.join(teams.select(TEAM, places), [TEAM, "_place"], "left_semi").drop("_place")
+
+
+def _counted(
+    activity: DataFrame, licenses: DataFrame, lenient: bool, paid_first: bool, salts: int
+):
     """Usage to aggregate, and what filters the aggregate."""
     if paid_first:
-        paid = _paid_and_spread(activity, licenses)
+        paid = _paid_to_aggregate(activity, licenses, salts)
         return filled_activity(paid, lenient), lambda rows: rows
     return filled_activity(activity, lenient), lambda rows: paid_only(rows, licenses)
 
@@ -85,9 +141,10 @@ def team_month_usage(
     licenses: DataFrame,
     lenient: bool = False,
     paid_first: bool = True,
+    salts: int = SALTS,
 ) -> DataFrame:
     """Distinct users and summed counters per team and month."""
-    usage, paid = _counted(activity, licenses, lenient, paid_first)
+    usage, paid = _counted(activity, licenses, lenient, paid_first, salts)
     return paid(usage.groupBy(*MONTH_KEYS).agg(*_users_and_sums()))
 
 
@@ -96,9 +153,10 @@ def team_monthly_average(
     licenses: DataFrame,
     lenient: bool = False,
     paid_first: bool = True,
+    salts: int = SALTS,
 ) -> DataFrame:
     """Mean of the monthly figures over the months a team was active in."""
-    usage, paid = _counted(activity, licenses, lenient, paid_first)
+    usage, paid = _counted(activity, licenses, lenient, paid_first, salts)
     monthly = usage.groupBy(*MONTH_KEYS).agg(*_users_and_sums())
     return paid(monthly.groupBy(TEAM).agg(*_monthly_means()))
 
@@ -108,9 +166,10 @@ def monthly_overall(
     licenses: DataFrame,
     lenient: bool = False,
     paid_first: bool = True,
+    salts: int = SALTS,
 ) -> DataFrame:
     """One row: the mean over all teams of their monthly averages."""
-    return team_monthly_average(activity, licenses, lenient, paid_first).agg(
+    return team_monthly_average(activity, licenses, lenient, paid_first, salts).agg(
         *(F.avg(c).alias(c) for c in MONTHLY)
     )
 
@@ -120,9 +179,10 @@ def team_totals(
     licenses: DataFrame,
     lenient: bool = False,
     paid_first: bool = True,
+    salts: int = SALTS,
 ) -> DataFrame:
     """Distinct users and summed counters per team, over all time."""
-    usage, paid = _counted(activity, licenses, lenient, paid_first)
+    usage, paid = _counted(activity, licenses, lenient, paid_first, salts)
     return paid(usage.groupBy(TEAM).agg(*_users_and_sums()))
 
 
@@ -131,6 +191,7 @@ def activity_features(
     licenses: DataFrame,
     lenient: bool = False,
     paid_first: bool = True,
+    salts: int = SALTS,
 ) -> DataFrame:
     """Monthly averages and totals, one row per paying team.
 
@@ -141,7 +202,7 @@ def activity_features(
     shuffle before the last is keyed by more than the team, and the last one
     moves at most one row per team and task.
     """
-    usage, paid = _counted(activity, licenses, lenient, paid_first)
+    usage, paid = _counted(activity, licenses, lenient, paid_first, salts)
     by_user = usage.groupBy(*MONTH_KEYS, USER).agg(
         *(F.sum(m).alias(m) for m in MEASURES)
     )

@@ -25,7 +25,15 @@ from pyspark.sql import DataFrame, functions as F
 from tenuro.functions.hashing import HASH_RANGE, key_hash
 from tenuro.functions.lineage import kept, remove, scratch_path, written
 from tenuro.operators.split import stratified_folds, with_folds
-from tenuro.plans.trees import ensemble, node_table, read_nodes, save_nodes, tree_sums
+from tenuro.plans.bins import bin_stages
+from tenuro.plans.trees import (
+    assembled,
+    ensemble,
+    node_table,
+    read_nodes,
+    save_nodes,
+    tree_sums,
+)
 from tenuro.schema import FEATURES, TEAM
 
 LABEL = "label"
@@ -299,9 +307,11 @@ def _nested_accuracies(
                 F.sequence(F.lit(0), F.lit(len(outer) - 1)),
                 lambda i: (i * folds + F.col("fold")).cast("int"),
             )
-            held_out = rows.withColumn("fit", F.explode(fits))
+            held_out = assembler.transform(rows).select(
+                "_row", "features", F.explode(fits).alias("fit")
+            )
             sums = tree_sums(
-                held_out, read_nodes(spark, folder, several=True), features, counts, depths
+                held_out, read_nodes(spark, folder, several=True), counts, depths
             )
             # Trees of a forest give shares, those of a boosted model add up to a margin.
             least = F.col("count") * 0.5 if votes else F.lit(0.0)
@@ -334,9 +344,12 @@ def train_model(
     partitions: int = PARTITIONS,
     max_training_rows: int | None = None,
     validation_col: str | None = None,
+    exact_bins: int | None = None,
 ) -> PipelineModel:
     """Fit one classifier on the training rows, all of them by default.
 
+    ``exact_bins`` has trees split at the borders of so many bins of each feature, found
+    from all rows (:func:`~tenuro.plans.bins.borders`), instead of Spark's sample.
     ``validation_col`` (boolean; null is false) holds rows back from boosted trees: no
     further round is added once it lowers their error by less than ``validationTol``.
     """
@@ -348,7 +361,12 @@ def train_model(
         train, label_col, seed, None, True, features, partitions, max_training_rows,
         validation_col,
     ) as frame:
-        return build_pipeline(classifier, features).fit(frame)
+        if exact_bins is None:
+            return build_pipeline(classifier, features).fit(frame)
+        stages, numbers = bin_stages(frame, features, exact_bins)
+        binned = PipelineModel(stages).transform(frame)
+        fitted = build_pipeline(classifier, numbers).fit(binned)
+        return PipelineModel([*stages, *fitted.stages])
 
 
 def train_forest(
@@ -376,19 +394,13 @@ def staged_accuracy(
     trees = ensemble(model)
     if not isinstance(trees, GBTClassificationModel):
         raise ValueError("only boosted models have rounds")
-    features = model.stages[0].getInputCols()
-    with_row = written(
-        rows.select(*features, F.col(label_col).alias(LABEL)).withColumn(
-            "_row", F.monotonically_increasing_id()
-        ),
-        "rows",
-    )
+    with_row = written(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
     counts = range(1, trees.getNumTrees + 1)
-    sums = tree_sums(with_row, node_table(model), features, counts)
+    sums = tree_sums(assembled(model, with_row), node_table(model), counts)
     guess = (F.col("total") > 0).cast("int")
-    right = F.coalesce((guess == F.col(LABEL)).cast("int"), F.lit(0))
+    right = F.coalesce((guess == F.col(label_col)).cast("int"), F.lit(0))
     return (
-        sums.join(with_row.select("_row", LABEL), "_row")
+        sums.join(with_row.select("_row", label_col), "_row")
         .groupBy(F.col("count").alias("rounds"))
         .agg(F.avg(right).alias("accuracy"))
     )

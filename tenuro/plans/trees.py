@@ -16,10 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.util import JavaMLWritable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from tenuro.functions.columns import column
 from tenuro.functions.lineage import scratch_path, written
 from tenuro.schema import FEATURES
 
@@ -43,6 +43,13 @@ def ensemble(model: PipelineModel):
     return next(s for s in model.stages if hasattr(s, "trees"))
 
 
+def assembled(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """``_row`` and the vector ``features`` that the trees of ``model`` see."""
+    for stage in model.stages[: model.stages.index(ensemble(model))]:
+        rows = stage.transform(rows)
+    return rows.select(_ROW, "features")
+
+
 def save_nodes(trees: JavaMLWritable, path: str) -> None:
     """Write fitted trees; :func:`read_nodes` reads them."""
     trees.write().save(path)
@@ -178,7 +185,6 @@ def _in_batches(nodes: DataFrame, keys: Sequence[str], batch_bytes: int) -> Data
 def tree_sums(
     rows: DataFrame,
     nodes: DataFrame,
-    features: Sequence[str],
     counts: Sequence[int] | None = None,
     depths: Sequence[int | None] = (None,),
     batch_bytes: int = BATCH_BYTES,
@@ -186,8 +192,8 @@ def tree_sums(
 ) -> DataFrame:
     """Weighted sums of trees' answers to each row: ``_row``, ``depth``, ``count``, ``total``.
 
-    ``rows`` has a column ``_row`` that tells rows apart, and ``features``; ``total`` is over
-    the first ``count`` trees, cut at ``depth``. With a column ``fit`` on both sides the
+    ``rows`` has a column ``_row`` that tells rows apart, and the vector ``features``;
+    ``total`` is over the first ``count`` trees, cut at ``depth``. With a column ``fit`` on both sides the
     trees of a fit answer to its own rows only, and ``fit`` is in the result.
 
     Trees go to tasks in batches of about ``batch_bytes`` (up to twice that, or one tree),
@@ -209,7 +215,7 @@ def tree_sums(
 
     sized = with_one(rows, blocks, "blocks")
     block = F.pmod(F.xxhash64(_ROW), F.greatest("blocks", F.lit(1))).cast("int").alias("block")
-    values = F.array(*(column(f).cast("double") for f in features)).alias("values")
+    values = vector_to_array("features").alias("values")
     n_batches = batches.groupBy(*keys).agg(F.max("batch").alias("last"))
     each_batch = F.explode(F.sequence(F.lit(0), "last")).alias("batch")
     each_block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
@@ -223,7 +229,7 @@ def tree_sums(
 
     def answer(part: pa.Table, trees: pa.Table) -> pa.Table:
         matrix = part.column("values").combine_chunks().flatten().to_numpy()
-        matrix = matrix.reshape(part.num_rows, len(features))
+        matrix = matrix.reshape(part.num_rows, -1) if part.num_rows else matrix.reshape(0, 1)
         n_cuts = 1 if cuts is None else len(cuts)
         sums = np.zeros((len(levels), n_cuts + 1, part.num_rows))
         for tree in _trees(trees):
@@ -261,18 +267,15 @@ def score_in_batches(
     (see :func:`tree_sums`). For forests and boosted trees; a null feature raises.
     """
     trees = ensemble(model)
-    features = model.stages[0].getInputCols()
     names = [f"_c{i}" for i in range(len(df.columns))]
     rows = written(
         df.toDF(*names).withColumn(_ROW, F.monotonically_increasing_id()), "rows-to-score"
     )
-    missing = F.raise_error(F.lit("a feature is null")).cast("double")
-    place = {c: names[i] for i, c in enumerate(df.columns)}
     inputs = rows.select(
-        _ROW, *(F.coalesce(F.col(place[f]).cast("double"), missing).alias(f) for f in features)
+        _ROW, *(F.col(n).alias(c) for n, c in zip(names, df.columns) if c != _ROW)
     )
     sums = tree_sums(
-        inputs, node_table(model), features, batch_bytes=batch_bytes, block_rows=block_rows
+        assembled(model, inputs), node_table(model), batch_bytes=batch_bytes, block_rows=block_rows
     )
     if isinstance(trees, GBTClassificationModel):
         share = 1 / (1 + F.exp(-2 * F.col("total")))

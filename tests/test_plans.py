@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import tenuro as t
+from tenuro.functions import watch_dates
+from tenuro.operators import activity
 from tenuro.schema import MEASURES
 from tests.tables import AS_OF, licenses, rows_of
 
@@ -89,6 +91,8 @@ def test_small_team_list_filters_at_the_scan(spark, conf, stored):
     # Every shuffle of activity stands above the filter.
     assert len(re.findall(r"Exchange hashpartitioning", plan[:semi])) == 3
     assert "BroadcastHashJoin" in plan
+    # Nothing is done to spread or to filter rows that a broadcast filters anyway.
+    assert "_place" not in plan and "_held" not in plan and "Generate" not in plan[semi:]
 
 
 PAID_USERS = (
@@ -108,6 +112,27 @@ def test_large_team_list_filters_raw_rows(spark, conf, stored, operator):
     usage = plan[semi:]
     keys = re.sub(r"#\d+L?", "", "".join(re.findall(r"hashpartitioning\((.*?)\)", usage)))
     assert "_place" in keys and "month" not in keys
+    # Before the shuffle of raw rows the bitmap has dropped most that aren't paid.
+    scan = usage.index("Exchange hashpartitioning")
+    assert "BroadcastHashJoin [_word" in usage[scan:] and "_held" in usage[scan:]
+
+
+def test_bitmap_lets_all_paid_rows_pass_and_few_others(spark):
+    teams = spark.range(0, 3000, 3).withColumnRenamed("id", "team_id")
+    used = spark.range(-1, 3000).select(
+        F.when(F.col("id") >= 0, F.col("id")).cast("int").alias("team_id"), F.lit(1).alias("a.b")
+    )
+    for bits in (6, 10, 24):
+        passed = activity.maybe_paid(used, teams, bits)
+        assert passed.columns == used.columns
+        got = {r.team_id for r in passed.collect()}
+        assert got >= set(range(0, 3000, 3))
+        assert activity.team_bitmap(teams, bits).count() <= 1 << (bits - 6)
+    assert len(got) <= 1010  # one in thousands by chance, and the rows without a team
+    named = teams.select(F.concat(F.lit("t"), "team_id").alias("team_id"))
+    assert activity.maybe_paid(named, named).count() == 1000
+    as_text = used.withColumn("team_id", F.col("team_id").cast("string"))
+    assert activity.maybe_paid(as_text, teams).where("team_id % 3 = 0").count() == 1000
 
 
 @pytest.mark.parametrize("operator", [*PAID_USERS, t.monthly_overall])
@@ -145,7 +170,9 @@ def test_no_broadcast_of_the_dataset_sides_beyond_the_threshold(spark, conf, sto
     conf("spark.sql.adaptive.enabled", "false")
     conf("spark.sql.autoBroadcastJoinThreshold", "-1")
     plan = plan_of(t.prediction_dataset(bought, used, AS_OF))
-    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 2
+    # The bitmap has a size of its own; no other side is broadcast.
+    joins = re.findall(r"Broadcast\w+Join \[(\w+)#", plan)
+    assert joins == ["_word"] and plan.count("SortMergeJoin") == 2
     assert "NestedLoop" not in plan
 
 
@@ -206,3 +233,37 @@ def test_exact_shares_move_the_rows_once(spark, conf, operator, keys):
     # The rows once, the counts of their ranges once, and the offsets once.
     assert plan.count(f"Exchange hashpartitioning({keys}, 4)") == 3
     assert "Sort [team_id" not in plan and "rangepartitioning" not in plan
+
+
+def test_bad_dates_of_dropped_rows_are_seen_in_the_same_scan(spark, conf, stored):
+    bought, used = stored
+    conf("spark.sql.adaptive.enabled", "false")
+    watch = watch_dates(used, "event_date")
+    features = t.team_totals(watch.rows, bought)
+    plan = plan_of(features)
+    assert plan.count("CollectMetrics") == 1
+    assert len(re.findall(r"ReadSchema: \S*event_date", plan)) == 1
+    # No filter of the query itself comes before the counters.
+    assert "isnotnull(team_id" not in plan[plan.index("CollectMetrics") :].split("Scan")[0]
+    features.collect()
+    assert watch.counts() == {"event_date": 0}
+    watch.check()
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_a_bad_date_without_a_team_raises(spark, conf, stored, adaptive):
+    bought, used = stored
+    conf("spark.sql.adaptive.enabled", adaptive)
+    odd = spark.createDataFrame(
+        [(None, "31-12-19"), (None, "2020-13-01"), (None, None), (3, "2020-1-5")],
+        "team_id long, event_date string",
+    )
+    both = used.unionByName(odd, allowMissingColumns=True)
+    t.team_totals(both, bought).collect()  # passes: the rows are dropped
+    watch = watch_dates(both, "event_date")
+    t.team_totals(watch.rows, bought).collect()
+    assert watch.counts() == {"event_date": 2}
+    with pytest.raises(ValueError, match="2 of event_date"):
+        watch.check()
+    with pytest.raises(ValueError, match="text"):
+        watch_dates(spark.range(3), "id")

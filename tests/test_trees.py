@@ -44,7 +44,8 @@ def scores(df):
 
 def test_prefixes_are_forests_of_the_first_trees(dataset, model):
     rows = dataset.select("team_id", *FEATURES).withColumn("_row", F.col("team_id"))
-    sums = trees.tree_sums(rows, t.node_table(model), FEATURES, counts=(1, 5, 12))
+    vectors = trees.assembled(model, rows)
+    sums = trees.tree_sums(vectors, t.node_table(model), counts=(1, 5, 12))
     got = {(r["_row"], r["count"]): r.total for r in sums.collect()}
     first = model.stages[1].trees
     for row in rows.limit(20).collect():

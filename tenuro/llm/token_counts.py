@@ -11,6 +11,10 @@ without looking back, so two encodings that begin a word at the same place go on
 from there. Normalisation doesn't reach over a character that composes with nothing
 before it. A special token that lies across the place would be whole in both chunks, as
 they go on further than the longest of them on both sides. And merges stay within words.
+
+Where a file drops white space, a space is a border of that kind wherever it stands, so
+shorter texts need no chunks: what stands between their spaces is counted once and
+remembered.
 """
 
 from __future__ import annotations
@@ -36,6 +40,9 @@ _PATTERNS = {
     r"\s+",
 }
 
+#: Longer pieces aren't remembered.
+_KEPT = 64
+
 
 class Count(NamedTuple):
     n_tokens: int
@@ -89,20 +96,34 @@ def begins_anew(c: str) -> bool:
     return known and unicodedata.combining(c) == 0 and c not in _composing()
 
 
+def _drops_spaces(file: dict) -> bool:
+    """Whether no token of a file that can be spliced has a space in it."""
+    removed = [
+        s for s in _steps(file["pre_tokenizer"], "pretokenizers")
+        if s["type"] == "Split" and s["behavior"] == "Removed" and s["invert"]
+    ]
+    return bool(removed) and not any(" " in t["content"] for t in file["added_tokens"])
+
+
 class ChunkedCounter:
     """Counts the tokens that a tokenizer file gives for whole texts.
 
-    Texts of up to ``chunk`` characters are encoded at once, longer ones in chunks that
+    Texts of up to ``chunk`` characters are taken at once, longer ones in chunks that
     share ``overlap`` characters. A file for which splicing isn't proven has all texts
-    encoded at once.
+    encoded at once. Up to about ``held`` pieces are remembered.
     """
 
-    def __init__(self, file_text: str, chunk: int = 65_536, overlap: int = 512):
+    def __init__(
+        self, file_text: str, chunk: int = 65_536, overlap: int = 512, held: int = 400_000
+    ):
         file = json.loads(file_text)
         self.tokenizer = Tokenizer.from_str(file_text)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.splices = _splices(file)
+        self.remembers = self.splices and _drops_spaces(file)
+        self.known: dict[str, int] = {}
+        self.held = held
         longest = max((len(t["content"]) for t in file["added_tokens"]), default=0)
         #: Characters that a place keeps from the ends of chunks.
         self.margin = max(longest, 8)
@@ -112,11 +133,39 @@ class ChunkedCounter:
 
     def counts(self, texts: Sequence[str]) -> list[Count]:
         short = [t for t in texts if not self._is_long(t)]
-        found = iter(self.tokenizer.encode_batch_fast(short, add_special_tokens=False))
+        found = iter(self._remembered(short) if self.remembers else self._whole(short))
         return [
-            self._spliced(t) if self._is_long(t) else Count(len(next(found)), 1, 0)
-            for t in texts
+            self._spliced(t) if self._is_long(t) else Count(next(found), 1, 0) for t in texts
+        ]
+
+    def _whole(self, texts: list[str]) -> list[int]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return list(map(len, found))
+
+    def _remembered(self, texts: list[str]) -> list[int]:
+        """The same, from the counts of what stands between spaces."""
+        if len(self.known) > self.held:
+            self.known.clear()
+        split = [t.split(" ") for t in texts]
+        counts = [list(map(self.known.get, pieces)) for pieces in split]
+        missing = {
+            piece
+            for pieces, found in zip(split, counts)
+            if None in found
+            for piece, n in zip(pieces, found)
+            if n is None
+        }
+        new = list(missing)
+        self.known.update(zip(new, self._whole(new)))
+        known = self.known.__getitem__
+        sums = [
+            sum(map(known, pieces) if None in found else found)
+            for pieces, found in zip(split, counts)
         ]
+        for piece in new:
+            if len(piece) > _KEPT:
+                del self.known[piece]
+        return sums
 
     def _is_long(self, text: str) -> bool:
         return self.splices and len(text) > self.chunk

@@ -34,6 +34,17 @@ def test_splices_are_exact(file, chunk, overlap):
     assert widened
 
 
+@pytest.mark.parametrize("file", [FILE, BYTES])
+def test_what_is_remembered_is_exact(file, texts):
+    rnd, counter = random.Random(1), ChunkedCounter(file, 2000, 100, held=500)
+    texts = [t or "" for _, t in texts]
+    texts += ["".join(rnd.choices(LETTERS, k=rnd.randrange(200))) for _ in range(500)]
+    for at in range(0, len(texts), 50):
+        part = texts[at : at + 50]
+        expected = [len(e) for e in library(file).encode_batch(part, add_special_tokens=False)]
+        assert [c.n_tokens for c in counter.counts(part)] == expected
+
+
 @pytest.mark.parametrize("letter", ["a", " ", "\n", "!", "漢", "1", "́", "ab ", "<|endoftext|>"])
 def test_long_runs(letter):
     text = letter * 300_000

@@ -99,8 +99,10 @@ class PerfectHash:
 # ---------------------------------------------------------------- shards
 
 
-def pack_shard(keys: list[int | None], ids: list[np.ndarray], id_bytes: int) -> bytes:
-    """One shard; records are in the order given, null keys first, equal keys together."""
+def pack_shard(keys: list[int | None], ids: list[bytes], id_bytes: int) -> list[bytes]:
+    """One shard, in parts; records are in the order given, null keys first, equal keys
+    together. Each record's ids are little-endian integers of ``id_bytes``.
+    """
     nulls = sum(k is None for k in keys)
     known = np.array(keys[nulls:], np.int64)
     first = np.flatnonzero(np.r_[True, known[1:] != known[:-1]][: len(known)])
@@ -110,15 +112,14 @@ def pack_shard(keys: list[int | None], ids: list[np.ndarray], id_bytes: int) ->
     prints, records = np.zeros(len(first), "<u4"), np.zeros(len(first), "<u4")
     prints[slots], records[slots] = _fingerprints(distinct), nulls + first
     starts = np.zeros(len(keys) + 1, "<u8")
-    np.cumsum([len(i) for i in ids], out=starts[1:])
-    payload = np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(f"<u{id_bytes}")
+    np.cumsum([len(i) // id_bytes for i in ids], out=starts[1:])
     head = _HEAD.pack(
         MAGIC, id_bytes, len(keys), nulls, len(first), len(index.levels), int(starts[-1])
     )
     sizes = np.array([len(words) for words in index.levels], "<u8")
     parts = [sizes, *index.levels, starts, known.astype("<i8"), prints, records]
     packed = head + b"".join(p.tobytes() for p in parts)
-    return packed + bytes(-len(packed) % 8) + payload.tobytes()
+    return [packed, bytes(-len(packed) % 8), *ids]
 
 
 class Shard:
@@ -183,72 +184,84 @@ class PieceEncoder:
     """Ids of texts from the ``tokenizers`` library, which sees each piece once.
 
     Pieces are what stands between spaces (see :mod:`tenuro.llm.pieces`). Up to about
-    ``limit`` of them are kept, then all are forgotten.
+    ``limit`` of them are kept, as integers of ``id_bytes``, then all are forgotten.
     """
 
-    def __init__(self, tokenizer_json: str, limit: int = 800_000):
+    def __init__(self, tokenizer_json: str, id_bytes: int = 4, limit: int = 800_000):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(tokenizer_json)
         self.batch, self.limit = tokenizer.encode_batch_fast, limit
+        self.width = f"<u{id_bytes}"
         self.specials = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
         self.known: dict[str, bytes] = {}
-        # A control character that merges with nothing can stand between pieces, so that
-        # the library takes many at a time.
-        vocabulary = tokenizer.get_vocab()
-        self.mark, self.mark_id = None, -1
-        for mark in map(chr, range(1, 9)):
-            ids = self.batch([mark], add_special_tokens=False)[0].ids
-            symbol = tokenizer.id_to_token(ids[0]) if len(ids) == 1 else ""
-            if symbol and sum(symbol in token for token in vocabulary) == 1:
-                self.mark, self.mark_id = mark, ids[0]
-                break
-
-    def whole(self, texts: list[str]) -> list[bytes]:
+        # In a byte-level vocabulary the symbol of a space opens a token or isn't in it.
+        (space,) = self.batch([" "], add_special_tokens=False)
+        symbol = tokenizer.id_to_token(space.ids[0])
+        self.opens = np.zeros(tokenizer.get_vocab_size(), bool)
+        self.opens[[i for t, i in tokenizer.get_vocab().items() if t.startswith(symbol)]] = True
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
         found = self.batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [np.array(e.ids, self.width) for e in found]
 
-    def learn(self, pieces: set[str]) -> None:
-        """Add the ids of pieces, each as it is after a space."""
+    def learned(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of pieces, each as it is after a space, for this time and later."""
         plain, odd = [], []
         for piece in pieces:
-            # White space at the end would run into what follows.
-            joins = self.mark and piece and self.mark not in piece and not piece[-1].isspace()
+            # White space at an end would run into the space beside it.
+            joins = piece and not piece[0].isspace() and not piece[-1].isspace()
             (plain if joins else odd).append(piece)
-        for at in range(0, len(plain), 2000):
-            part = plain[at : at + 2000]
-            (ids,) = self.whole([" " + f"{self.mark} ".join(part)])
-            cuts = np.flatnonzero(np.frombuffer(ids, "<u4") == self.mark_id) * 4
-            start = 0
-            for piece, stop in zip(part, [*cuts.tolist(), len(ids)], strict=True):
-                self.known[piece] = ids[start:stop]
-                start = stop + 4
-        self.known.update(zip(odd, self.whole([f" {piece}" for piece in odd]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        new: dict[str, bytes] = {}
+        # Joined by spaces, so that the library takes many at a time: each begins with the
+        # token that has its space.
+        parts = [plain[at : at + 500] for at in range(0, len(plain), 500)]
+        joined = self.whole(["".join(f" {piece}" for piece in part) for part in parts])
+        for part, ids in zip(parts, joined, strict=True):
+            cuts = np.flatnonzero(self.opens[ids])
+            if len(cuts) != len(part):
+                odd += part
+                continue
+            blob, places = ids.tobytes(), [*(cuts * ids.itemsize).tolist(), None]
+            for piece, start, stop in zip(part, places, places[1:]):
+                new[piece] = blob[start:stop]
+        apart = self.whole([f" {piece}" for piece in odd])
+        new.update((piece, ids.tobytes()) for piece, ids in zip(odd, apart, strict=True))
         if len(self.known) > self.limit:
             self.known.clear()
-        parts: list[list[str] | None] = []
+        self.known.update(new)
+        return new
+
+    def encode(self, texts: list[str], end: bytes = b"") -> list[bytes]:
+        """The ids of each text as bytes, with ``end`` after them."""
+        begun, found, gaps = [], [], []
         unknown: set[str] = set()
         for text in texts:
-            cut = cuttable(text) and not any(s in text for s in self.specials)
-            parts.append(text.split(" ") if cut else None)
-            if cut:
-                unknown.update(set(parts[-1][1:]).difference(self.known))
-        self.learn(unknown)
-        # What doesn't come after a space, and texts that can't be cut, are encoded apart.
-        begun = self.whole([t if p is None else p[0] for t, p in zip(texts, parts)])
-        ids = self.known.__getitem__
+            ids: list[bytes] = []
+            if cuttable(text) and not any(s in text for s in self.specials):
+                # What doesn't come after a space, and texts that can't be cut, are
+                # encoded apart.
+                text, *rest = text.split(" ")
+                ids = list(map(self.known.get, rest))
+                if None in ids:
+                    missing = [(i, rest[i]) for i, known in enumerate(ids) if known is None]
+                    unknown.update(piece for _, piece in missing)
+                    gaps.append((ids, missing))
+            begun.append(text)
+            found.append(ids)
+        new = self.learned(unknown)
+        for ids, missing in gaps:
+            for i, piece in missing:
+                ids[i] = new[piece]
         return [
-            np.frombuffer(b if p is None else b + b"".join(map(ids, p[1:])), "<u4")
-            for b, p in zip(begun, parts)
+            b"".join((b.tobytes(), *ids, end)) for b, ids in zip(self.whole(begun), found)
         ]
 
 
 @lru_cache(maxsize=2)
-def _encoder(tokenizer_json: str) -> PieceEncoder:
+def _encoder(tokenizer_json: str, id_bytes: int) -> PieceEncoder:
     """One for each worker, kept from task to task."""
-    return PieceEncoder(tokenizer_json)
+    return PieceEncoder(tokenizer_json, id_bytes)
 
 
 def write_token_files(
@@ -279,18 +292,20 @@ def write_token_files(
     root = folder if "://" in folder else f"file://{folder.removeprefix('file:')}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared.value)
+        encoder = _encoder(shared.value, id_bytes)
+        end = np.array([end_id], f"<u{id_bytes}").tobytes()
         system, inner = fs.FileSystem.from_uri(root)
         system.create_dir(inner, recursive=True)
         part, seq = TaskContext.get().partitionId(), 0
         keys: list[int | None] = []
-        ids: list[np.ndarray] = []
+        ids: list[bytes] = []
         held = 0
 
         def write() -> pa.RecordBatch:
             name = f"shard-{part:06d}-{seq:04d}-{uuid.uuid4().hex}.ids"
             with system.open_output_stream(f"{inner}/{name}") as stream:
-                stream.write(pack_shard(keys, ids, id_bytes))
+                for packed in pack_shard(keys, ids, id_bytes):
+                    stream.write(packed)
             known = [k for k in keys if k is not None] or [None]
             row = (part, seq, f"{root}/{name}", len(keys), held, known[0], known[-1])
             return pa.RecordBatch.from_arrays(
@@ -299,11 +314,12 @@ def write_token_files(
 
         for batch in batches:
             for rows in slices(batch, "text", 2_000_000):
-                found = encoder.encode([t or "" for t in rows.column("text").to_pylist()])
+                texts = [t or "" for t in rows.column("text").to_pylist()]
+                found = encoder.encode(texts, end)
                 for k, new in zip(rows.column("key").to_pylist(), found):
                     keys.append(k)
-                    ids.append(np.append(new, np.uint32(end_id)).astype(f"<u{id_bytes}"))
-                    held += len(new) + 1
+                    ids.append(new)
+                    held += len(new) // id_bytes
                     if held >= shard_ids:
                         yield write()
                         keys, ids, held, seq = [], [], 0, seq + 1

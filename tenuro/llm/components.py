@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tenuro.functions.lineage import written
+from tenuro.functions.lineage import discard, written
+
+#: Joins of a star are by the key that its groups have, so both sides are moved once, and
+#: nothing goes through the driver.
+_JOIN = "merge"
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's least neighbour."""
     both = edges.union(edges.select("b", "a"))
     least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-    joined = both.where("b > a").join(least, "a")
+    joined = both.where("b > a").join(least.hint(_JOIN), "a")
     return joined.select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
@@ -19,7 +23,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node, are linked to the least one."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    joined = down.join(least, "a")
+    joined = down.join(least.hint(_JOIN), "a")
     return (
         joined.select(F.col("b").alias("a"), F.col("m").alias("b"))
         .union(least.select("a", F.col("m").alias("b")))
@@ -28,23 +32,58 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(``node``, ``component``) for every node of ``edges`` (``a``, ``b``).
+    """(``node``, ``component``) for every node of ``edges`` (``a``, ``b``), written.
 
     ``component`` is the least node of the component. Nodes without an edge don't show.
     No node's neighbours are ever collected, and a node with many of them is aggregated
-    before rows are moved. Rounds grow with the logarithm of the longest path.
+    before rows are moved. Rounds grow with the logarithm of the longest path. Each writes
+    its edges and deletes those of the round before.
     """
     now = written(edges.where("a <> b").select("a", "b").distinct(), "edges")
     state = None
     for _ in range(rounds):
-        now = written(_small_star(_large_star(now)).distinct(), "edges")
         mark = now.agg(
             F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("b") % 1_000_003)
         ).first()
-        if mark == state:
-            least = now.select(F.col("b").alias("node"), F.col("b").alias("component"))
-            return now.select(
-                F.col("a").alias("node"), F.col("b").alias("component")
-            ).union(least.distinct())
+        if mark == state or not mark[0]:
+            roots = now.select("b", "b").distinct()
+            found = written(now.union(roots).toDF("node", "component"), "components")
+            discard(now)
+            return found
         state = mark
+        after = written(_small_star(_large_star(now)).distinct(), "edges")
+        discard(now)
+        now = after
     raise RuntimeError(f"components didn't settle in {rounds} rounds")
+
+
+def joined_groups(groups: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(``c``, ``g``, ``gs``): groups of nodes with ``links`` (``a``, ``b``) added to them.
+
+    ``groups`` has those known before, ``g`` being the least node and ``gs`` the number of
+    nodes; None is none. Links are contracted to pairs of groups first, so stars run on
+    what is new alone.
+    """
+    if groups is None:
+        found = components(links)
+        labels = found.toDF("c", "g")
+    else:
+        known = groups.select("c", "g")
+        pairs = links
+        for side in "ab":
+            of_side = known.select(F.col("c").alias(side), F.col("g").alias(f"g_{side}"))
+            pairs = pairs.join(of_side, side, "left")
+        pairs = pairs.select(
+            F.coalesce("g_a", "a").alias("a"), F.coalesce("g_b", "b").alias("b")
+        )
+        found = components(pairs)
+        moved = known.join(found.withColumnRenamed("node", "g"), "g", "left")
+        old = moved.select("c", F.coalesce("component", "g").alias("g"))
+        # A node that had no group is its own in the contracted links.
+        new = found.join(known.select(F.col("c").alias("node")), "node", "left_anti")
+        labels = old.union(new.select("node", "component"))
+    labels = written(labels, "labels")
+    sizes = labels.groupBy("g").agg(F.count("*").alias("gs"))
+    sized = written(labels.join(sizes, "g").select("c", "g", "gs"), "groups")
+    discard(found, labels)
+    return sized

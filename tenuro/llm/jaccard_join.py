@@ -19,25 +19,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tenuro.functions.lineage import written
+from tenuro.functions.lineage import discard, written
 from tenuro.llm.common import slices, table
-from tenuro.llm.components import components
+from tenuro.llm.components import joined_groups
 from tenuro.llm.shingles import set_id, shingle_sets
 
 #: Two sets link if ``100 * common >= 75 * together``, so ``7 * common >= 3 * (m + n)``.
 #: The numbers below follow from that.
 _SKETCH_PART = 4096
 #: Blocks from this size on are probed before the product, for so many rounds at most.
-_PROBED, _ROUNDS = 8, 4
+_PROBED, _ROUNDS = 8, 2
 #: Members drawn for each block and round, and those that a class is compared with.
-_SLOTS, _TRIES = 8, 12
+_SLOTS, _TRIES = 16, 24
 #: From this size on, not less than ``_PROBED``, members of a block take their whole sets
 #: to the product.
 _LONG = 64
-#: The groups of up to so many classes are broadcast, 16 bytes each.
-_BROADCAST_CLASSES = 1_000_000
+#: N-grams of more documents, by the sketch, are spread over so many places. The sketch
+#: counts too many rather than too few, so all other blocks are smaller.
+_HOT, _PLACES = 1 << 16, 64
+#: Of long blocks, so many members at a time meet all the others in a task.
+_SHARE = 1024
 _CHUNK = 1_000_000
 
 
@@ -134,25 +138,28 @@ def _summed_sketch(parts: DataFrame, bits: int) -> np.ndarray:
     summed = rows.coalesce(max(8, tasks)).mapInArrow(summing("<u2"), schema)
     summed = summed.repartition("part")
     total = np.zeros((max(1, (1 << bits) // _SKETCH_PART), _SKETCH_PART), np.int32)
-    for row in summed.mapInArrow(summing("<u4"), schema).toLocalIterator():
+    # One job for all; what it brings is no larger than the sketch.
+    for row in summed.mapInArrow(summing("<u4"), schema).collect():
         total[row.part] = np.frombuffer(row.counts, "<u4")
     return total.ravel()
 
 
-def _prefixes(documents: DataFrame, sketch: np.ndarray, bits: int) -> DataFrame:
-    """(``h``, ``c``, ``n``, ``pos``): the rarest n-grams of each class, and their ranks.
+def _prefixes(documents: DataFrame, shared: Broadcast[np.ndarray], bits: int) -> DataFrame:
+    """(``h``, ``c``, ``n``, ``pos``, ``place``): the rarest n-grams of each class, and
+    their ranks.
 
     The order of n-grams is by their counter, then by hash, the same for all documents. A
-    task names a class once; a class may come from several tasks.
+    task names a class once; a class may come from several tasks. ``place`` is 0, and for
+    n-grams of many documents one of some places from 1 on, by the class.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(sketch)
+    hot, places = _HOT, _PLACES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         seen: set[int] = set()
         for batch in batches:
             for part in slices(batch, "text", _CHUNK):
-                found: list[tuple[np.ndarray, int, int]] = []
+                found: list[tuple[np.ndarray, int, int, np.ndarray]] = []
                 for members in shingle_sets([t or "" for t in part.column("text").to_pylist()]):
                     n = len(members)
                     if n == 0 or (c := set_id(members)) in seen:
@@ -163,24 +170,28 @@ def _prefixes(documents: DataFrame, sketch: np.ndarray, bits: int) -> DataFrame:
                     length = _prefix_length(n)
                     rarity = counts[members >> np.uint64(64 - bits)]
                     order = np.argsort(rarity, kind="stable")[:length]  # members are sorted
-                    found.append((members[order].view(np.int64), c, n))
+                    place = (rarity[order] > hot) * np.int32(1 + c % places)
+                    found.append((members[order].view(np.int64), c, n, place))
                 if found:
-                    lengths = [len(h) for h, _, _ in found]
+                    lengths = [len(f[0]) for f in found]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(np.concatenate([h for h, _, _ in found])),
-                            pa.array(np.repeat([c for _, c, _ in found], lengths)),
-                            pa.array(np.repeat([n for _, _, n in found], lengths).astype(np.int32)),
+                            pa.array(np.concatenate([f[0] for f in found])),
+                            pa.array(np.repeat([f[1] for f in found], lengths)),
+                            pa.array(np.repeat([f[2] for f in found], lengths).astype(np.int32)),
                             pa.array(np.concatenate([np.arange(m, dtype=np.int32) for m in lengths])),
+                            pa.array(np.concatenate([f[3] for f in found]), pa.int32()),
                         ],
-                        names=["h", "c", "n", "pos"],
+                        names=["h", "c", "n", "pos", "place"],
                     )
 
-    return documents.select("text").mapInArrow(run, "h long, c long, n int, pos int")
+    return documents.select("text").mapInArrow(
+        run, "h long, c long, n int, pos int, place int"
+    )
 
 
 def _members(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(``c``, ``members``): the whole sets of wanted classes (``doc``, ``k``, ``c``).
+    """(``c``, ``members``): the whole sets of wanted classes (``doc``, ``k``, ``c``), kept.
 
     A filter of fixed size tells most of the other documents, so that few texts are
     shingled once more; a join then tells the rest.
@@ -200,7 +211,7 @@ def _members(documents: DataFrame, wanted: DataFrame) -> DataFrame:
         )
 
     # One megabyte from each of few tasks, however many classes there are.
-    maps = places.coalesce(8).mapInArrow(marked, "bitmap binary").toLocalIterator()
+    maps = places.coalesce(8).mapInArrow(marked, "bitmap binary").collect()
     bitmap = np.zeros(1 << (bits - 3), np.uint8)
     for row in maps:
         bitmap |= np.frombuffer(row.bitmap, np.uint8)
@@ -230,11 +241,15 @@ def _members(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     found = documents.select(place.alias("place"), "text").mapInArrow(
         run, "c long, members array<long>"
     )
-    return (
+    members = written(
         found.join(wanted.select("c").distinct(), "c", "left_semi")
         .groupBy("c")
-        .agg(F.first("members").alias("members"))
+        .agg(F.first("members").alias("members")),
+        "members",
     )
+    shared.destroy()
+    discard(wanted)
+    return members
 
 
 # ---------------------------------------------------------------- blocks
@@ -245,28 +260,42 @@ def _band() -> Column:
     return F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int")
 
 
-def _blocks(prefixes: DataFrame) -> DataFrame:
-    """(``h``, ``c``, ``n``, ``pos``) of n-grams in two classes or more.
+def _blocks(prefixes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``h``, ``c``, ``n``, ``pos``) of n-grams in two classes or more, after the table
+    that it reads.
 
     ``size`` is the number of its classes, and ``first`` the least of them that has about
-    the same number of shingles.
+    the same number of shingles. N-grams of many documents have several places, whose
+    figures are added up.
     """
     rows = prefixes.withColumn("band", _band())
-    block = Window.partitionBy("h").orderBy("band", "n", "c")
-    within = Window.partitionBy("h", "band").orderBy("n", "c")
+    block = Window.partitionBy("h", "place").orderBy("band", "n", "c")
+    within = Window.partitionBy("h", "place", "band").orderBy("n", "c")
     once = rows.withColumn("same", F.lag("c").over(block)).where("same IS NULL OR same <> c")
-    return (
+    local = written(
         once.withColumns(
             {
                 "before": F.lag("c").over(block),
                 "after": F.lead("c").over(block),
-                "size": F.count("*").over(Window.partitionBy("h")),
+                "size": F.count("*").over(Window.partitionBy("h", "place")),
             }
         )
-        .where("before IS NOT NULL OR after IS NOT NULL")
+        .where("before IS NOT NULL OR after IS NOT NULL OR place > 0")
         .withColumns({"first": F.first("c").over(within), "n_first": F.first("n").over(within)})
-        .select("h", "c", "n", "pos", "size", "first", "n_first")
+        .select("h", "c", "n", "pos", "place", "band", "size", "first", "n_first"),
+        "blocks",
     )
+    columns = ("h", "c", "n", "pos", "size", "first", "n_first")
+    spread = local.where("place > 0")
+    figures = (
+        spread.groupBy("h", "band")
+        .agg(F.count("*").alias("n_band"), F.min(F.struct("n_first", "first")).alias("least"))
+        .withColumn("size", F.sum("n_band").over(Window.partitionBy("h")))
+        .where("size > 1")
+        .select("h", "band", "size", "least.first", "least.n_first")
+    )
+    whole = spread.drop("size", "first", "n_first").join(figures, ["h", "band"])
+    return local, local.where("place = 0").select(*columns).union(whole.select(*columns))
 
 
 def _star_pairs(blocks: DataFrame) -> DataFrame:
@@ -290,8 +319,6 @@ def _star_pairs(blocks: DataFrame) -> DataFrame:
 
 def _mixed(blocks: DataFrame, group: DataFrame) -> DataFrame:
     """Members of blocks of several groups ``g`` (of ``gs`` classes; one at first)."""
-    if group.count() <= _BROADCAST_CLASSES:
-        group = F.broadcast(group)
     rows = (
         blocks.select("h", "c", "n", "pos", "size")
         .join(group, "c", "left")
@@ -306,21 +333,33 @@ def _mixed(blocks: DataFrame, group: DataFrame) -> DataFrame:
     return written(rows.join(several, "h", "left_semi"), "mixed-blocks")
 
 
-def _probe_pairs(blocks: DataFrame, group: DataFrame, attempt: int) -> DataFrame:
-    """Members of long blocks with members of a larger group, some drawn for each block.
+def _shares(size: Column, members: int) -> Column:
+    return F.ceil(size / members).cast("int")
+
+
+def _dealt(name: str, shares: Column) -> Column:
+    return F.pmod(F.xxhash64(name), shares).cast("int")
+
+
+def _probe_pairs(rows: DataFrame, attempt: int) -> DataFrame:
+    """Members of mixed blocks with members of a larger group, some drawn for each block.
 
     Each class takes ``_TRIES`` of them at most: what isn't found out here, the product
     finds.
     """
-    rows = _mixed(blocks, group)
     slot = F.pmod(F.xxhash64("c", F.lit(attempt)), F.lit(_SLOTS))
     draw = F.xxhash64("c", "h", F.lit(attempt))
     drawn = rows.groupBy("h", slot.alias("slot")).agg(
-        F.min(F.struct(draw.alias("d"), "c", "n", "pos", "g", "gs")).alias("o")
+        F.min(F.struct(draw.alias("d"), "c", "n", "pos", "g", "gs")).alias("o"),
+        _shares(F.min("size"), _PROBED * _SLOTS).alias("shares"),
     )
+    # Members of a block are dealt over as many keys as keeps them few; each gets all drawn.
+    each = F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")
+    drawn = drawn.select("h", "o", each)
+    rows = rows.withColumn("share", _dealt("c", _shares(F.col("size"), _PROBED * _SLOTS)))
     small, large = F.least("n", F.col("o.n")), F.greatest("n", F.col("o.n"))
     rest = F.least(F.col("n") - F.col("pos"), F.col("o.n") - F.col("o.pos"))
-    met = rows.join(drawn, "h").where(
+    met = rows.join(drawn, ["h", "share"]).where(
         F.expr("g <> o.g AND (gs < o.gs OR (gs = o.gs AND g > o.g))")
         & (4 * small >= 3 * large)
         & _linked(rest, small, large)
@@ -382,20 +421,35 @@ def _can_link() -> Column:
 def _long_links(rows: DataFrame, members: DataFrame) -> DataFrame:
     """The links (``a``, ``b``) of the product within long mixed blocks.
 
-    Whole sets go with the members of blocks here, so that of the many pairs of a long
-    block none but the links leave the join.
+    A cell of the product is taken in one block alone, that of the pair's first common
+    n-gram in the order of the smaller set. Whole sets go with the members, so that it is
+    added up in full there, and of the many pairs of a block none but the links leave it.
     """
-    full = rows.join(members, "c")
-    names = ("c", "n", "pos", "g", "members")
-    small, large = (
-        full.select("h", *(F.col(x).alias(f"{x}_{side}") for x in names)) for side in "ab"
+    prefixes = rows.groupBy("c").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "h"))).alias("prefix")
     )
+    sets = members.join(prefixes, "c").select("c", "members", F.col("prefix.h").alias("prefix"))
+    full = rows.join(sets, "c").withColumns(
+        {"band": _band(), "shares": _shares(F.col("size"), _SHARE)}
+    )
+    names = ("c", "n", "pos", "g", "members", "prefix")
+    key = ["h", "band", "share"]
+    small = full.select(
+        "h", "band", _dealt("c", F.col("shares")).alias("share"),
+        *(F.col(x).alias(f"{x}_a") for x in names),
+    ).where(7 * (F.col("n_a") - F.col("pos_a")) >= 6 * F.col("n_a"))
+    # As in the product of short blocks, for this band and the one below.
+    large = full.withColumn("band", F.explode(F.array("band", F.col("band") - 1))).select(
+        "h", "band", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"),
+        *(F.col(x).alias(f"{x}_b") for x in names),
+    )
+    first = F.element_at(F.array_intersect("prefix_a", "prefix_b"), 1) == F.col("h")
     common = F.size(F.array_intersect("members_a", "members_b"))
     return (
-        small.join(large, "h")
-        .where(_can_link() & _linked(common, F.col("n_a"), F.col("n_b")))
+        small.join(large, key)
+        .where(_can_link() & first)
+        .where(_linked(common, F.col("n_a"), F.col("n_b")))
         .select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
-        .distinct()
     )
 
 
@@ -417,14 +471,50 @@ def _both(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("c")).union(pairs.select("b"))
 
 
-def _groups(links: DataFrame) -> DataFrame:
-    """(``c``, ``g``, ``gs``): each linked class, its connected component and its size."""
-    found = written(
-        components(links).select(F.col("node").alias("c"), F.col("component").alias("g")),
-        "groups",
-    )
-    sizes = found.groupBy("g").agg(F.count("*").alias("gs"))
-    return written(found.join(sizes, "g").select("c", "g", "gs"), "groups")
+def _linked_classes(
+    rows: DataFrame, places: DataFrame, sketch: np.ndarray, bits: int
+) -> DataFrame:
+    """(``c``, ``g``, ``gs``): each linked class, its component and its size.
+
+    ``places`` (``c``, ``doc``, ``k``) has a document of each class. Tables are deleted
+    once they have been used.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(sketch)
+    local, blocks = _blocks(_prefixes(rows, shared, bits))
+    shared.destroy()
+    probed = blocks.where(F.col("size") >= _PROBED)
+    pairs = written(_star_pairs(blocks), "pairs")
+    members = _members(rows, places.join(_both(pairs).union(probed.select("c")).distinct(), "c"))
+    links = _verified(pairs, members)
+    discard(pairs)
+    group = joined_groups(None, links)
+    discard(links)
+
+    def joined(links: DataFrame) -> DataFrame:
+        more = joined_groups(group, links)
+        discard(links, group)
+        return more
+
+    for attempt in range(_ROUNDS):
+        mixed = _mixed(probed, group)
+        more = _verified(_probe_pairs(mixed, attempt), members)
+        discard(mixed)
+        if more.isEmpty():
+            discard(more)
+            break
+        group = joined(more)
+    mixed = _mixed(blocks, group)
+    discard(local)
+    is_long = F.col("size") >= _LONG
+    long_links = written(_long_links(mixed.where(is_long), members), "links")
+    discard(members)
+    group = joined(long_links)
+    pairs = written(_product_pairs(mixed.where(~is_long)), "pairs")
+    discard(mixed)
+    rest = _members(rows, places.join(_both(pairs).distinct(), "c"))
+    more = _verified(pairs, rest)
+    discard(pairs, rest)
+    return joined(more)
 
 
 def similar_documents(
@@ -456,28 +546,7 @@ def similar_documents(
         .select("c", "least", "place.doc", "place.k"),
         "class-ids",
     )
-    places = classes.select("c", "doc", "k")
-    blocks = written(_blocks(_prefixes(rows, sketch, sketch_bits)), "blocks")
-    probed = blocks.where(F.col("size") >= _PROBED)
-    pairs = written(_star_pairs(blocks), "pairs")
-    wanted = _both(pairs).union(probed.select("c")).distinct()
-    members = written(_members(rows, places.join(wanted, "c")), "members")
-    links = _verified(pairs, members)
-    group = _groups(links)
-    for attempt in range(_ROUNDS):
-        more = _verified(_probe_pairs(probed, group, attempt), members)
-        if more.isEmpty():
-            break
-        links = links.union(more)
-        group = _groups(links)
-    mixed = _mixed(blocks, group)
-    is_long = F.col("size") >= _LONG
-    pairs = written(_product_pairs(mixed.where(~is_long)), "pairs")
-    rest = written(_members(rows, places.join(_both(pairs).distinct(), "c")), "members")
-    long_links = written(_long_links(mixed.where(is_long), members), "links")
-    more = _verified(pairs, rest).union(long_links)
-    if not more.isEmpty():
-        group = _groups(links.union(more))
+    group = _linked_classes(rows, classes.select("c", "doc", "k"), sketch, sketch_bits)
     grouped = classes.join(group.drop("gs"), "c", "left").select(
         "c", "least", F.coalesce("g", "c").alias("g")
     )

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tenuro.llm import jaccard_join as jj
-from tenuro.llm.components import components
+from tenuro.llm.components import components, joined_groups
 from tenuro.llm.shingles import shingle_sets
 from tests.llm import plain
 from tests.llm.conftest import LONG, ODD
@@ -53,8 +53,46 @@ def test_the_product_of_long_blocks(spark, monkeypatch, long):
     monkeypatch.setattr(jj, "_ROUNDS", 0)
     monkeypatch.setattr(jj, "_LONG", long)
     monkeypatch.setattr(jj, "_PROBED", min(long, jj._PROBED))
-    monkeypatch.setattr(jj, "_BROADCAST_CLASSES", 0)
+    monkeypatch.setattr(jj, "_SHARE", 3)
     check(spark, near_copies(seed=6, groups=6))
+    check(spark, common_line(40))
+
+
+def common_line(n, seed=8):
+    """A third of all documents share a line, which is all that some of them have in common."""
+    rng = random.Random(seed)
+    line = "this line of eight words is very common"
+    rows = []
+    for i in range(n):
+        own = " ".join(rng.choices([f"w{j}" for j in range(400)], k=rng.randint(0, 12)))
+        rows.append((i, f"{line} {own}" if i % 3 == 0 else own))
+    return rows
+
+
+@pytest.mark.parametrize("hot", [0, 3])
+def test_very_common_n_grams_have_several_places(spark, monkeypatch, hot):
+    monkeypatch.setattr(jj, "_HOT", hot)
+    monkeypatch.setattr(jj, "_PLACES", 3)
+    check(spark, common_line(60))
+    check(spark, near_copies(seed=9, groups=4))
+
+
+def test_the_product_takes_each_pair_once(spark, monkeypatch):
+    """All cells that leave a long block are links, and none leaves two."""
+    found = []
+
+    def counted(rows, members, real=jj._long_links):
+        links = real(rows, members)
+        found.extend(tuple(r) for r in links.collect())
+        return links
+
+    monkeypatch.setattr(jj, "_star_pairs", lambda blocks, real=jj._star_pairs: real(blocks).limit(0))
+    monkeypatch.setattr(jj, "_ROUNDS", 0)
+    monkeypatch.setattr(jj, "_LONG", 2)
+    monkeypatch.setattr(jj, "_PROBED", 2)
+    monkeypatch.setattr(jj, "_long_links", counted)
+    check(spark, near_copies(seed=6, groups=4))
+    assert found and len(found) == len(set(found))
 
 
 def test_probes_find_what_the_stars_miss(spark, monkeypatch):
@@ -114,3 +152,28 @@ def test_components_of_a_long_path_and_a_star(spark):
         (i, 7) for i in [7, *range(300, 400)]
     }
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_links_are_added_to_groups(spark):
+    def links(*pairs):
+        return spark.createDataFrame(pairs, "a long, b long")
+
+    groups = joined_groups(None, links((4, 3), (3, 9), (20, 21)))
+    groups = joined_groups(groups, links((9, 21), (50, 51), (3, 4), (60, 3)))
+    groups = joined_groups(groups, links())
+    assert {tuple(r) for r in groups.collect()} == {
+        *((c, 3, 6) for c in (3, 4, 9, 20, 21, 60)), (50, 50, 2), (51, 50, 2),
+    }
+
+
+def test_tables_are_deleted_once_used(spark, documents):
+    import os
+
+    from tenuro.functions.lineage import _session_folder
+
+    folder = _session_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    result = jj.similar_documents(documents)
+    left = sorted(name.rpartition("-")[0] for name in set(os.listdir(folder)) - before)
+    assert left == ["class-ids", "classes", "component-ids", "groups"]
+    assert result.count() == documents.count()

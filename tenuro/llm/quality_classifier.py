@@ -155,37 +155,46 @@ def fit_rule_ensemble(
 ) -> RuleEnsemble:
     """Fit on rows with ``stats`` and a 0/1 ``label``; other labels and nulls are left out.
 
-    The fit uses a sample of about ``max_training_rows`` rows, chosen by a hash of their
-    statistics. With one class only, or none, there is nothing to tell apart: the score
+    Rows with the same statistics and label are one row, of a weight that counts them. The
+    fit uses a sample of about ``max_training_rows`` of those, chosen by a hash of what they
+    hold, so that the same rows give the same model in any order. With one class only, or none, there is nothing to tell apart: the score
     is the share of ones, a half without any rows.
     """
     names = list(STATISTICS)
-    rows = labelled.where(F.col(label).isin(0, 1)).select(
-        "stats", F.col(label).cast("double").alias("label")
+    rows = written(
+        labelled.where(F.col(label).isin(0, 1))
+        .groupBy("stats", F.col(label).cast("double").alias("label"))
+        .agg(F.count("*").cast("double").alias("weight")),
+        "training-rows",
     )
-    counts = rows.agg(F.count("*").alias("n"), F.avg("label").alias("share")).first()
+    share = F.sum(F.col("weight") * F.col("label")) / F.sum("weight")
+    counts = rows.agg(F.count("*").alias("n"), share.alias("share")).first()
     if not counts.n or counts.share in (0.0, 1.0):
         # Not quite 0 or 1, so that the logarithm exists.
         share = 0.5 if not counts.n else min(max(counts.share, 1e-6), 1 - 1e-6)
         return RuleEnsemble(math.log(share / (1 - share)), {})
     if counts.n > max_training_rows:
-        place = F.pmod(F.xxhash64("stats", F.monotonically_increasing_id()), F.lit(1 << 30))
+        place = F.pmod(F.xxhash64("stats", "label"), F.lit(1 << 30))
         rows = rows.where(place < int((1 << 30) * max_training_rows / counts.n))
-    rows = written(rows, "training-rows")
-    flat = rows.select("label", *(F.col(f"stats.{n}").alias(n) for n in names))
+    # Samples of trees are drawn by position, so rows have a fixed one.
+    rows = rows.repartition(8, "stats", "label").sortWithinPartitions("stats", "label")
+    flat = rows.select("label", "weight", *(F.col(f"stats.{n}").alias(n) for n in names))
     assembler = VectorAssembler(inputCols=names, outputCol="features")
     forest = RandomForestRegressor(
         numTrees=trees, maxDepth=depth, maxBins=64, subsamplingRate=0.7, minInstancesPerNode=5,
-        featureSubsetStrategy="onethird", seed=seed,
+        featureSubsetStrategy="onethird", seed=seed, weightCol="weight",
     ).fit(assembler.transform(flat))
     rules = rules_of_trees(forest.toDebugString, names)
     if not rules:
         return RuleEnsemble(math.log(counts.share / (1 - counts.share)), {})
     matrix = rows.select(
         "label",
+        "weight",
         array_to_vector(F.array(*(r.column().cast("double") for r in rules))).alias("features"),
     )
-    lasso = LogisticRegression(elasticNetParam=1.0, regParam=penalty, maxIter=100).fit(matrix)
+    lasso = LogisticRegression(
+        elasticNetParam=1.0, regParam=penalty, maxIter=100, weightCol="weight"
+    ).fit(matrix)
     weights = {r: float(w) for r, w in zip(rules, lasso.coefficients) if w}
     return RuleEnsemble(float(lasso.intercept), weights)
 

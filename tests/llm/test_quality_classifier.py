@@ -1,3 +1,7 @@
+import math
+import re
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,6 +43,69 @@ def test_scores_tell_held_out_labels(spark, documents):
     assert right >= 0.95 * test.count()
 
 
+def plain_statistics(text):
+    """Every statistic of one text, from characters and lists."""
+    text = text or ""
+    white = " \t\n\x0b\x0c\r"
+    words = re.split(f"[{white}]+", text.strip(white)) if text.strip(white) else []
+    lines = text.split("\n")
+    inside = sum(map(len, words))
+    upper = sum(unicodedata.category(c) == "Lu" for c in text)
+    letters = sum(unicodedata.category(c)[0] == "L" for c in text)
+
+    def of(characters):
+        return sum(c in characters for c in text)
+
+    n, symbols = max(len(words), 1), of("#*$%&|<>~^_=+{}")
+    return {
+        "log_words": math.log(1 + len(words)),
+        "log_lines": math.log(1 + len(lines)),
+        "word_length": inside / n,
+        "words_a_line": len(words) / len(lines),
+        "distinct_word_share": len(set(words)) / n,
+        "distinct_word_power": math.log(1 + len(set(words))) / math.log(2 + len(words)),
+        "distinct_line_share": len(set(lines)) / len(lines),
+        "upper_share": upper / max(letters, 1),
+        "letter_share": letters / max(inside, 1),
+        "digit_share": of("0123456789") / max(inside, 1),
+        "symbol_share": symbols / max(inside, 1),
+        "symbols_a_word": symbols / n,
+        "marks_a_word": of("!?") / n,
+        "stops_a_word": of(".,;:") / n,
+    }
+
+
+def plain_score(model, stats):
+    total = model.intercept
+    for rule, weight in model.weights.items():
+        if all(stats[name] <= b if upper else stats[name] > b for name, upper, b in rule.bounds):
+            total += weight
+    return 1 / (1 + math.exp(-total))
+
+
+def test_statistics_and_scores_match_a_plain_version(documents, odd):
+    measured = qc.statistics(documents, keep=("doc_id", "text"))
+    rows = measured.withColumn("label", (F.col("stats.symbol_share") > 0.02).cast("int"))
+    model = qc.fit_rule_ensemble(rows)
+    assert len(model.weights) > 3
+    both = measured.union(qc.statistics(odd, keep=("doc_id", "text")))
+    for r in both.withColumn("score", model.score()).collect():
+        expected = plain_statistics(r.text)
+        assert r.stats.asDict() == pytest.approx(expected, abs=1e-12), r.doc_id
+        assert r.score == pytest.approx(plain_score(model, r.stats.asDict()), abs=1e-9)
+
+
+def test_the_fit_depends_on_rows_alone(documents):
+    measured = qc.statistics(documents)
+    rows = measured.withColumn("label", (F.col("stats.symbol_share") > 0.02).cast("int"))
+    models = [
+        qc.fit_rule_ensemble(df, max_training_rows=120)
+        for df in (rows, rows.repartition(5), rows.orderBy(F.desc("doc_id")))
+    ]
+    assert models[0].weights.keys() == models[1].weights.keys() == models[2].weights.keys()
+    assert models[0].intercept == pytest.approx(models[1].intercept, abs=1e-9)
+
+
 def test_odd_rows_have_statistics(odd, nothing):
     rows = qc.statistics(odd).collect()
     assert len(rows) == odd.count()

@@ -55,14 +55,19 @@ def grams(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def segments(text: str) -> Iterator[str]:
-    """A long text in parts that end between words, each of bounded size.
+    """A long text in parts that end between words, in lower case.
 
-    A run of over a million letters is cut inside.
+    A part is as long as ``_SEGMENT``, or goes on to the end of a run of letters that it
+    would cut; so memory follows the longest run. How a letter is lower-cased may depend on
+    those around it, so the whole text is.
     """
-    start = 0
+    if len(text) <= _SEGMENT:
+        yield text
+        return
+    text, start = text.lower(), 0
     while len(text) - start > _SEGMENT:
-        gap = _GAP.search(text, start + _SEGMENT - 1000, start + _SEGMENT)
-        stop = gap.end() if gap else start + _SEGMENT
+        gap = _GAP.search(text, start + _SEGMENT - 1)
+        stop = gap.end() if gap else len(text)
         yield text[start:stop]
         start = stop
     yield text[start:]

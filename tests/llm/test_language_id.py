@@ -1,4 +1,7 @@
+from collections import Counter, defaultdict
+
 import numpy as np
+import pytest
 
 from tenuro.llm import language_id as li
 
@@ -13,11 +16,59 @@ def test_grams_have_a_letter_in_their_middle():
 def test_long_texts_are_cut_between_words():
     text = "word soup " * 300_000
     parts = list(li.segments(text))
-    assert len(parts) == 3 + 1 and "".join(parts) == text
+    assert len(parts) == 3 and "".join(parts) == text
     whole, cut = li.grams([text])[0], np.concatenate([li.grams([p])[0] for p in parts])
     assert np.array_equal(np.sort(whole), np.sort(cut))
 
 
+@pytest.mark.parametrize("around", [1499, 1, 1_000_000, 2_500_000])
+def test_runs_of_letters_are_never_cut(around):
+    text = ("ab " * 400_000)[: 1_000_000 - around // 2] + "xΣyz" * (around // 4 + 1) + " tail" * 300_000
+    parts = list(li.segments(text))
+    assert "".join(parts) == text.lower()
+    whole, cut = li.grams([text])[0], np.concatenate([li.grams([p])[0] for p in parts])
+    assert np.array_equal(np.sort(whole), np.sort(cut))
+
+
+def plain_grams(text):
+    low, found = text.lower(), []
+    for i, c in enumerate(low):
+        if c.isalpha():
+            around = (low[i - 1 : i], c, low[i + 1 : i + 2])
+            found.append("".join(x if x.isalpha() else "_" for x in (around[0] or "_", c, around[2] or "_")))
+    return found
+
+
+def plain_prediction(own, totals, text):
+    """The same by exact sets: the language that has the largest share of the 3-grams."""
+    found = plain_grams(text or "")
+    if not found:
+        return "und", 0.0
+    shares = {k: sum(g in own[k] for g in found) / len(found) for k in own}
+    best = min(shares, key=lambda k: (-shares[k], -totals[k], k))
+    return best, shares[best]
+
+
+def test_predictions_are_those_of_exact_sets(documents):
+    train = documents.where("doc_id % 2 = 0")
+    filters = li.fit_language_filters(train)
+    counts, totals = defaultdict(Counter), Counter()
+    for r in train.where("lang IS NOT NULL").collect():
+        counts[r.lang].update(plain_grams(r.text or ""))
+    for k, c in counts.items():
+        totals[k] = c.total()
+    usual = {k: {g: n / totals[k] for g, n in c.items() if n / totals[k] >= 2e-5} for k, c in counts.items()}
+    largest = {g: max(u.get(g, 0) for u in usual.values()) for u in usual.values() for g in u}
+    own = {k: {g for g, share in u.items() if share >= 0.1 * largest[g]} for k, u in usual.items()}
+    rows = documents.collect()
+    names, scores = filters.predict([r.text or "" for r in rows])
+    expected = [plain_prediction(own, totals, r.text) for r in rows]
+    same = sum(name == e[0] for name, e in zip(names, expected))
+    # Filters claim some 3-grams that a language hasn't; texts of a word or two show it.
+    assert same >= 0.99 * len(rows)
+    assert all(abs(score - e[1]) < 0.05 for score, name, e in zip(scores, names, expected) if name == e[0])
+
+
 def test_filters_return_all_languages_of_a_gram():
     own = {f"l{i}": np.arange(i * 10, i * 10 + 15, dtype=np.int64) for i in range(11)}
     filters = li.LanguageFilters(own)

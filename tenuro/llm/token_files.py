@@ -13,6 +13,7 @@ file that nobody reads.
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -190,6 +191,8 @@ class PieceEncoder:
     def __init__(self, tokenizer_json: str, id_bytes: int = 4, limit: int = 800_000):
         from tokenizers import Tokenizer
 
+        # Tasks have a core each; the library's own threads would only hold more memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer = Tokenizer.from_str(tokenizer_json)
         self.batch, self.limit = tokenizer.encode_batch_fast, limit
         self.width = f"<u{id_bytes}"
@@ -215,9 +218,9 @@ class PieceEncoder:
         new: dict[str, bytes] = {}
         # Joined by spaces, so that the library takes many at a time: each begins with the
         # token that has its space.
-        parts = [plain[at : at + 500] for at in range(0, len(plain), 500)]
-        joined = self.whole(["".join(f" {piece}" for piece in part) for part in parts])
-        for part, ids in zip(parts, joined, strict=True):
+        for at in range(0, len(plain), 500):
+            part = plain[at : at + 500]
+            (ids,) = self.whole(["".join(f" {piece}" for piece in part)])
             cuts = np.flatnonzero(self.opens[ids])
             if len(cuts) != len(part):
                 odd += part

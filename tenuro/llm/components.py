@@ -58,32 +58,27 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
 
 def joined_groups(groups: DataFrame | None, links: DataFrame) -> DataFrame:
-    """(``c``, ``g``, ``gs``): groups of nodes with ``links`` (``a``, ``b``) added to them.
+    """(``c``, ``g``): groups of nodes with ``links`` (``a``, ``b``) added to them, written.
 
-    ``groups`` has those known before, ``g`` being the least node and ``gs`` the number of
-    nodes; None is none. Links are contracted to pairs of groups first, so stars run on
-    what is new alone.
+    ``groups`` has those known before, ``g`` being the least node; None is none. Links are
+    contracted to pairs of groups first, so stars run on what is new alone.
     """
     if groups is None:
         found = components(links)
-        labels = found.toDF("c", "g")
+        joined = written(found.toDF("c", "g"), "groups")
     else:
-        known = groups.select("c", "g")
         pairs = links
         for side in "ab":
-            of_side = known.select(F.col("c").alias(side), F.col("g").alias(f"g_{side}"))
-            pairs = pairs.join(of_side, side, "left")
+            of_side = groups.select(F.col("c").alias(side), F.col("g").alias(f"g_{side}"))
+            pairs = pairs.join(of_side.hint(_JOIN), side, "left")
         pairs = pairs.select(
             F.coalesce("g_a", "a").alias("a"), F.coalesce("g_b", "b").alias("b")
         )
         found = components(pairs)
-        moved = known.join(found.withColumnRenamed("node", "g"), "g", "left")
-        old = moved.select("c", F.coalesce("component", "g").alias("g"))
+        moved = groups.join(found.toDF("g", "to").hint(_JOIN), "g", "left")
+        old = moved.select("c", F.coalesce("to", "g").alias("g"))
         # A node that had no group is its own in the contracted links.
-        new = found.join(known.select(F.col("c").alias("node")), "node", "left_anti")
-        labels = old.union(new.select("node", "component"))
-    labels = written(labels, "labels")
-    sizes = labels.groupBy("g").agg(F.count("*").alias("gs"))
-    sized = written(labels.join(sizes, "g").select("c", "g", "gs"), "groups")
-    discard(found, labels)
-    return sized
+        new = found.join(groups.select(F.col("c").alias("node")).hint(_JOIN), "node", "left_anti")
+        joined = written(old.union(new.select("node", "component")), "groups")
+    discard(found)
+    return joined

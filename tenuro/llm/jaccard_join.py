@@ -8,9 +8,9 @@ verified on whole sets.
 
 Documents with equal sets are one class, and only classes are paired. Large groups of
 near copies would still give a product that is quadratic in them. So members of a block
-are first compared with one of them, in long blocks for some rounds with one drawn from
-another group, and members that this connects needn't be paired with each other: the
-product covers only pairs that aren't connected yet. No link between components is lost.
+are first compared with one of them, and members that this connects needn't be paired with
+each other: the product covers only pairs that aren't connected yet. No link between
+components is lost.
 """
 
 from __future__ import annotations
@@ -30,12 +30,9 @@ from tenuro.llm.shingles import set_id, shingle_sets
 #: Two sets link if ``100 * common >= 75 * together``, so ``7 * common >= 3 * (m + n)``.
 #: The numbers below follow from that.
 _SKETCH_PART = 4096
-#: Blocks from this size on are probed before the product, for so many rounds at most.
-_PROBED, _ROUNDS = 8, 2
-#: Members drawn for each block and round, and those that a class is compared with.
-_SLOTS, _TRIES = 16, 24
-#: From this size on, not less than ``_PROBED``, members of a block take their whole sets
-#: to the product.
+#: Joins with what may be small go through a shuffle: every broadcast passes the driver.
+_JOIN = "merge"
+#: From this size on members of a block take their whole sets to the product.
 _LONG = 64
 #: N-grams of more documents, by the sketch, are spread over so many places. The sketch
 #: counts too many rather than too few, so all other blocks are smaller.
@@ -138,8 +135,8 @@ def _summed_sketch(parts: DataFrame, bits: int) -> np.ndarray:
     summed = rows.coalesce(max(8, tasks)).mapInArrow(summing("<u2"), schema)
     summed = summed.repartition("part")
     total = np.zeros((max(1, (1 << bits) // _SKETCH_PART), _SKETCH_PART), np.int32)
-    # One job for all; what it brings is no larger than the sketch.
-    for row in summed.mapInArrow(summing("<u4"), schema).collect():
+    # A part of the sketch at a time; all are no larger than it.
+    for row in summed.coalesce(4).mapInArrow(summing("<u4"), schema).toLocalIterator():
         total[row.part] = np.frombuffer(row.counts, "<u4")
     return total.ravel()
 
@@ -318,11 +315,11 @@ def _star_pairs(blocks: DataFrame) -> DataFrame:
 
 
 def _mixed(blocks: DataFrame, group: DataFrame) -> DataFrame:
-    """Members of blocks of several groups ``g`` (of ``gs`` classes; one at first)."""
+    """Members of blocks of several groups ``g`` (a class without one is its own)."""
     rows = (
         blocks.select("h", "c", "n", "pos", "size")
-        .join(group, "c", "left")
-        .withColumns({"g": F.coalesce("g", "c"), "gs": F.coalesce("gs", F.lit(1))})
+        .join(group.hint(_JOIN), "c", "left")
+        .withColumn("g", F.coalesce("g", "c"))
     )
     several = (
         rows.groupBy("h")
@@ -330,7 +327,7 @@ def _mixed(blocks: DataFrame, group: DataFrame) -> DataFrame:
         .where("low < high")
         .select("h")
     )
-    return written(rows.join(several, "h", "left_semi"), "mixed-blocks")
+    return written(rows.join(several.hint(_JOIN), "h", "left_semi"), "mixed-blocks")
 
 
 def _shares(size: Column, members: int) -> Column:
@@ -341,41 +338,6 @@ def _dealt(name: str, shares: Column) -> Column:
     return F.pmod(F.xxhash64(name), shares).cast("int")
 
 
-def _probe_pairs(rows: DataFrame, attempt: int) -> DataFrame:
-    """Members of mixed blocks with members of a larger group, some drawn for each block.
-
-    Each class takes ``_TRIES`` of them at most: what isn't found out here, the product
-    finds.
-    """
-    slot = F.pmod(F.xxhash64("c", F.lit(attempt)), F.lit(_SLOTS))
-    draw = F.xxhash64("c", "h", F.lit(attempt))
-    drawn = rows.groupBy("h", slot.alias("slot")).agg(
-        F.min(F.struct(draw.alias("d"), "c", "n", "pos", "g", "gs")).alias("o"),
-        _shares(F.min("size"), _PROBED * _SLOTS).alias("shares"),
-    )
-    # Members of a block are dealt over as many keys as keeps them few; each gets all drawn.
-    each = F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")
-    drawn = drawn.select("h", "o", each)
-    rows = rows.withColumn("share", _dealt("c", _shares(F.col("size"), _PROBED * _SLOTS)))
-    small, large = F.least("n", F.col("o.n")), F.greatest("n", F.col("o.n"))
-    rest = F.least(F.col("n") - F.col("pos"), F.col("o.n") - F.col("o.pos"))
-    met = rows.join(drawn, ["h", "share"]).where(
-        F.expr("g <> o.g AND (gs < o.gs OR (gs = o.gs AND g > o.g))")
-        & (4 * small >= 3 * large)
-        & _linked(rest, small, large)
-    )
-    pairs = met.groupBy("c", "n", F.col("o.c").alias("o"), F.col("o.n").alias("n_o")).count()
-    order = Window.partitionBy("c").orderBy(F.xxhash64("o", F.lit(attempt)))
-    return (
-        pairs.withColumn("row", F.row_number().over(order))
-        .where(F.col("row") <= _TRIES)
-        .select(
-            F.col("c").alias("a"), F.col("n").alias("n_a"),
-            F.col("o").alias("b"), F.col("n_o").alias("n_b"),
-        )
-    )
-
-
 def _product_pairs(rows: DataFrame) -> DataFrame:
     """Pairs of the product, between groups, that sizes and places don't rule out.
 
@@ -459,8 +421,8 @@ def _verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
     right = members.select(F.col("c").alias("b"), F.col("members").alias("members_b"))
     common = F.size(F.array_intersect("members_a", "members_b"))
     links = (
-        pairs.join(left, "a")
-        .join(right, "b")
+        pairs.join(left.hint(_JOIN), "a")
+        .join(right.hint(_JOIN), "b")
         .where(_linked(common, F.col("n_a"), F.col("n_b")))
         .select("a", "b")
     )
@@ -474,7 +436,7 @@ def _both(pairs: DataFrame) -> DataFrame:
 def _linked_classes(
     rows: DataFrame, places: DataFrame, sketch: np.ndarray, bits: int
 ) -> DataFrame:
-    """(``c``, ``g``, ``gs``): each linked class, its component and its size.
+    """(``c``, ``g``): each linked class and its component.
 
     ``places`` (``c``, ``doc``, ``k``) has a document of each class. Tables are deleted
     once they have been used.
@@ -482,39 +444,23 @@ def _linked_classes(
     shared = rows.sparkSession.sparkContext.broadcast(sketch)
     local, blocks = _blocks(_prefixes(rows, shared, bits))
     shared.destroy()
-    probed = blocks.where(F.col("size") >= _PROBED)
+    is_long = F.col("size") >= _LONG
     pairs = written(_star_pairs(blocks), "pairs")
-    members = _members(rows, places.join(_both(pairs).union(probed.select("c")).distinct(), "c"))
+    wanted = _both(pairs).union(blocks.where(is_long).select("c")).distinct()
+    members = _members(rows, places.join(wanted, "c"))
     links = _verified(pairs, members)
-    discard(pairs)
-    group = joined_groups(None, links)
-    discard(links)
-
-    def joined(links: DataFrame) -> DataFrame:
-        more = joined_groups(group, links)
-        discard(links, group)
-        return more
-
-    for attempt in range(_ROUNDS):
-        mixed = _mixed(probed, group)
-        more = _verified(_probe_pairs(mixed, attempt), members)
-        discard(mixed)
-        if more.isEmpty():
-            discard(more)
-            break
-        group = joined(more)
-    mixed = _mixed(blocks, group)
+    connected = joined_groups(None, links)
+    discard(pairs, links)
+    mixed = _mixed(blocks, connected)
     discard(local)
-    is_long = F.col("size") >= _LONG
     long_links = written(_long_links(mixed.where(is_long), members), "links")
-    discard(members)
-    group = joined(long_links)
     pairs = written(_product_pairs(mixed.where(~is_long)), "pairs")
-    discard(mixed)
+    discard(members, mixed)
     rest = _members(rows, places.join(_both(pairs).distinct(), "c"))
-    more = _verified(pairs, rest)
-    discard(pairs, rest)
-    return joined(more)
+    links = _verified(pairs, rest)
+    found = joined_groups(connected, links.union(long_links))
+    discard(pairs, rest, links, long_links, connected)
+    return found
 
 
 def similar_documents(
@@ -547,7 +493,7 @@ def similar_documents(
         "class-ids",
     )
     group = _linked_classes(rows, classes.select("c", "doc", "k"), sketch, sketch_bits)
-    grouped = classes.join(group.drop("gs"), "c", "left").select(
+    grouped = classes.join(group, "c", "left").select(
         "c", "least", F.coalesce("g", "c").alias("g")
     )
     least = grouped.groupBy("g").agg(F.min("least").alias("component"))

@@ -100,8 +100,10 @@ INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 #: How digits are spelled.
 SPELLED = {
     "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4",
-    "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "oh": "0",
 }
+#: How often the digit after the word counts.
+REPEATED = {"double": 2, "triple": 3}
 
 
 def _plain_character(c: str) -> str:
@@ -123,16 +125,19 @@ _DISGUISED_CHARACTERS = re.compile(
     )
     + "]"
 )
-_DIGIT_WORD = "(?:" + "|".join(SPELLED) + ")"
+_REPEATED = "(?:(?:" + "|".join(REPEATED) + r")[\s-]{1,3})"
+_DIGIT_WORD = f"(?:{_REPEATED}?(?:" + "|".join(SPELLED) + "))"
+# What stands between the words of a number: no end of a line.
+_BETWEEN = r"[ \t\r\f\v,-]"
 _DIGIT_RUN = re.compile(
-    rf"(?<![A-Za-z])(?:plus[\s-]+)?(?:{_DIGIT_WORD}[\s,-]{{1,3}}){{2,}}{_DIGIT_WORD}(?![A-Za-z])",
+    rf"(?<![A-Za-z])(?:plus{_BETWEEN}{{1,3}})?(?:{_DIGIT_WORD}{_BETWEEN}{{1,3}}){{2,}}{_DIGIT_WORD}(?![A-Za-z])",
     re.I | re.A,
 )
 _DIGIT_WORDS = re.compile(rf"plus|{_DIGIT_WORD}", re.I | re.A)
 # Also shorter runs and those with figures among them; what adjoins them decides.
-_FIGURE = rf"(?:{_DIGIT_WORD}|[0-9]++)"
+_FIGURE = rf"(?:{_DIGIT_WORD}|{_REPEATED}[0-9](?![0-9])|[0-9]++)"
 _MIXED_RUN = re.compile(
-    rf"(?<![A-Za-z0-9])(?:plus[\s-]{{1,3}})?{_FIGURE}(?:[\s,-]{{1,3}}{_FIGURE})*(?![A-Za-z])",
+    rf"(?<![A-Za-z0-9])(?:plus{_BETWEEN}{{1,3}})?{_FIGURE}(?:{_BETWEEN}{{1,3}}{_FIGURE})*(?![A-Za-z])",
     re.I | re.A,
 )
 _FIGURES = re.compile(_FIGURE, re.I | re.A)
@@ -143,15 +148,25 @@ _AFTER_RUN = re.compile(
     r"\.[0-9A-Za-z]|[\s(\[{<]{0,8}dot(?![A-Za-z])|[\s().-]{1,3}[0-9]", re.I | re.A
 )
 # Whatever makes a word part of a longer run or adjoins one, and maybe more.
-_NEAR = "(?:[0-9]|dot|plus|" + "|".join(SPELLED) + ")"
+_NEAR = "(?:[0-9]|dot|plus|" + "|".join([*REPEATED, *SPELLED]) + ")"
 _NEAR_BEFORE = re.compile(rf"(?:[.+]|{_NEAR})[\s,()\[\]{{}}<>.+-]{{0,8}}\Z", re.A)
 _NEAR_AFTER = re.compile(rf"\.|[\s,()\[\]{{}}<>.-]{{0,8}}{_NEAR}", re.A)
-_BRACKETED = re.compile(r"\s{0,3}[(\[{<]\s{0,3}(at|dot)\s{0,3}[)\]}>]\s{0,3}", re.I | re.A)
-_SPOKEN_DOT = re.compile(r"(?<=[A-Za-z0-9])\s{1,3}dot\s{1,3}(?=[A-Za-z0-9])", re.I | re.A)
+_BRACKETED = re.compile(
+    r"\s{0,3}[(\[{<]\s{0,3}(at|dot|@|\.)\s{0,3}[)\]}>]\s{0,3}", re.I | re.A
+)
+_BRACKETS = re.compile(r"[(\[{<]\s{0,3}(?:at|dot|@|\.)\s{0,3}[)\]}>]", re.I | re.A)
+# Words between spaces, dashes or underscores.
+_SPOKEN_DOT = re.compile(
+    r"(?<=[A-Za-z0-9])(?:\s{1,3}dot\s{1,3}|\s{0,3}[_-]dot[_-]\s{0,3})(?=[A-Za-z0-9])", re.I | re.A
+)
 # "at" alone is a common word, so it counts only before a host with a rewritten dot.
 _SPOKEN_AT = re.compile(
-    r"(?<=[A-Za-z0-9])\s{1,3}at\s{1,3}(?=([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+))", re.I | re.A
+    r"(?<=[A-Za-z0-9])(?:\s{1,3}at\s{1,3}|\s{0,3}[_-]at[_-]\s{0,3})"
+    r"(?=([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+))",
+    re.I | re.A,
 )
+#: Characters that are rewritten as dots.
+_DOTS = "\uff0e" + "".join(c for c, plain in LOOKALIKES.items() if plain == ".")
 
 
 class Rewriting:
@@ -208,9 +223,15 @@ class Rewriting:
         return start, stop, changed
 
 
+def _spelled(words: str) -> str:
+    """The digits of a digit word, or figure, with what says how often it counts."""
+    *often, digit = re.split(r"[\s-]+", words.lower())
+    return SPELLED.get(digit, digit) * (REPEATED[often[0]] if often else 1)
+
+
 def _digits(match: re.Match) -> str:
     words = _DIGIT_WORDS.findall(match[0])
-    return "".join(SPELLED.get(w.lower(), "+") for w in words)
+    return "".join("+" if w.lower() == "plus" else _spelled(w) for w in words)
 
 
 def _may_have_mixed_runs(low: str) -> bool:
@@ -235,10 +256,7 @@ def _mixed_digits(text: str) -> Iterator[tuple[int, int, str]]:
     """
     for run in _MIXED_RUN.finditer(text):
         start, stop = run.span()
-        tokens = [
-            (*m.span(), SPELLED.get(m[0].lower(), m[0]))
-            for m in _FIGURES.finditer(text, start, stop)
-        ]
+        tokens = [(*m.span(), _spelled(m[0])) for m in _FIGURES.finditer(text, start, stop)]
         if all(text[a] == figure[0] for a, _, figure in tokens):
             continue  # no words
         if len(tokens) == 1 and start == tokens[0][0]:
@@ -250,8 +268,10 @@ def _mixed_digits(text: str) -> Iterator[tuple[int, int, str]]:
             yield start, tokens[0][0], "+"
         for i, (a, b, figure) in enumerate(tokens):
             if i:
-                end, last = tokens[i - 1][1:]
-                yield end, a, "" if len(last) == len(figure) == 1 else " "
+                end = tokens[i - 1][1]
+                # Numbers of several figures stay apart from what is beside them.
+                apart = any(len(f) > 1 and f == text[x:y] for x, y, f in (tokens[i - 1], tokens[i]))
+                yield end, a, " " if apart else ""
             yield a, b, figure
 
 
@@ -287,19 +307,19 @@ def rewrite(
             return None
     elif sum(map(low.count, SPELLED)) >= 3:
         out.replace(_DIGIT_RUN, _digits)
-    bracketed = any(c in low for c in "([{<") and ("dot" in low or "at" in low)
-    if bracketed or "dot" in low:
-        before_dots = len(out.steps)
-        if bracketed:
-            out.replace(_BRACKETED, lambda m: "@" if m[1].lower() == "at" else ".")
-        if "dot" in low:
-            out.replace(_SPOKEN_DOT, lambda _: ".")
-        if len(out.steps) > before_dots:
-            # Of a host, those steps can have written nothing but dots.
-            out.replace(
-                _SPOKEN_AT,
-                lambda m: "@" if out.source(*m.span(1), before_dots)[2] else m[0],
-            )
+    bracketed = any(c in low for c in "([{<") and _BRACKETS.search(low) is not None
+    if bracketed:
+        out.replace(_BRACKETED, lambda m: "@" if m[1].lower() in ("at", "@") else ".")
+    if "dot" in low:
+        out.replace(_SPOKEN_DOT, lambda _: ".")
+    if bracketed or "dot" in low or any(c in text for c in _DOTS):
+
+        def at_sign(match: re.Match) -> str:
+            host, start = match[1], match.start(1)
+            dots = (start + i for i, c in enumerate(host) if c == ".")
+            return "@" if any(out.source(d, d + 1)[2] for d in dots) else match[0]
+
+        out.replace(_SPOKEN_AT, at_sign)
     return out if out.steps else None
 
 

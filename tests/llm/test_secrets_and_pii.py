@@ -98,6 +98,123 @@ def test_spelled_digits_among_figures_and_dots(kind, found):
     assert pii.masked(text) == text.replace(found, f"<{kind.upper()}>")
 
 
+@pytest.mark.parametrize(
+    "kind, found",
+    [
+        ("ip", "192[.]168[.]1[.]1"),
+        ("ip", "10(dot)0(dot)0(dot)1"),
+        ("email", "jane@example[.]com"),
+        ("email", "jane[@]example.com"),
+        ("email", "jane (@) example (.) com"),
+        ("email", "jane -at- example -dot- com"),
+        ("email", "jane_at_example_dot_com"),
+        ("email", "bob at example．com"),
+        ("phone", "+1 two oh two five five five oh one double five"),
+        ("phone", "+44 double seven oh nine 00 triple 1"),
+    ],
+)
+def test_further_disguises(kind, found):
+    text = f"Look at this, oh, one dot or two: {found}; a[.]b"
+    spans = [(k, text[a:b]) for k, a, b, disguised in pii.find_spans(text) if disguised]
+    assert (kind, found) in spans and all(k == kind and t in found for k, t in spans)
+    assert pii.masked(text) == text.replace(found, f"<{kind.upper()}>")
+
+
+def luhn_number(rng, n=16):
+    digits = "".join(rng.choices("0123456789", k=n - 1))
+    return next(digits + c for c in "0123456789" if pii.passes_luhn(digits + c))
+
+
+def identifier(kind, rng):
+    if kind == "email":
+        host = ".".join(rng.choices(["example", "mail", "corp", "north", "files"], k=rng.randint(1, 2)))
+        return f"{rng.choice(['jane', 'bob', 'kim', 'alex'])}{rng.choice(['', '.lee', '7'])}@{host}.{rng.choice(['com', 'org', 'net'])}"
+    if kind == "ip":
+        return ".".join(str(rng.randint(0, 255)) for _ in range(4))
+    if kind == "card":
+        number = luhn_number(rng)
+        return " ".join(number[i : i + 4] for i in range(0, 16, 4))
+    return f"+{rng.randint(1, 99)} {rng.randint(100, 999)} {rng.randint(100, 999)} {rng.randint(1000, 9999)}"
+
+
+WORDS = {d: w for w, d in pii.SPELLED.items() if w != "oh"}
+ALIKE = {"a": "а", "e": "е", "o": "о", "c": "с", "p": "р", "x": "х", "i": "і"}
+
+
+def spelled(text, rng, share=1.0, zero="zero"):
+    names = WORDS | {"0": zero}
+    out = re.sub("[0-9]", lambda m: f" {names[m[0]]} " if rng.random() < share else m[0], text)
+    return re.sub(" +", " ", out).strip()
+
+
+#: By kind the ways in which an identifier is disguised.
+DISGUISES = {
+    "email": {
+        "look-alike": lambda t, rng: "".join(ALIKE.get(c, c) for c in t),
+        "full width": lambda t, rng: "".join(chr(ord(c) + 0xFEE0) for c in t),
+        "invisible": lambda t, rng: t[:2] + "\u200b" + t[2:-1] + "\u2060" + t[-1],
+        "words in brackets": lambda t, rng: t.replace("@", " (at) ").replace(".", " [dot] "),
+        "signs in brackets": lambda t, rng: t.replace("@", "[@]").replace(".", "[.]"),
+        "spaced brackets": lambda t, rng: t.replace("@", " (@) ").replace(".", " (.) "),
+        "words": lambda t, rng: t.replace("@", " at ").replace(".", " dot "),
+        "dashes": lambda t, rng: t.replace("@", " -at- ").replace(".", " -dot- "),
+        "underscores": lambda t, rng: t.replace("@", "_at_").replace(".", "_dot_"),
+        "at before full width dots": lambda t, rng: t.partition("@")[0] + " at " + t.partition("@")[2].replace(".", "．"),
+    },
+    "ip": {
+        "full width": lambda t, rng: "".join(chr(ord(c) + 0xFEE0) for c in t),
+        "signs in brackets": lambda t, rng: t.replace(".", "[.]"),
+        "words in brackets": lambda t, rng: t.replace(".", "(dot)"),
+        "words": lambda t, rng: t.replace(".", " dot "),
+        "spelled": lambda t, rng: spelled(t.replace(".", " dot "), rng),
+        "partly spelled": lambda t, rng: t.replace(t.split(".")[1], spelled(t.split(".")[1], rng), 1),
+    },
+    "card": {
+        "full width": lambda t, rng: "".join(chr(ord(c) + 0xFEE0) if c != " " else c for c in t),
+        "other digits": lambda t, rng: "".join(chr(ord(c) + 0x630) if c != " " else c for c in t),
+        "spelled": lambda t, rng: spelled(t.replace(" ", ""), rng),
+        "spelled with oh": lambda t, rng: spelled(t.replace(" ", ""), rng, zero="oh"),
+        "partly spelled": lambda t, rng: " ".join([*t.split(" ")[:3], spelled(t.split(" ")[3], rng)]),
+    },
+    "phone": {
+        "full width": lambda t, rng: "".join(chr(ord(c) + 0xFEE0) if c != " " else c for c in t),
+        "plus as a word": lambda t, rng: "plus " + spelled(t[1:].replace(" ", ""), rng),
+        "spelled": lambda t, rng: "+" + spelled(t[1:].replace(" ", ""), rng),
+        "partly spelled": lambda t, rng: t[: t.rindex(" ")] + " " + spelled(t[t.rindex(" ") + 1 :], rng),
+        "doubled": lambda t, rng: t[:-4] + "double " + WORDS[t[-1]] + " triple " + t[-2],
+    },
+}
+
+
+@pytest.mark.parametrize("kind, how", [(k, h) for k, ways in DISGUISES.items() for h in ways])
+def test_recall_by_kind_and_disguise(kind, how):
+    rng, n, caught = random.Random(f"{kind} {how}"), 200, 0
+    for _ in range(n):
+        value = DISGUISES[kind][how](identifier(kind, rng), rng)
+        before = rng.choice(["Write to ", "", "It was: ", "No one knows, ", "Look at it - "])
+        after = rng.choice(["", ".", ", please", " today", "\nOne more line"])
+        start = len(before)
+        spans = pii.find_spans(before + value + after)
+        # A full stop or word behind may be taken for a part; the value must be covered.
+        caught += any(
+            k == kind and a <= start and b >= start + len(value) and disguised
+            for k, a, b, disguised in spans
+        )
+    assert caught >= 0.9 * n
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "polka-dot-dress at example.com", "oh one two three, oh 10", "double trouble at home.com",
+        "x (.) y and a[.]b or 1[.]5", "in a_dot_b and c_at_d", "he ran at (@) noon. Oh no!",
+        "chapter one, two dot three", "items (1) (.) (2)", "double 7 or triple 8 at 9.30",
+    ],
+)
+def test_ordinary_signs_and_words_are_left_alone(text):
+    assert pii.find_spans(text) == [] and pii.masked(text) == text
+
+
 def test_shorter_runs_take_nothing_from_longer_ones():
     text = "10 dot 0 dot 0 dot 1 one two three"
     spans = [(k, text[a:b]) for k, a, b, _ in pii.find_spans(text)]

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import Window
 
-from tenuro.functions.lineage import written
+from tenuro.functions.lineage import discard, written
 from tenuro.llm.common import table
 
 #: A run of these is a word, once A-Z are lower-cased.
@@ -26,6 +26,8 @@ SHINGLE = 5
 #: Benchmarks of up to so many different shingles or windows are broadcast: 8 bytes and
 #: about 100 bytes each.
 BROADCAST_SHINGLES, BROADCAST_WINDOWS = 1_000_000, 200_000
+#: The bitmap of more shingles has 2**BITMAP_BITS bits, as 64 in a row of 16 bytes: 16 MB.
+BITMAP_BITS = 26
 
 
 def words_of(text: Column) -> Column:
@@ -76,43 +78,80 @@ def _shingles_of_windows(windows: DataFrame, sizes: list[int]) -> DataFrame:
     return rows.select("win", "len", "size", "offset", h.alias("h"))
 
 
-def _postings(documents: DataFrame, known: DataFrame, sizes: list[int], size: int, small: bool) -> DataFrame:
-    """Where a document has a shingle of the benchmark, with the words around it.
+def _bitmap(known: DataFrame) -> DataFrame:
+    """(``word``, ``held``): 64 bits at a time, set at the place of each hash.
 
-    ``around`` begins at word ``first`` of the document and reaches as far on either side
-    as a window with that shingle can.
+    2**(BITMAP_BITS - 6) rows at most, made by partial aggregates.
+    """
+    place = F.col("h").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+    one = F.expr("shiftleft(1L, cast(place % 64 as int))")
+    return (
+        known.select(place.alias("place"))
+        .select(F.shiftright("place", 6).alias("word"), one.alias("one"))
+        .groupBy("word")
+        .agg(F.bit_or("one").alias("held"))
+    )
+
+
+def _postings(
+    documents: DataFrame, known: DataFrame, sizes: list[int], size: int, small: bool
+) -> DataFrame:
+    """Each document once with ``at`` 0, and where it has a shingle of the benchmark.
+
+    ``at`` is eight times the place of the first word, and the number of words. ``around``
+    begins at word ``first`` of the document and reaches as far on either side as a window
+    with that shingle can. Texts are read and taken apart once, and no word is moved: what
+    drops the other places is broadcast, the hashes themselves if there are few, or else a
+    bitmap of them, by which a few others pass, too.
     """
     texts = documents.select("doc", "k", words_of(F.col("text")).alias("words"))
     texts = texts.withColumn("n", F.size("words"))
-    parts = []
-    for n in sizes:
-        reach = size - n
-        at = texts.where(F.col("n") >= n).withColumn(
-            "pos", F.explode(F.sequence(F.lit(0), F.col("n") - n))
+    places = [
+        F.when(
+            F.col("n") >= m, F.sequence(F.lit(m), (F.col("n") - m) * 8 + m, F.lit(8))
+        ).otherwise(F.array().cast("array<int>"))
+        for m in sizes
+    ]
+    at = texts.withColumn("at", F.explode(F.concat(F.array(F.lit(0)), *places)))
+    at = at.withColumns({"pos": F.shiftright("at", 3), "size": F.col("at") % 8})
+    h = reduce(
+        lambda other, m: F.when(
+            F.col("size") == m, _shingle_hash(F.col("words"), F.col("pos"), m)
+        ).otherwise(other),
+        sizes,
+        F.lit(None).cast("long"),
+    )
+    hashed = at.withColumn("h", h)
+    if small:
+        found = hashed.join(F.broadcast(known.withColumn("hit", F.lit(True))), "h", "left")
+    else:
+        place = F.col("h").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+        held = F.getbit("held", (place % 64).cast("int")) == 1
+        found = (
+            hashed.withColumn("word", F.shiftright(place, 6))
+            .join(F.broadcast(_bitmap(known)), "word", "left")
+            .withColumn("hit", F.when(held, True))
         )
-        hashed = at.withColumn("h", _shingle_hash(F.col("words"), F.col("pos"), n))
-        first = F.greatest(F.col("pos") - reach, F.lit(0))
-        around = F.slice("words", first + 1, F.col("pos") - first + size)
-        columns = ["doc", "k", "n", "pos", "h"]
-        shown = [first.alias("first"), around.alias("around")]
-        if small:
-            parts.append(hashed.join(F.broadcast(known), "h", "left_semi").select(*columns, *shown))
-        else:  # the words of a whole document must not travel with each of its shingles
-            parts.append(hashed.select(*columns, *shown).join(known, "h", "left_semi"))
-    return reduce(DataFrame.union, parts)
+    first = F.greatest(F.col("pos") - (size - F.col("size")), F.lit(0))
+    around = F.slice("words", first + 1, F.col("pos") - first + size)
+    shown = F.when(F.col("at") > 0, around)
+    return found.where("at = 0 OR hit").select(
+        "doc", "k", "n", "at", "pos", "h", first.alias("first"), shown.alias("around")
+    )
 
 
 def occurrences(
     documents: DataFrame, windows: DataFrame, size: int, sizes: list[int]
-) -> DataFrame:
-    """(``doc``, ``k``, ``start``, ``stop``, ``win``) of every window in a document."""
+) -> tuple[DataFrame, DataFrame]:
+    """(``doc``, ``k``, ``start``, ``stop``, ``win``) of every window in a document, and
+    (``doc``, ``k``, ``n``) of every row of ``documents``; both written.
+    """
     shingles = written(_shingles_of_windows(windows, sizes), "window-shingles")
-    known = shingles.select("h").distinct()
-    n_known = known.count()
-    postings = written(
-        _postings(documents, known, sizes, size, n_known <= BROADCAST_SHINGLES), "postings"
-    )
-    rarity = postings.groupBy("h").agg(F.count("*").alias("df"))
+    known = written(shingles.select("h").distinct(), "shingles")
+    small = known.count() <= BROADCAST_SHINGLES
+    postings = written(_postings(documents, known, sizes, size, small), "postings")
+    places = postings.where("at > 0")
+    rarity = places.groupBy("h").agg(F.count("*").alias("df"))
     prefix = (
         shingles.join(rarity, "h", "left")
         .groupBy("win", "len")
@@ -124,18 +163,21 @@ def occurrences(
         .select("win", "len", "rarest.h", "rarest.offset")
     )
     prefix = written(prefix, "prefixes")
-    if prefix.count() <= BROADCAST_WINDOWS:
-        prefix = F.broadcast(prefix)
+    few = prefix.count() <= BROADCAST_WINDOWS
     start = F.col("pos") - F.col("offset")
     inside = (start >= 0) & (start + F.col("len") <= F.col("n"))
     same = _joined(F.slice("around", start - F.col("first") + 1, F.col("len"))) == F.col("win")
     # The bounds come first: a slice can't begin before its array.
-    return (
-        postings.join(prefix, "h")
+    found = written(
+        places.join(F.broadcast(prefix) if few else prefix, "h")
         .where(F.when(inside, same).otherwise(False))
         .select("doc", "k", start.alias("start"), (start + F.col("len")).alias("stop"), "win")
-        .distinct()
+        .distinct(),
+        "occurrences",
     )
+    rows = written(postings.where("at = 0").select("doc", "k", "n"), "rows")
+    discard(shingles, known, postings, prefix)
+    return found, rows
 
 
 def find_benchmark_passages(
@@ -157,7 +199,8 @@ def find_benchmark_passages(
     rows give repeated rows: rows are told apart by key and text. Columns other than those
     named are left aside.
 
-    No word of a document is moved unless it stands by a shingle of the benchmark. The
+    Texts are read once. No word of a document is moved unless it stands by a shingle of
+    the benchmark, or, with over a million of those, by one that a bitmap takes for one. The
     hits of one document meet in one task, and there are no more of them than words.
     """
     rows = documents.select(
@@ -166,15 +209,14 @@ def find_benchmark_passages(
     windows = written(windows_of(benchmark, item, item_text, size), "windows")
     short = F.least(F.lit(SHINGLE), F.col("len")).alias("size")
     sizes = sorted(r["size"] for r in windows.select(short).distinct().collect())
-    counted = rows.select("doc", "k", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     none = F.sha2(F.lit(""), 256)
     if not sizes:
-        zero = F.lit(0).cast("long")
-        return counted.select(
-            F.col("doc").alias(key), "n_words", zero.alias("n_hit"), zero.alias("n_items"),
+        zero, n_words = F.lit(0).cast("long"), F.size(words_of(F.col("text"))).cast("long")
+        return rows.select(
+            F.col("doc").alias(key), n_words.alias("n_words"), zero.alias("n_hit"), zero.alias("n_items"),
             none.alias("items_sha256"), F.lit(False).alias("contaminated"),
         )
-    found = written(occurrences(rows, windows, size, sizes), "occurrences")
+    found, counted = occurrences(rows, windows, size, sizes)
     before = (
         Window.partitionBy("doc", "k")
         .orderBy("start", "stop")
@@ -202,12 +244,13 @@ def find_benchmark_passages(
         .select("a.doc", "a.k", "n_hit", "items"),
         "hits",
     )
+    discard(found, windows)
     return (
         counted.alias("d")
         .join(result.alias("r"), F.expr("d.doc <=> r.doc AND d.k = r.k"), "left")
         .select(
             F.col("d.doc").alias(key),
-            "n_words",
+            F.col("n").cast("long").alias("n_words"),
             F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
             F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
             F.coalesce(F.sha2(F.array_join("items", ","), 256), none).alias("items_sha256"),
@@ -237,8 +280,9 @@ def without_benchmark_passages(
     sizes = sorted(r["size"] for r in windows.select(short).distinct().collect())
     if not sizes:
         return documents
-    found = occurrences(rows, windows, size, sizes).select("doc", "k").distinct()
-    hit = written(found, "contaminated")
+    found, counted = occurrences(rows, windows, size, sizes)
+    hit = written(found.select("doc", "k").distinct(), "contaminated")
+    discard(found, counted, windows)
     columns = documents.columns
     named = {c: f"c{i}" for i, c in enumerate(columns)}  # names of the caller may clash
     return (

@@ -4,7 +4,7 @@ import pytest
 
 from tenuro.llm import decontamination as dc
 from tests.llm import plain
-from tests.llm.conftest import ODD
+from tests.llm.conftest import ODD, SF
 
 
 def expected(rows, items, size=10):
@@ -42,8 +42,10 @@ def test_dense_matches_against_plain_search(spark, seed):
     check(spark, *made_up(seed))
 
 
-def test_without_a_broadcast(spark, monkeypatch):
+@pytest.mark.parametrize("bits", [6, 12, 26])
+def test_without_a_broadcast(spark, monkeypatch, bits):
     monkeypatch.setattr(dc, "BROADCAST_SHINGLES", 0)
+    monkeypatch.setattr(dc, "BITMAP_BITS", bits)
     monkeypatch.setattr(dc, "BROADCAST_WINDOWS", 0)
     check(spark, *made_up(5))
 
@@ -67,3 +69,38 @@ def test_plan_has_no_python(spark, documents, capsys):
     dc.find_benchmark_passages(documents, benchmark).explain()
     plan = capsys.readouterr().out
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_words_are_moved_by_no_exchange(spark, conf, capsys, small):
+    conf("spark.sql.adaptive.enabled", "false")
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = documents.selectExpr("doc_id AS doc", "text", "xxhash64(text) AS k")
+    known = spark.createDataFrame([(1,), (2,)], "h long")
+    dc._postings(rows, known, [2, 5], 10, small).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("FileScan parquet") == 1 and "Python" not in plan
+    # Documents come straight from their scan to what drops their places.
+    stream = plan[: plan.index("BroadcastExchange")]
+    assert "FileScan parquet" in stream and "Exchange" not in stream
+    assert "SortMergeJoin" not in plan
+    assert plan.count("regexp_extract_all") <= 2  # on ASCII and on other texts
+
+
+def test_tables_are_deleted_once_used(spark, documents):
+    import os
+
+    from tenuro.functions.lineage import _session_folder
+
+    benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
+    folder = _session_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    for find, left in (
+        (dc.find_benchmark_passages, ["hits", "rows"]),
+        (dc.without_benchmark_passages, ["contaminated"]),
+    ):
+        result = find(documents, benchmark)
+        new = set(os.listdir(folder)) - before
+        assert sorted(name.rpartition("-")[0] for name in new) == left
+        assert result.count() > 0
+        before |= new

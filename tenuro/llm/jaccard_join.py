@@ -9,7 +9,8 @@ verified on whole sets.
 Documents with equal sets are one class, and only classes are paired. Large groups of
 near copies would still give a product that is quadratic in them. So members of a block
 are first compared with one of them, and members that this connects needn't be paired with
-each other: the product covers only pairs that aren't connected yet. No link between
+each other: the product covers only pairs that aren't connected yet. In long blocks members
+are then compared with some drawn from larger groups, for the same reason. No link between
 components is lost.
 """
 
@@ -30,9 +31,13 @@ from tenuro.llm.shingles import set_id, shingle_sets
 #: Two sets link if ``100 * common >= 75 * together``, so ``7 * common >= 3 * (m + n)``.
 #: The numbers below follow from that.
 _SKETCH_PART = 4096
+#: Blocks from this size on are probed before the product, for so many rounds.
+_PROBED, _ROUNDS = 8, 1
+#: Members drawn for each block and round, and those that a class is compared with.
+_SLOTS, _TRIES = 16, 32
 #: Joins with what may be small go through a shuffle: every broadcast passes the driver.
 _JOIN = "merge"
-#: From this size on members of a block take their whole sets to the product.
+#: From this size on, not less than ``_PROBED``, members of a block take their whole sets to the product.
 _LONG = 64
 #: N-grams of more documents, by the sketch, are spread over so many places. The sketch
 #: counts too many rather than too few, so all other blocks are smaller.
@@ -338,6 +343,43 @@ def _dealt(name: str, shares: Column) -> Column:
     return F.pmod(F.xxhash64(name), shares).cast("int")
 
 
+def _probe_pairs(rows: DataFrame, group: DataFrame, attempt: int) -> DataFrame:
+    """Members of mixed blocks with members of a larger group, some drawn for each block.
+
+    Each class takes ``_TRIES`` of them at most: what isn't found out here, the product
+    finds.
+    """
+    sizes = group.groupBy("g").agg(F.count("*").alias("gs"))
+    rows = rows.join(sizes.hint(_JOIN), "g", "left").withColumn("gs", F.coalesce("gs", F.lit(1)))
+    slot = F.pmod(F.xxhash64("c", F.lit(attempt)), F.lit(_SLOTS))
+    draw = F.xxhash64("c", "h", F.lit(attempt))
+    drawn = rows.groupBy("h", slot.alias("slot")).agg(
+        F.min(F.struct(draw.alias("d"), "c", "n", "pos", "g", "gs")).alias("o"),
+        _shares(F.min("size"), _PROBED * _SLOTS).alias("shares"),
+    )
+    # Members of a block are dealt over as many keys as keeps them few; each gets all drawn.
+    each = F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")
+    drawn = drawn.select("h", "o", each)
+    rows = rows.withColumn("share", _dealt("c", _shares(F.col("size"), _PROBED * _SLOTS)))
+    small, large = F.least("n", F.col("o.n")), F.greatest("n", F.col("o.n"))
+    rest = F.least(F.col("n") - F.col("pos"), F.col("o.n") - F.col("o.pos"))
+    met = rows.join(drawn.hint(_JOIN), ["h", "share"]).where(
+        F.expr("g <> o.g AND (gs < o.gs OR (gs = o.gs AND g > o.g))")
+        & (4 * small >= 3 * large)
+        & _linked(rest, small, large)
+    )
+    pairs = met.groupBy("c", "n", F.col("o.c").alias("o"), F.col("o.n").alias("n_o")).count()
+    order = Window.partitionBy("c").orderBy(F.xxhash64("o", F.lit(attempt)))
+    return (
+        pairs.withColumn("row", F.row_number().over(order))
+        .where(F.col("row") <= _TRIES)
+        .select(
+            F.col("c").alias("a"), F.col("n").alias("n_a"),
+            F.col("o").alias("b"), F.col("n_o").alias("n_b"),
+        )
+    )
+
+
 def _product_pairs(rows: DataFrame) -> DataFrame:
     """Pairs of the product, between groups, that sizes and places don't rule out.
 
@@ -446,11 +488,18 @@ def _linked_classes(
     shared.destroy()
     is_long = F.col("size") >= _LONG
     pairs = written(_star_pairs(blocks), "pairs")
-    wanted = _both(pairs).union(blocks.where(is_long).select("c")).distinct()
+    probed = blocks.where(F.col("size") >= _PROBED)
+    wanted = _both(pairs).union(probed.select("c")).distinct()
     members = _members(rows, places.join(wanted, "c"))
     links = _verified(pairs, members)
     connected = joined_groups(None, links)
     discard(pairs, links)
+    for attempt in range(_ROUNDS):
+        mixed = _mixed(probed, connected)
+        links = _verified(_probe_pairs(mixed, connected, attempt), members)
+        more = joined_groups(connected, links)
+        discard(mixed, links, connected)
+        connected = more
     mixed = _mixed(blocks, connected)
     discard(local)
     long_links = written(_long_links(mixed.where(is_long), members), "links")

@@ -5,11 +5,12 @@ import zlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 import __spark_entry__ as entry
 from tests.llm import plain
-from tests.llm.conftest import SF
+from tests.llm.conftest import ODD, SF
 
 QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 OWN = [n for n in QUERIES if n.startswith("op") and n[2].isdigit()] + ["pipeline"]
@@ -129,3 +130,35 @@ def test_stages_keep_the_columns(spark, odd):
     folder = os.path.dirname(f"{SF}/x")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, odd, folder).columns == odd.columns
+
+
+def test_pipeline_of_odd_rows(spark, odd, nothing, tmp_path):
+    benchmark = spark.createDataFrame([(1, "one"), (2, None)], "item_id long, text string")
+    for name, rows in (("odd", odd), ("nothing", nothing)):
+        rows.withColumn("n_chars", F.length("text").cast("int")).write.parquet(
+            f"{tmp_path}/{name}/documents.parquet"
+        )
+        benchmark.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    # Without a language: null, empty, white space, figures, words too rare to tell. Of 5 and
+    # 6, and of the null id and one text of 7, which are the same, the first stays.
+    texts = {None: ODD[0][1], 5: ODD[5][1], 7: ODD[9][1], 9: ODD[11][1]}
+    assert len(got) == len(texts) and {r.doc_id for r in got} == texts.keys()
+    for r in got:
+        ids = plain.token_ids(plain.mask(texts[r.doc_id]))
+        assert r.n_tokens == len(ids)
+        assert r.ids_sha256 == plain.hashlib.sha256(plain.as_bytes(ids)).hexdigest()
+    assert corpus_pipeline.run(spark, f"{tmp_path}/nothing").count() == 0
+
+
+def test_pipeline_of_very_long_white_space(spark, tmp_path):
+    space = "the quick brown fox " * 20 + " " * 5_000_000 + "jumps\n" + "\n" * 2_000_000
+    docs = [(1, space, "en"), (2, "the quick brown dog jumps over it " * 30, "en")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(
+        f"{tmp_path}/documents.parquet"
+    )
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    for key, text, _ in docs:
+        ids = plain.token_ids(text)
+        assert got[key].ids_sha256 == plain.hashlib.sha256(plain.as_bytes(ids)).hexdigest()

@@ -20,6 +20,7 @@ from tenuro.functions.lineage import (
     discard,
     kept,
     materialise,
+    release,
     scratch_path,
     shared_folder,
     written,
@@ -43,6 +44,7 @@ __all__ = [
     "one_hot",
     "plan_family",
     "recency_days",
+    "release",
     "scratch_path",
     "shared_folder",
     "watch_dates",

@@ -43,6 +43,15 @@ def remove(spark: SparkSession, path: str) -> None:
     )
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files and broadcasts that nothing refers to any more.
+
+    It does so whenever the driver collects its garbage, which may be long after a step has
+    ended. Worth a call between the steps of a job that takes many.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete all that this session wrote to the shared folder.
 

@@ -10,7 +10,7 @@ Documents with equal sets are one class, and only classes are paired. Large grou
 near copies would still give a product that is quadratic in them. So members of a block
 are first compared with one of them, and members that this connects needn't be paired with
 each other: the product covers only pairs that aren't connected yet. In long blocks members
-are then compared with some drawn from larger groups, for the same reason. No link between
+are then compared with some drawn from other groups, for the same reason. No link between
 components is lost.
 """
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tenuro.functions.lineage import discard, written
+from tenuro.functions.lineage import discard, release, written
 from tenuro.llm.common import slices, table
 from tenuro.llm.components import joined_groups
 from tenuro.llm.shingles import set_id, shingle_sets
@@ -343,18 +343,16 @@ def _dealt(name: str, shares: Column) -> Column:
     return F.pmod(F.xxhash64(name), shares).cast("int")
 
 
-def _probe_pairs(rows: DataFrame, group: DataFrame, attempt: int) -> DataFrame:
-    """Members of mixed blocks with members of a larger group, some drawn for each block.
+def _probe_pairs(rows: DataFrame, attempt: int) -> DataFrame:
+    """Members of mixed blocks with members of other groups, some drawn for each block.
 
     Each class takes ``_TRIES`` of them at most: what isn't found out here, the product
     finds.
     """
-    sizes = group.groupBy("g").agg(F.count("*").alias("gs"))
-    rows = rows.join(sizes.hint(_JOIN), "g", "left").withColumn("gs", F.coalesce("gs", F.lit(1)))
     slot = F.pmod(F.xxhash64("c", F.lit(attempt)), F.lit(_SLOTS))
     draw = F.xxhash64("c", "h", F.lit(attempt))
     drawn = rows.groupBy("h", slot.alias("slot")).agg(
-        F.min(F.struct(draw.alias("d"), "c", "n", "pos", "g", "gs")).alias("o"),
+        F.min(F.struct(draw.alias("d"), "c", "n", "pos", "g")).alias("o"),
         _shares(F.min("size"), _PROBED * _SLOTS).alias("shares"),
     )
     # Members of a block are dealt over as many keys as keeps them few; each gets all drawn.
@@ -364,11 +362,9 @@ def _probe_pairs(rows: DataFrame, group: DataFrame, attempt: int) -> DataFrame:
     small, large = F.least("n", F.col("o.n")), F.greatest("n", F.col("o.n"))
     rest = F.least(F.col("n") - F.col("pos"), F.col("o.n") - F.col("o.pos"))
     met = rows.join(drawn.hint(_JOIN), ["h", "share"]).where(
-        F.expr("g <> o.g AND (gs < o.gs OR (gs = o.gs AND g > o.g))")
-        & (4 * small >= 3 * large)
-        & _linked(rest, small, large)
+        F.expr("g <> o.g") & (4 * small >= 3 * large) & _linked(rest, small, large)
     )
-    pairs = met.groupBy("c", "n", F.col("o.c").alias("o"), F.col("o.n").alias("n_o")).count()
+    pairs = met.select("c", "n", F.col("o.c").alias("o"), F.col("o.n").alias("n_o")).distinct()
     order = Window.partitionBy("c").orderBy(F.xxhash64("o", F.lit(attempt)))
     return (
         pairs.withColumn("row", F.row_number().over(order))
@@ -483,9 +479,11 @@ def _linked_classes(
     ``places`` (``c``, ``doc``, ``k``) has a document of each class. Tables are deleted
     once they have been used.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(sketch)
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(sketch)
     local, blocks = _blocks(_prefixes(rows, shared, bits))
     shared.destroy()
+    release(spark)
     is_long = F.col("size") >= _LONG
     pairs = written(_star_pairs(blocks), "pairs")
     probed = blocks.where(F.col("size") >= _PROBED)
@@ -494,17 +492,20 @@ def _linked_classes(
     links = _verified(pairs, members)
     connected = joined_groups(None, links)
     discard(pairs, links)
+    release(spark)
     for attempt in range(_ROUNDS):
         mixed = _mixed(probed, connected)
-        links = _verified(_probe_pairs(mixed, connected, attempt), members)
+        links = _verified(_probe_pairs(mixed, attempt), members)
         more = joined_groups(connected, links)
         discard(mixed, links, connected)
         connected = more
+    release(spark)
     mixed = _mixed(blocks, connected)
     discard(local)
     long_links = written(_long_links(mixed.where(is_long), members), "links")
     pairs = written(_product_pairs(mixed.where(~is_long)), "pairs")
     discard(members, mixed)
+    release(spark)
     rest = _members(rows, places.join(_both(pairs).distinct(), "c"))
     links = _verified(pairs, rest)
     found = joined_groups(connected, links.union(long_links))

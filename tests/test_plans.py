@@ -20,7 +20,10 @@ MODELS = {
     "grid_search_boosted", "feature_importance_ranked", "feature_importance_top8",
     "test_predictions", "test_report", "churn_probability", "stump_scores",
     "stump_scores_target2", "stump_importance", "stump_report", "stump_search",
-    "stump_search_target2", "boosted_stump", "logistic_share",
+    "stump_search_target2", "boosted_stump", "logistic_share", "tree_search",
+    "tree_search_target2", "tree_scores_in_batches", "tree_node_importance",
+    "exact_stump_scores", "boosted_rounds", "forest_node_importance",
+    "churn_probability_in_batches",
 }
 
 

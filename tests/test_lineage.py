@@ -2,11 +2,14 @@
 
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from tenuro.functions.lineage import (
     clear_scratch,
+    discard,
     materialise,
+    release,
     scratch_path,
     shared_folder,
     written,
@@ -60,6 +63,19 @@ def test_written_rows_are_pruned_and_can_be_cleared(spark, capsys):
     assert not folder.exists()
 
 
+def test_tables_are_discarded_one_by_one(spark):
+    first, second = written(spark.range(5), "first"), written(spark.range(6), "second")
+    folder = Path(first.inputFiles()[0].removeprefix("file:")).parent
+    discard(first)
+    release(spark)
+    assert not folder.exists() and second.count() == 6
+    with pytest.raises(KeyError):
+        discard(first)  # is no table any more
+    with pytest.raises(KeyError):
+        discard(second.select("id"))  # was never one
+    discard(second, written(spark.range(0)))
+
+
 def test_an_empty_table_can_be_written(spark):
     kept = written(spark.createDataFrame([], "a int"))
     assert kept.count() == 0 and kept.columns == ["a"]

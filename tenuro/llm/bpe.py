@@ -27,7 +27,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tenuro.functions.lineage import scratch_path, written
-from tenuro.llm.common import map_texts, table
+from tenuro.llm.common import map_texts, releasing, table
 from tenuro.llm.pieces import LONG, PATTERN, SETTLED, Cache, cuttable, newer_letters, splitter
 
 
@@ -276,8 +276,8 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon, newer: str = ""):
         self.vocabulary, self.lexicon = vocabulary, lexicon
         self.split = splitter(newer)
-        self.words = Cache(self._words, 100_000)
-        self.pieces = Cache(self._pieces, 200_000)
+        self.words = Cache(self._words, 60_000)
+        self.pieces = Cache(self._pieces, 150_000)
 
     def _words(self, words: list[str]) -> Iterator[bytes]:
         for word in words:
@@ -359,7 +359,7 @@ def frequent_words(
 
     counted = written(
         df.select(text)
-        .mapInArrow(run, "word binary, n long")
+        .mapInArrow(releasing(run), "word binary, n long")
         .groupBy("word")
         .agg(F.sum("n").alias("n")),
         "word-counts",

@@ -24,6 +24,20 @@ def crc32_of(column: str) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")))
 
 
+def releasing(
+    run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which Arrow gives back what it holds; workers outlive their tasks."""
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return released
+
+
 def map_texts(
     df: DataFrame,
     text: str,
@@ -58,7 +72,7 @@ def map_texts(
                     names=arrow.names,
                 )
 
-    return df.select(*dict.fromkeys([*kept, text, *further])).mapInArrow(run, schema)
+    return df.select(*dict.fromkeys([*kept, text, *further])).mapInArrow(releasing(run), schema)
 
 
 def slices(

@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tenuro.functions.lineage import discard, release, written
-from tenuro.llm.common import slices, table
+from tenuro.llm.common import releasing, slices, table
 from tenuro.llm.components import joined_groups
 from tenuro.llm.shingles import set_id, shingle_sets
 
@@ -110,7 +110,7 @@ def _with_sketch(documents: DataFrame, bits: int) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     doc_type = to_arrow_type(schema["doc"].dataType)
-    return documents.select("doc", "k", "text").mapInArrow(run, schema)
+    return documents.select("doc", "k", "text").mapInArrow(releasing(run), schema)
 
 
 def _summed_sketch(parts: DataFrame, bits: int) -> np.ndarray:
@@ -188,7 +188,7 @@ def _prefixes(documents: DataFrame, shared: Broadcast[np.ndarray], bits: int) ->
                     )
 
     return documents.select("text").mapInArrow(
-        run, "h long, c long, n int, pos int, place int"
+        releasing(run), "h long, c long, n int, pos int, place int"
     )
 
 
@@ -241,7 +241,7 @@ def _members(documents: DataFrame, wanted: DataFrame) -> DataFrame:
                     )
 
     found = documents.select(place.alias("place"), "text").mapInArrow(
-        run, "c long, members array<long>"
+        releasing(run), "c long, members array<long>"
     )
     members = written(
         found.join(wanted.select("c").distinct(), "c", "left_semi")
@@ -542,6 +542,7 @@ def similar_documents(
         .select("c", "least", "place.doc", "place.k"),
         "class-ids",
     )
+    release(documents.sparkSession)
     group = _linked_classes(rows, classes.select("c", "doc", "k"), sketch, sketch_bits)
     grouped = classes.join(group, "c", "left").select(
         "c", "least", F.coalesce("g", "c").alias("g")

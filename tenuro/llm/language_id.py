@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tenuro.functions.lineage import written
-from tenuro.llm.common import crc32_of, map_texts, table
+from tenuro.llm.common import crc32_of, map_texts, releasing, table
 
 UNKNOWN = "und"
 #: Letters, the ends of words included: " th", "the", "he " are those of "the".
@@ -148,7 +148,7 @@ def gram_counts(
     labelled = df.select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     return (
         labelled.where("text IS NOT NULL AND lang IS NOT NULL")
-        .mapInArrow(run, "lang string, gram long, n long")
+        .mapInArrow(releasing(run), "lang string, gram long, n long")
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
     )

@@ -34,3 +34,15 @@ def test_the_dataset_has_the_figures_of_each_step(conf, stored, keep, threshold)
     assert rows_of(with_usage.select(*apart.columns)) == rows_of(apart)
     teams = apart if keep == "activity" else t.license_teams(bought)
     assert dataset.count() == teams.count()
+
+
+SMALL_MODELS = (
+    "stump_scores", "stump_scores_target2", "stump_report", "exact_stump_scores",
+    "tree_scores_in_batches", "boosted_stump", "boosted_rounds", "logistic_share",
+)
+
+
+@pytest.mark.parametrize("name", SMALL_MODELS)
+def test_models_score_a_dataset_computed_once(spark, name):
+    files = entry.core_queries()[name](spark, SF).inputFiles()
+    assert files and not [f for f in files if "lineitem" in f or "orders" in f]

@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tenuro.functions.lineage import written
 from tenuro.llm.common import crc32_of, table
 
+#: Partitions of the rows that are fitted on, whose number is bounded.
+PARTITIONS = 8
 #: Statistics of a text; ``text``, ``words`` and ``lines`` are at hand, never null.
 _COUNTS = {
     "n_chars": "char_length(text)",
@@ -177,7 +179,7 @@ def fit_rule_ensemble(
         place = F.pmod(F.xxhash64("stats", "label"), F.lit(1 << 30))
         rows = rows.where(place < int((1 << 30) * max_training_rows / counts.n))
     # Samples of trees are drawn by position, so rows have a fixed one.
-    rows = rows.repartition(8, "stats", "label").sortWithinPartitions("stats", "label")
+    rows = rows.repartition(PARTITIONS, "stats", "label").sortWithinPartitions("stats", "label")
     flat = rows.select("label", "weight", *(F.col(f"stats.{n}").alias(n) for n in names))
     assembler = VectorAssembler(inputCols=names, outputCol="features")
     forest = RandomForestRegressor(
@@ -192,9 +194,11 @@ def fit_rule_ensemble(
         "weight",
         array_to_vector(F.array(*(r.column().cast("double") for r in rules))).alias("features"),
     )
+    # Every step of the descent is a job over all partitions, and rows are bounded: where a
+    # session deals them out to more, a task takes several.
     lasso = LogisticRegression(
         elasticNetParam=1.0, regParam=penalty, maxIter=100, weightCol="weight"
-    ).fit(matrix)
+    ).fit(matrix.coalesce(PARTITIONS))
     weights = {r: float(w) for r, w in zip(rules, lasso.coefficients) if w}
     return RuleEnsemble(float(lasso.intercept), weights)
 

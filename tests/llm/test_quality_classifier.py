@@ -127,3 +127,28 @@ def test_the_sample_is_bounded(spark):
     measured = qc.statistics(spark.read.parquet(f"{SF}/documents.parquet"))
     rows = measured.withColumn("label", (F.col("stats.symbol_share") > 0.02).cast("int"))
     assert qc.fit_rule_ensemble(rows, max_training_rows=100).weights is not None
+
+
+def test_descent_runs_over_few_partitions_however_rows_are_dealt(spark, monkeypatch):
+    """Each of its steps is a job, so a session with many partitions would pay for all of them."""
+    frame, estimator = type(spark.range(0)), qc.LogisticRegression
+    dealt, fitted, seen = frame.repartition, estimator.fit, []
+
+    def into_many(self, n, *columns):
+        return dealt(self, max(n, 50) if columns else n, *columns)
+
+    def fit(self, rows):
+        seen.append(rows.rdd.getNumPartitions())
+        return fitted(self, rows)
+
+    rows = spark.range(400).select(
+        F.struct(
+            *(F.pmod(F.xxhash64("id", F.lit(n)), F.lit(97)).cast("double").alias(n) for n in qc.STATISTICS)
+        ).alias("stats"),
+        F.when(F.pmod(F.xxhash64("id", F.lit("log_words")), F.lit(97)) < 40, 1).otherwise(0).alias("label"),
+    )
+    monkeypatch.setattr(estimator, "fit", fit)
+    monkeypatch.setattr(frame, "repartition", into_many)
+    model = qc.fit_rule_ensemble(rows, trees=3)
+    assert seen == [qc.PARTITIONS]
+    assert model.weights

@@ -14,7 +14,8 @@ they go on further than the longest of them on both sides. And merges stay withi
 
 Where a file drops white space, a space is a border of that kind wherever it stands, so
 shorter texts need no chunks: what stands between their spaces is counted once and
-remembered.
+remembered. Chunks of longer texts are counted in the same way, and spliced after a space,
+unless a text has a stretch without spaces that an overlap may not reach across.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import json
 import unicodedata
 from collections.abc import Sequence
 from functools import lru_cache
+from itertools import accumulate
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,8 +42,9 @@ _PATTERNS = {
     r"\s+",
 }
 
-#: Longer pieces aren't remembered.
+#: Longer pieces aren't remembered, and others from the second time on, as many come up once.
 _KEPT = 64
+_MARKS = 1 << 22
 
 
 class Count(NamedTuple):
@@ -123,6 +126,8 @@ class ChunkedCounter:
         self.splices = _splices(file)
         self.remembers = self.splices and _drops_spaces(file)
         self.known: dict[str, int] = {}
+        #: Marks at hashes of the pieces that have come up.
+        self.met = bytearray(_MARKS)
         self.held = held
         longest = max((len(t["content"]) for t in file["added_tokens"]), default=0)
         #: Characters that a place keeps from the ends of chunks.
@@ -143,29 +148,57 @@ class ChunkedCounter:
         return list(map(len, found))
 
     def _remembered(self, texts: list[str]) -> list[int]:
-        """The same, from the counts of what stands between spaces."""
-        if len(self.known) > self.held:
-            self.known.clear()
+        """The same, from the counts of what stands between spaces.
+
+        Pieces that come up for the first time are counted together, text by text.
+        """
         split = [t.split(" ") for t in texts]
-        counts = [list(map(self.known.get, pieces)) for pieces in split]
-        missing = {
-            piece
-            for pieces, found in zip(split, counts)
-            if None in found
-            for piece, n in zip(pieces, found)
-            if n is None
-        }
-        new = list(missing)
-        self.known.update(zip(new, self._whole(new)))
-        known = self.known.__getitem__
-        sums = [
-            sum(map(known, pieces) if None in found else found)
-            for pieces, found in zip(split, counts)
+        counts = self._look_up(split)
+        first: list[list[str]] = []
+        left: list[list[str]] = []
+        for pieces, found in zip(split, counts):
+            first.append([])
+            left.append([])
+            if None in found:
+                for piece, n in zip(pieces, found):
+                    if n is None:
+                        (first if self._is_first(piece) else left)[-1].append(piece)
+        together = iter(self._whole([" ".join(pieces) for pieces in first if pieces]))
+        sums = [next(together) if pieces else 0 for pieces in first]
+        again = self._count_each({p for pieces in left for p in pieces})
+        return [
+            n + sum(filter(None, found)) + sum(map(again.__getitem__, pieces))
+            for n, found, pieces in zip(sums, counts, left)
         ]
-        for piece in new:
-            if len(piece) > _KEPT:
-                del self.known[piece]
-        return sums
+
+    def _of_pieces(self, pieces: list[str]) -> list[int]:
+        """The tokens of each piece."""
+        (found,) = self._look_up([pieces])
+        missing = {p for p, n in zip(pieces, found) if n is None}
+        new = self._count_each(missing, {p for p in missing if not self._is_first(p)})
+        return [new[p] if n is None else n for p, n in zip(pieces, found)]
+
+    def _look_up(self, split: list[list[str]]) -> list[list[int | None]]:
+        if len(self.known) > self.held:
+            self.known.clear()
+            self.met = bytearray(_MARKS)
+        return [list(map(self.known.get, pieces)) for pieces in split]
+
+    def _is_first(self, piece: str) -> bool:
+        """Whether a piece has not come up before, as far as marks can tell them apart."""
+        mark = hash(piece) % _MARKS
+        if self.met[mark]:
+            return False
+        self.met[mark] = 1
+        return True
+
+    def _count_each(self, pieces: set[str], kept: set[str] | None = None) -> dict[str, int]:
+        """The tokens of each piece; those ``kept`` (all by default) are remembered."""
+        each = list(pieces)
+        new = dict(zip(each, self._whole(each)))
+        kept = pieces if kept is None else kept
+        self.known.update((p, n) for p, n in new.items() if p in kept and len(p) <= _KEPT)
+        return new
 
     def _is_long(self, text: str) -> bool:
         return self.splices and len(text) > self.chunk
@@ -185,6 +218,25 @@ class ChunkedCounter:
         begins[stop] = len(found)
         return begins
 
+    def _after_spaces(self, text: str, start: int, stop: int) -> dict[int, int]:
+        """The same for the places after spaces, and the begin of the part."""
+        pieces = text[start:stop].split(" ")
+        counts = self._of_pieces(pieces)
+        begins = dict(
+            zip(
+                accumulate((len(p) + 1 for p in pieces), initial=start),
+                accumulate(counts, initial=0),
+            )
+        )
+        del begins[stop + 1]
+        begins[stop] = sum(counts)
+        return begins
+
+    def _spaced(self, text: str) -> bool:
+        """Whether spaces are borders and every overlap has one, away from its ends."""
+        reach = self.overlap - 2 * self.margin
+        return self.remembers and max(map(len, text.split(" "))) < reach
+
     def _stable(self, text: str, place: int, left_stop: int, right_start: int) -> bool:
         """Whether a common begin of words in two chunks is one in the whole text too."""
         inside = right_start + self.margin <= place <= left_stop - self.margin
@@ -194,12 +246,13 @@ class ChunkedCounter:
         size, counted, n_chunks, widened = len(text), 0, 1, 0
         start, stop = 0, self.chunk
         begun = 0  # tokens of the left chunk that come before the last splice
-        left = self._words(text, start, stop)
+        words = self._after_spaces if self._spaced(text) else self._words
+        left = words(text, start, stop)
         overlap = self.overlap
         while stop < size:
             right_start = max(start, stop - overlap)
             right_stop = min(size, right_start + max(self.chunk, 2 * overlap))
-            right = self._words(text, right_start, right_stop)
+            right = words(text, right_start, right_stop)
             n_chunks += 1
             places = [
                 p for p in left.keys() & right.keys() if self._stable(text, p, stop, right_start)
@@ -216,7 +269,7 @@ class ChunkedCounter:
             widened += 1
             overlap *= 2
             longer = min(size, stop + overlap)
-            more = self._words(text, start, longer)
+            more = words(text, start, longer)
             n_chunks += 1
             # A character may become several words, the last of which was spliced at.
             left, begun, stop = more, more[start] if start else 0, longer

@@ -52,6 +52,35 @@ def test_long_runs(letter):
     assert count.n_tokens == plain.count_of_tokens(text) and count.n_chunks > 1
 
 
+def test_long_texts_of_known_words_are_not_encoded_again(monkeypatch):
+    rnd, counter = random.Random(5), ChunkedCounter(FILE, 2000, 200)
+    words = ["alpha", "Beta", "don't", "\n", "naïve", "", "12,5", "漢字", "<|endoftext|>", "x\ny"]
+    texts = [" ".join(rnd.choices(words, k=5000)) for _ in range(3)]
+    encoded = []
+    whole, part = counter._whole, counter._words
+    monkeypatch.setattr(counter, "_whole", lambda t: encoded.extend(t) or whole(t))
+    monkeypatch.setattr(counter, "_words", lambda t, a, b: encoded.append(t[a:b]) or part(t, a, b))
+    for text, count in zip(texts, counter.counts(texts)):
+        expected = len(library(FILE).encode(text, add_special_tokens=False))
+        assert count.n_tokens == expected and count.n_chunks > 5
+    assert sum(map(len, encoded)) < 0.1 * sum(map(len, texts))
+
+
+def test_places_after_spaces_splice_exactly():
+    """Spaces in runs, and words that begin with marks or line ends."""
+    rnd, counter = random.Random(6), ChunkedCounter(FILE, 128, 80)
+    assert counter.remembers
+    words = ["a", "b́", "́", "\nx", "ᆨ", "가", "", "", "É", "ll", "'s", "🙂", "क़", "<|end"]
+    spaced = 0
+    for _ in range(300):
+        text = " ".join(rnd.choices(words, k=rnd.randrange(1, 600)))
+        text += rnd.choice(["", "y" * rnd.randrange(60)])
+        (count,) = counter.counts([text])
+        assert count.n_tokens == len(library(FILE).encode(text, add_special_tokens=False))
+        spaced += count.n_chunks > 1 and counter._spaced(text)
+    assert spaced
+
+
 def test_odd_rows(spark, odd, nothing):
     got = count_tokens(odd, plain.WORD_VOCABULARY, limit=5, chunk=1000, overlap=64).collect()
     expected = [

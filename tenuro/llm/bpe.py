@@ -28,7 +28,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tenuro.functions.lineage import scratch_path, written
 from tenuro.llm.common import map_texts, releasing, table
-from tenuro.llm.pieces import LONG, PATTERN, SETTLED, Cache, cuttable, newer_letters, splitter
+from tenuro.llm.pieces import (
+    LONG,
+    PATTERN,
+    SETTLED,
+    Cache,
+    cuttable,
+    is_word,
+    newer_letters,
+    splitter,
+)
 
 
 def byte_symbols() -> list[str]:
@@ -98,6 +107,30 @@ class Vocabulary:
                 return self.fast(word)
         return self.merge(word.encode())
 
+    def all_ids_of(self, words: Sequence[str]) -> list[bytes]:
+        """The ids of each word as bytes; most words are merged in one call."""
+        sep = self.byte_ids[10]
+        together = [self._joinable(w) for w in words] if self.fast is not None else []
+        some = [w for w, joined in zip(words, together) if joined]
+        # A line feed between two words is a word of its own, and no such word has one.
+        ids = np.array(self.fast("\n".join(some)) if some else [], "<u4")
+        at = np.flatnonzero(ids == sep)
+        if len(at) != len(some) - 1:
+            return [array("I", self.ids_of(w)).tobytes() for w in words]
+        blob = ids.tobytes()
+        edges = zip([0, *(4 * at + 4).tolist()], [*(4 * at).tolist(), len(blob)])
+        found = iter([blob[a:b] for a, b in edges])
+        return [
+            next(found) if joined else array("I", self.ids_of(w)).tobytes()
+            for w, joined in zip(words, together)
+        ]
+
+    @staticmethod
+    def _joinable(word: str) -> bool:
+        if not word.isprintable() or " " in (word[1:] or word) or len(word) > _FAST:
+            return False
+        return word.isascii() or max(word, default="") < SETTLED
+
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word: the pair of least rank goes first, leftmost of equals."""
         ids = [self.byte_ids[b] for b in word]
@@ -266,6 +299,32 @@ class Lexicon:
             return None
         return self.ids[self.starts[index] : self.starts[index + 1]].tobytes()
 
+    def all_of(self, words: Sequence[bytes]) -> list[bytes | None]:
+        """``get`` for each of many words, which walk the automaton together."""
+        found: list[bytes | None] = [None] * len(words)
+        if not self.root:
+            return found
+        owner, leads, skips = (np.asarray(x) for x in (self.owner, self.leads, self.skips))
+        letters = np.frombuffer(b"".join(words), np.uint8)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        starts = np.cumsum(lengths) - lengths
+        walking = np.flatnonzero(lengths)
+        state = np.full(len(walking), self.root, np.int64)
+        index = np.zeros(len(walking), np.int64)
+        step = 0
+        while len(walking):
+            cell = state + letters[starts[walking] + step]
+            on = owner[cell] == state
+            walking, cell, index = walking[on], cell[on], index[on]
+            state, index = leads[cell].astype(np.int64), index + skips[cell]
+            step += 1
+            done = lengths[walking] == step
+            for word, end, i in zip(*(x[done].tolist() for x in (walking, state, index))):
+                if self.ends[end]:
+                    found[word] = self.ids[self.starts[i] : self.starts[i + 1]].tobytes()
+            walking, state, index = walking[~done], state[~done], index[~done]
+        return found
+
 
 # ---------------------------------------------------------------- encoding
 
@@ -279,34 +338,73 @@ class Encoder:
         self.words = Cache(self._words, 60_000)
         self.pieces = Cache(self._pieces, 150_000)
 
-    def _words(self, words: list[str]) -> Iterator[bytes]:
-        for word in words:
-            ids = self.lexicon.get(word.encode())
-            yield array("I", self.vocabulary.ids_of(word)).tobytes() if ids is None else ids
-
-    def _pieces(self, pieces: list[str]) -> Iterator[bytes]:
-        for piece in pieces:
-            yield self.plain(f" {piece}")
+    def _words(self, words: list[str]) -> list[bytes]:
+        found = self.lexicon.all_of([w.encode() for w in words])
+        rest = [w for w, ids in zip(words, found) if ids is None]
+        merged = iter(self.vocabulary.all_ids_of(rest))
+        return [next(merged) if ids is None else ids for ids in found]
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        return self._strings([f" {piece}" for piece in pieces])
+
+    def _strings(self, strings: list[str]) -> list[bytes]:
+        """The ids of each; words that aren't remembered are looked up together."""
+        words: list[str] = []
+        ends = []
+        for string in strings:
+            if is_word(string):
+                words.append(string)
+            else:
+                words.extend(self.split(string))
+            ends.append(len(words))
+        new = list(set(words).difference(self.words))
+        ids_of_new = dict(zip(new, self._words(new)))
+        found = [ids_of_new[w] if w in ids_of_new else self.words[w] for w in words]
+        for word, ids in ids_of_new.items():
+            self.words.keep(word, ids)
+        starts = [0, *ends[:-1]]
+        return [
+            found[a] if b == a + 1 else b"".join(found[a:b]) for a, b in zip(starts, ends)
+        ]
 
     def plain(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, self.split(text)))
+        return self._strings([text])[0]
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        split = self.vocabulary.split_specials
-        if split is None or not any(s in text for s in self.vocabulary.specials):
-            return self._part(text)
-        special = self.vocabulary.specials
-        return b"".join(
-            struct.pack("<I", special[part]) if part in special else self._part(part)
-            for part in split.split(text)
-        )
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: Sequence[str]) -> list[bytes]:
+        """``encode`` for each of some texts; what isn't remembered is worked out together."""
+        special, split = self.vocabulary.specials, self.vocabulary.split_specials
+        parts = [
+            split.split(text) if split and any(s in text for s in special) else [text]
+            for text in texts
+        ]
+        done = iter(self._parts([p for of_text in parts for p in of_text if p not in special]))
+        return [
+            b"".join(
+                struct.pack("<I", special[p]) if p in special else next(done) for p in of_text
+            )
+            for of_text in parts
+        ]
 
-    def _part(self, text: str) -> bytes:
-        if not cuttable(text):
-            return self.plain(text)
-        first, *rest = text.split(" ")
-        return self.plain(first) + b"".join(map(self.pieces.__getitem__, rest))
+    def _parts(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts that have no special tokens."""
+        cut = [text.split(" ") if cuttable(text) else [text] for text in texts]
+        begun = {pieces[0] for pieces in cut}
+        new = set().union(*(pieces[1:] for pieces in cut)).difference(self.pieces)
+        starts, new = list(begun), list(new)
+        ids = self._strings(starts + [f" {piece}" for piece in new])
+        first = dict(zip(starts, ids))
+        of_new = dict(zip(new, ids[len(starts) :]))
+        known = {**self.pieces, **of_new}
+        found = [
+            first[pieces[0]] + b"".join(map(known.__getitem__, pieces[1:])) for pieces in cut
+        ]
+        for piece, value in of_new.items():
+            self.pieces.keep(piece, value)
+        return found
 
 
 def frequent_words(
@@ -329,6 +427,9 @@ def frequent_words(
             words: Counter[str] = Counter()
             for prefix, counts in (("", begun), (" ", pieces)):
                 for piece, n in counts.items():
+                    if is_word(piece):
+                        words[prefix + piece] += n
+                        continue
                     for word in split(prefix + piece):
                         words[word] += n
                 counts.clear()
@@ -436,8 +537,7 @@ def encode_texts(
 
         def measure(texts: list[str]) -> list[list]:
             rows = []
-            for value in texts:
-                blob = encoder.encode(value)
+            for blob in encoder.encode_all(texts):
                 ids = np.frombuffer(blob, "<u4")
                 decoded = encoder.vocabulary.decode(ids.tolist())
                 row = (

@@ -94,3 +94,27 @@ def test_odd_rows(odd, nothing):
     expected = sorted((str(k), plain.token_ids(t), t or "") for k, t in ODD)
     assert sorted((str(r.doc_id), r.ids, r.decoded) for r in got) == expected
     assert bpe.encode_texts(nothing, plain.VOCABULARY).count() == 0
+
+
+def test_texts_are_encoded_together(vocabulary, monkeypatch):
+    """Words that nothing remembers are merged in one call, whatever texts they are in."""
+    texts = [f"Word{i} and 'twas{i}, it's  {i}!\n über{i}\x1c x " for i in range(300)]
+    texts += ["", " ", "\n", " \n a", "a\n b", "<|endoftext|>", "a<|endoftext|> b", "日本 語 " * 9]
+    encoder = bpe.Encoder(vocabulary, bpe.Lexicon(bpe.compile_lexicon({b" and": [1, 2]})))
+    calls, real = [], vocabulary.fast
+    monkeypatch.setattr(vocabulary, "fast", lambda text: calls.append(text) or real(text))
+    got = encoder.encode_all(texts)
+    assert len(calls) < 20
+    fresh = bpe.Encoder(vocabulary, bpe.Lexicon(bpe.compile_lexicon({b" and": [1, 2]})))
+    assert got == [fresh.encode(t) for t in texts] == encoder.encode_all(texts)
+    fresh = bpe.Encoder(vocabulary, bpe.Lexicon(bpe.compile_lexicon({})))
+    for text, blob in zip(texts, fresh.encode_all(texts)):
+        assert memoryview(blob).cast("I").tolist() == plain.token_ids(text)
+
+
+def test_words_walk_the_automaton_together():
+    words = {w.encode(): [i, i + 1][: 1 + i % 2] for i, w in enumerate(["a", "ab", "abc", " b", "é"])}
+    lexicon = bpe.Lexicon(bpe.compile_lexicon(words))
+    asked = [*words, b"", b"x", b"abcd", b" ", b"\xc3", b"b"]
+    assert lexicon.all_of(asked) == [lexicon.get(w) for w in asked]
+    assert bpe.Lexicon(bpe.compile_lexicon({})).all_of(asked) == [None] * len(asked)

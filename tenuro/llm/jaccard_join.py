@@ -37,7 +37,7 @@ _PROBED, _ROUNDS = 8, 1
 _SLOTS, _TRIES = 16, 32
 #: Joins with what may be small go through a shuffle: every broadcast passes the driver.
 _JOIN = "merge"
-#: From this size on, not less than ``_PROBED``, members of a block take their whole sets to the product.
+#: From this size on, not less than ``_PROBED``, members of a block take signatures to the product.
 _LONG = 64
 #: N-grams of more documents, by the sketch, are spread over so many places. The sketch
 #: counts too many rather than too few, so all other blocks are smaller.
@@ -45,6 +45,9 @@ _HOT, _PLACES = 1 << 16, 64
 #: Of long blocks, so many members at a time meet all the others in a task.
 _SHARE = 1024
 _CHUNK = 1_000_000
+#: Shingles of all documents for each task that writes a table, where that is fewer tasks than
+#: shuffles have: some megabytes of n-grams.
+_TASK = 500_000
 
 
 def _linked(common: Column, m: Column, n: Column) -> Column:
@@ -192,7 +195,7 @@ def _prefixes(documents: DataFrame, shared: Broadcast[np.ndarray], bits: int) ->
     )
 
 
-def _members(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+def _members(documents: DataFrame, wanted: DataFrame, tasks: int | None = None) -> DataFrame:
     """(``c``, ``members``): the whole sets of wanted classes (``doc``, ``k``, ``c``), kept.
 
     A filter of fixed size tells most of the other documents, so that few texts are
@@ -200,7 +203,7 @@ def _members(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     """
     bits = 23
     spark = documents.sparkSession
-    wanted = written(wanted, "wanted")
+    wanted = written(wanted, "wanted", tasks)
     place = F.pmod(F.xxhash64("doc", "k"), F.lit(1 << bits)).cast("int")
     places = wanted.select(place.alias("place")).distinct()
 
@@ -248,6 +251,7 @@ def _members(documents: DataFrame, wanted: DataFrame) -> DataFrame:
         .groupBy("c")
         .agg(F.first("members").alias("members")),
         "members",
+        tasks,
     )
     shared.destroy()
     discard(wanted)
@@ -262,7 +266,7 @@ def _band() -> Column:
     return F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int")
 
 
-def _blocks(prefixes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _blocks(prefixes: DataFrame, tasks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(``h``, ``c``, ``n``, ``pos``) of n-grams in two classes or more, after the table
     that it reads.
 
@@ -286,6 +290,7 @@ def _blocks(prefixes: DataFrame) -> tuple[DataFrame, DataFrame]:
         .withColumns({"first": F.first("c").over(within), "n_first": F.first("n").over(within)})
         .select("h", "c", "n", "pos", "place", "band", "size", "first", "n_first"),
         "blocks",
+        tasks,
     )
     columns = ("h", "c", "n", "pos", "size", "first", "n_first")
     spread = local.where("place > 0")
@@ -319,7 +324,7 @@ def _star_pairs(blocks: DataFrame) -> DataFrame:
     )
 
 
-def _mixed(blocks: DataFrame, group: DataFrame) -> DataFrame:
+def _mixed(blocks: DataFrame, group: DataFrame, tasks: int | None = None) -> DataFrame:
     """Members of blocks of several groups ``g`` (a class without one is its own)."""
     rows = (
         blocks.select("h", "c", "n", "pos", "size")
@@ -332,7 +337,7 @@ def _mixed(blocks: DataFrame, group: DataFrame) -> DataFrame:
         .where("low < high")
         .select("h")
     )
-    return written(rows.join(several.hint(_JOIN), "h", "left_semi"), "mixed-blocks")
+    return written(rows.join(several.hint(_JOIN), "h", "left_semi"), "mixed-blocks", tasks)
 
 
 def _shares(size: Column, members: int) -> Column:
@@ -418,53 +423,96 @@ def _can_link() -> Column:
     ) & _linked(rest, F.col("n_a"), F.col("n_b"))
 
 
+def _signature_words(band: Column) -> Column:
+    """So many 64-bit words have a bit for each shingle of the largest set of a band."""
+    return F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2(F.pow(F.lit(4 / 3), band + 1) / 64)))).cast("int")
+
+
+def _signatures(members: DataFrame) -> DataFrame:
+    """(``c``, ``sign``): of each place that shingles are hashed to, whether an odd number
+    of the set's is there.
+
+    Two signatures differ in no more places than the sets do in shingles.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            signs = []
+            for members, words in zip(batch.column("members"), batch.column("words").to_pylist()):
+                places = members.values.to_numpy().view(np.uint64) % np.uint64(64 * words)
+                odd = np.bincount(places.view(np.int64), minlength=64 * words) & 1
+                signs.append(np.packbits(odd.astype(bool), bitorder="little").view("<i8"))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("c"), pa.array(signs, pa.list_(pa.int64()))], names=["c", "sign"]
+            )
+
+    words = members.withColumn("n", F.size("members")).withColumn("words", _signature_words(_band()))
+    return words.select("c", "members", "words").mapInArrow(
+        releasing(run), "c long, sign array<long>"
+    )
+
+
 def _long_links(rows: DataFrame, members: DataFrame) -> DataFrame:
     """The links (``a``, ``b``) of the product within long mixed blocks.
 
-    A cell of the product is taken in one block alone, that of the pair's first common
-    n-gram in the order of the smaller set. Whole sets go with the members, so that it is
-    added up in full there, and of the many pairs of a block none but the links leave it.
+    A signature takes about a bit a shingle, so it goes with each member of a block, and of
+    the many pairs of a block few but the links leave it, which whole sets tell.
     """
-    prefixes = rows.groupBy("c").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "h"))).alias("prefix")
-    )
-    sets = members.join(prefixes, "c").select("c", "members", F.col("prefix.h").alias("prefix"))
-    full = rows.join(sets, "c").withColumns(
+    full = rows.join(_signatures(members), "c").withColumns(
         {"band": _band(), "shares": _shares(F.col("size"), _SHARE)}
     )
-    names = ("c", "n", "pos", "g", "members", "prefix")
+    names = ("c", "n", "pos", "g", "sign")
     key = ["h", "band", "share"]
     small = full.select(
         "h", "band", _dealt("c", F.col("shares")).alias("share"),
         *(F.col(x).alias(f"{x}_a") for x in names),
     ).where(7 * (F.col("n_a") - F.col("pos_a")) >= 6 * F.col("n_a"))
-    # As in the product of short blocks, for this band and the one below.
-    large = full.withColumn("band", F.explode(F.array("band", F.col("band") - 1))).select(
-        "h", "band", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"),
-        *(F.col(x).alias(f"{x}_b") for x in names),
+    # As in the product of short blocks, for this band and the one below, where signatures
+    # may be half as long.
+    half = _signature_words(F.col("band"))
+    folded = F.zip_with(
+        F.slice("sign", F.lit(1), half),
+        F.slice("sign", half + 1, half),
+        lambda x, y: x.bitwiseXOR(y),
+    )
+    large = (
+        full.withColumn("band", F.explode(F.array("band", F.col("band") - 1)))
+        .withColumn("sign", F.when(F.size("sign") > half, folded).otherwise(F.col("sign")))
+        .select(
+            "h", "band", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"),
+            *(F.col(x).alias(f"{x}_b") for x in names),
+        )
     )
-    first = F.element_at(F.array_intersect("prefix_a", "prefix_b"), 1) == F.col("h")
-    common = F.size(F.array_intersect("members_a", "members_b"))
-    return (
+    differing = F.aggregate(
+        F.zip_with("sign_a", "sign_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+        F.lit(0),
+        lambda total, bits: total + bits,
+    )
+    # Sets that link differ in a seventh of (m + n) shingles at most.
+    pairs = (
         small.join(large, key)
-        .where(_can_link() & first)
-        .where(_linked(common, F.col("n_a"), F.col("n_b")))
-        .select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+        .where(_can_link() & (7 * differing <= F.col("n_a") + F.col("n_b")))
+        .select(F.col("c_a").alias("a"), "n_a", F.col("c_b").alias("b"), "n_b")
+        .distinct()
     )
+    return _links(pairs, members)
 
 
-def _verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """The links (``a``, ``b``) among candidate pairs, by their whole sets."""
     left = members.select(F.col("c").alias("a"), F.col("members").alias("members_a"))
     right = members.select(F.col("c").alias("b"), F.col("members").alias("members_b"))
     common = F.size(F.array_intersect("members_a", "members_b"))
-    links = (
+    return (
         pairs.join(left.hint(_JOIN), "a")
         .join(right.hint(_JOIN), "b")
         .where(_linked(common, F.col("n_a"), F.col("n_b")))
         .select("a", "b")
     )
-    return written(links, "links")
+
+
+def _verified(pairs: DataFrame, members: DataFrame, tasks: int | None = None) -> DataFrame:
+    return written(_links(pairs, members), "links", tasks)
 
 
 def _both(pairs: DataFrame) -> DataFrame:
@@ -472,43 +520,43 @@ def _both(pairs: DataFrame) -> DataFrame:
 
 
 def _linked_classes(
-    rows: DataFrame, places: DataFrame, sketch: np.ndarray, bits: int
+    rows: DataFrame, places: DataFrame, sketch: np.ndarray, bits: int, tasks: int | None = None
 ) -> DataFrame:
     """(``c``, ``g``): each linked class and its component.
 
     ``places`` (``c``, ``doc``, ``k``) has a document of each class. Tables are deleted
-    once they have been used.
+    once they have been used, and written by ``tasks`` at most.
     """
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(sketch)
-    local, blocks = _blocks(_prefixes(rows, shared, bits))
+    local, blocks = _blocks(_prefixes(rows, shared, bits), tasks)
     shared.destroy()
     release(spark)
     is_long = F.col("size") >= _LONG
-    pairs = written(_star_pairs(blocks), "pairs")
+    pairs = written(_star_pairs(blocks), "pairs", tasks)
     probed = blocks.where(F.col("size") >= _PROBED)
     wanted = _both(pairs).union(probed.select("c")).distinct()
-    members = _members(rows, places.join(wanted, "c"))
-    links = _verified(pairs, members)
-    connected = joined_groups(None, links)
+    members = _members(rows, places.join(wanted, "c"), tasks)
+    links = _verified(pairs, members, tasks)
+    connected = joined_groups(None, links, tasks)
     discard(pairs, links)
     release(spark)
     for attempt in range(_ROUNDS):
-        mixed = _mixed(probed, connected)
-        links = _verified(_probe_pairs(mixed, attempt), members)
-        more = joined_groups(connected, links)
+        mixed = _mixed(probed, connected, tasks)
+        links = _verified(_probe_pairs(mixed, attempt), members, tasks)
+        more = joined_groups(connected, links, tasks)
         discard(mixed, links, connected)
         connected = more
     release(spark)
-    mixed = _mixed(blocks, connected)
+    mixed = _mixed(blocks, connected, tasks)
     discard(local)
-    long_links = written(_long_links(mixed.where(is_long), members), "links")
-    pairs = written(_product_pairs(mixed.where(~is_long)), "pairs")
+    long_links = written(_long_links(mixed.where(is_long), members), "links", tasks)
+    pairs = written(_product_pairs(mixed.where(~is_long)), "pairs", tasks)
     discard(members, mixed)
     release(spark)
-    rest = _members(rows, places.join(_both(pairs).distinct(), "c"))
-    links = _verified(pairs, rest)
-    found = joined_groups(connected, links.union(long_links))
+    rest = _members(rows, places.join(_both(pairs).distinct(), "c"), tasks)
+    links = _verified(pairs, rest, tasks)
+    found = joined_groups(connected, links.union(long_links), tasks)
     discard(pairs, rest, links, long_links, connected)
     return found
 
@@ -535,21 +583,25 @@ def similar_documents(
     first = written(_with_sketch(rows, sketch_bits), "classes")
     sketch = _summed_sketch(first, sketch_bits)
     found = first.where("part IS NULL").select("doc", "k", "n", "c")
+    shingles = found.agg(F.sum("n")).first()[0] or 0
+    cores = documents.sparkSession.sparkContext.defaultParallelism
+    tasks = max(2 * cores, shingles // _TASK)
     classes = written(
         found.where("c IS NOT NULL")
         .groupBy("c")
         .agg(F.min("doc").alias("least"), F.min(F.struct("doc", "k")).alias("place"))
         .select("c", "least", "place.doc", "place.k"),
         "class-ids",
+        tasks,
     )
     release(documents.sparkSession)
-    group = _linked_classes(rows, classes.select("c", "doc", "k"), sketch, sketch_bits)
+    group = _linked_classes(rows, classes.select("c", "doc", "k"), sketch, sketch_bits, tasks)
     grouped = classes.join(group, "c", "left").select(
         "c", "least", F.coalesce("g", "c").alias("g")
     )
     least = grouped.groupBy("g").agg(F.min("least").alias("component"))
     # Written, so that the large side below is one exchange, which can be split if skewed.
-    ids = written(grouped.join(least, "g").select("c", "g", "component"), "component-ids")
+    ids = written(grouped.join(least, "g").select("c", "g", "component"), "component-ids", tasks)
     return found.join(ids, "c", "left").select(
         F.col("doc").alias(key),
         "k",

@@ -177,3 +177,63 @@ def test_tables_are_deleted_once_used(spark, documents):
     left = sorted(name.rpartition("-")[0] for name in set(os.listdir(folder)) - before)
     assert left == ["class-ids", "classes", "component-ids", "groups"]
     assert result.count() == documents.count()
+
+
+def test_signatures_rule_out_no_link(spark):
+    """They differ in no more places than the sets do, also where one is half as long."""
+    rng = np.random.default_rng(3)
+    rows, sets = [], {}
+    for n in (1, 5, 60, 64, 90, 120, 500, 900):
+        base = rng.integers(-(2**63), 2**63 - 1, n)
+        for changed in (0, n // 10, n // 3, n):
+            new = np.unique(np.r_[base[changed:], rng.integers(-(2**63), 2**63 - 1, changed)])
+            sets[len(rows)] = set(new.tolist())
+            rows.append((len(rows), new.tolist()))
+    signed = jj._signatures(spark.createDataFrame(rows, "c long, members array<long>")).collect()
+    bits = {r.c: np.array(r.sign, np.int64) for r in signed}
+    assert len(bits) == len(rows) and all(64 * len(bits[c]) < 3 * len(s) + 64 for c, s in sets.items())
+    for a in sets:
+        for b in sets:
+            x, y = sorted((bits[a], bits[b]), key=len)
+            if len(y) in (len(x), 2 * len(x)):
+                y = y if len(x) == len(y) else y[: len(x)] ^ y[len(x) :]
+                assert np.bitwise_count((x ^ y).view(np.uint64)).sum() <= len(sets[a] ^ sets[b])
+
+
+def test_long_blocks_are_joined_without_whole_sets(spark, monkeypatch):
+    joined = []
+
+    def seen(pairs, members, real=jj._links):
+        plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+        joined.append(("members_a" in plan, pairs.count()))
+        return real(pairs, members)
+
+    rows = common_line(90)
+    rows_of = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jj, "_star_pairs", lambda blocks, real=jj._star_pairs: real(blocks).limit(0))
+    monkeypatch.setattr(jj, "_ROUNDS", 0)
+    monkeypatch.setattr(jj, "_PROBED", 2)
+    monkeypatch.setattr(jj, "_LONG", 2)
+    monkeypatch.setattr(jj, "_links", seen)
+    check(spark, rows, rows_of)
+    # The stars' pairs, those of long blocks, and those of short ones.
+    assert len(joined) == 3 and not any(sets for sets, _ in joined)
+    assert 0 < joined[1][1] < 200  # 30 documents share the line: 435 pairs
+
+
+def test_small_tables_are_written_by_few_tasks(spark):
+    edges = spark.createDataFrame([(0, i) for i in range(3001)], "a long, b long")
+    settings = {
+        "spark.sql.shuffle.partitions": "20",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = joined_groups(None, edges, 4)
+        assert {r.g for r in found.collect()} == {0} and found.count() == 3001
+        assert len(found.inputFiles()) <= 4
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -426,7 +426,12 @@ def frequent_words(
         def flushed() -> pa.RecordBatch:
             words: Counter[str] = Counter()
             for prefix, counts in (("", begun), (" ", pieces)):
+                # Those met once are split together, at the spaces that they stood between.
+                once = [p for p, n in counts.items() if prefix and n == 1 and p[-1:].isprintable()]
+                words.update(split(prefix + " ".join(filter(None, once))) if any(once) else [])
                 for piece, n in counts.items():
+                    if n == 1 and prefix and piece and piece[-1:].isprintable():
+                        continue
                     if is_word(piece):
                         words[prefix + piece] += n
                         continue

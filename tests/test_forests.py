@@ -1,6 +1,9 @@
 """Forests grown from binned rows, against Spark's own trees."""
 
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import tenuro as t
-from tenuro.functions import materialise
+from tenuro.functions import lineage, materialise
 from tenuro.plans import forests
 from tenuro.plans.modelling import training_frame
 from tenuro.schema import FEATURES
@@ -78,6 +81,61 @@ def test_a_cut_tree_is_that_of_lesser_depth_with_draws_too(train):
     assert row.mean_accuracy == pytest.approx(total, abs=1e-12)
 
 
+SEARCH = {"maxDepth": (2, 7), "featureSubsetStrategy": ("3", "20"), "numTrees": (2, 5, 9)}
+
+
+@pytest.fixture(scope="module")
+def searched(train):
+    return t.grid_search(train, SEARCH, seed=3).results.collect()
+
+
+@pytest.mark.parametrize("label", ["Target1"])
+def test_a_search_writes_no_trees(train, monkeypatch, label):
+    names = []
+    path = lineage.scratch_path
+    monkeypatch.setattr(lineage, "scratch_path", lambda s, n: names.append(n) or path(s, n))
+    t.grid_search(train, {"maxDepth": (2, 4), "numTrees": (2, 3)}, label_col=label)
+    assert "blocks" in names and not {"nodes", "tree-batches"} & set(names)
+
+
+def test_a_search_by_the_table_of_nodes_finds_the_same(train, searched, monkeypatch):
+    rows = train.count()
+    monkeypatch.setattr(forests, "GROUP_BYTES", (len(FEATURES) + 1) * rows // 3)
+    found = t.grid_search(train, SEARCH, seed=3).results.collect()
+    for one, other in zip(found, searched, strict=True):
+        assert one[:-1] == other[:-1]
+        assert one.mean_accuracy == pytest.approx(other.mean_accuracy, abs=1e-12)
+    assert len({r.mean_accuracy for r in found}) > 6
+
+
+def test_a_search_does_not_depend_on_its_tasks(train, searched, monkeypatch):
+    monkeypatch.setattr(forests, "TREES_PER_TASK", 1)
+    monkeypatch.setattr(forests, "SEARCH_TASKS", 7)
+    assert t.grid_search(train, SEARCH, seed=3).results.collect() == searched
+
+
+def test_held_out_rows_have_blocks_of_their_own(monkeypatch):
+    monkeypatch.setattr(forests, "BLOCK_ROWS", 4)
+    context = SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 5))
+    monkeypatch.setattr(forests, "TaskContext", context)
+    numbers = np.arange(23)
+    held = numbers % 3 == 1
+    rows = pa.record_batch({
+        "values": [[float(i), 0.0] for i in numbers], "label": (numbers % 2).astype(float), "held": held,
+    })
+    batches = [rows.slice(i, 5) for i in range(0, 23, 5)]
+    places = [np.arange(22) + 0.5, np.empty(0)]
+    found = pa.Table.from_batches(forests._pack(batches, places)).to_pylist()
+    for side in (False, True):
+        own = [b for b in found if b["held"] == side]
+        assert [b["block"] for b in own] == list(range(len(own)))
+        assert {b["n"] for b in own[:-1]} == {4} and {b["part"] for b in own} == {5}
+        codes = np.frombuffer(b"".join(b["codes"] for b in own), np.uint8).reshape(-1, 2)
+        assert codes[:, 0].tolist() == numbers[held == side].tolist() and not codes[:, 1].any()
+        labels = np.frombuffer(b"".join(b["labels"] for b in own), np.uint8)
+        assert (labels == codes[:, 0] % 2).all()
+
+
 def test_forests_learn_as_well_as_sparks(train):
     parts = [train.where(F.col("team_id") % 2 == i) for i in (0, 1)]
     params = dict(numTrees=30, maxDepth=6, featureSubsetStrategy="9")

@@ -89,7 +89,7 @@ def searched(train):
     return t.grid_search(train, SEARCH, seed=3).results.collect()
 
 
-@pytest.mark.parametrize("label", ["Target1"])
+@pytest.mark.parametrize("label", ["Target1", "Target2"])
 def test_a_search_writes_no_trees(train, monkeypatch, label):
     names = []
     path = lineage.scratch_path
